@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import packing, shards, token_files
+from ledgerlark.llm import decontaminate, packing, shards, token_files
 from ledgerlark.llm.common import new_folder, table
 from ledgerlark.llm.tokenise import tokenizer_path
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end_id=2)
@@ -25,5 +29,5 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, most=1024)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_files, op6_lpt_shards, op7_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_token_files, op6_lpt_shards, op7_best_fit_packing)}
 SQL: dict[str, str] = {}
