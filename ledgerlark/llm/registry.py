@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import decontaminate, packing, shards, token_files
+from ledgerlark.llm import chat, decontaminate, html_text, packing, quality, secrets, shards, token_files, toxicity
 from ledgerlark.llm.common import new_folder, table
 from ledgerlark.llm.tokenise import tokenizer_path
 
@@ -14,6 +14,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end_id=2)
@@ -29,5 +37,17 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, most=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_token_files, op6_lpt_shards, op7_best_fit_packing)}
-SQL: dict[str, str] = {}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(table(spark, sf_dir, "conversations"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op4_quality_rules, op5_token_files, op6_lpt_shards, op7_best_fit_packing, op8_toxicity, op9_perspectives, op10_main_text)}
+SQL: dict[str, str] = {"op9_perspectives": chat.SQL}
