@@ -30,14 +30,14 @@ u AS (SELECT *, head || body || '{END.strip()}' || chr(10) AS segment FROM s),
 v AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body
                      ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_char FROM u)
 SELECT conv_id, perspective, turn, role, name, segment, end_char - length(segment) AS start_char, end_char,
-       CASE WHEN role = 'assistant' THEN end_char - length(segment) + length(head) END AS loss_start,
-       CASE WHEN role = 'assistant' THEN end_char - 1 END AS loss_end
+       CASE WHEN role = 'assistant' THEN end_char - length(segment) + length(head) ELSE -1 END AS loss_start,
+       CASE WHEN role = 'assistant' THEN end_char - 1 ELSE -1 END AS loss_end
 FROM v
 """
 
 
 def rotated(conversations: DataFrame) -> DataFrame:
-    """conv_id, perspective, turn, role, name, segment, start_char, end_char, loss_start and loss_end (null: not masked in)."""
+    """conv_id, perspective, turn, role, name, segment, start_char, end_char, loss_start and loss_end (-1: none)."""
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("body"))
     speakers = turns.where("speaker <> 'system'").select(F.col("conv_id").alias("_c"), F.col("speaker").alias("perspective")).distinct()
     rows = turns.join(speakers, turns["conv_id"].eqNullSafe(speakers["_c"])).drop("_c")
@@ -54,4 +54,5 @@ def rotated(conversations: DataFrame) -> DataFrame:
     rows = rows.join(before, same).withColumn("end_char", F.col("before") + F.col("inside")).withColumn("start_char", F.col("end_char") - F.length("segment"))
     own = F.col("role") == "assistant"
     return rows.select("conv_id", "perspective", "turn", "role", "name", "segment", "start_char", "end_char",
-                       F.when(own, F.col("start_char") + F.length("head")).alias("loss_start"), F.when(own, F.col("end_char") - 1).alias("loss_end"))
+                       F.when(own, F.col("start_char") + F.length("head")).otherwise(-1).alias("loss_start"),
+                       F.when(own, F.col("end_char") - 1).otherwise(-1).alias("loss_end"))

@@ -2,9 +2,9 @@
 
 P(grade > j) = sigmoid(w.x - t_j) with one weight vector for all ordered thresholds t_0 < t_1 < t_2; the expected severity is
 the sum of these probabilities, from 0 to 3, and a document whose P(grade > 0) is above one half is toxic. Features are hashed
-whole words and word beginnings of 3 to 7 bytes, as log(1 + count).
+whole words and word beginnings of 3 to 7 bytes, as log(1 + count), and each again where a text has it twice or more.
 
-The labels say toxic or not; the grade of a toxic training document is 1 to 3 by the thirds of its share of marked words, a
+The labels say toxic or not; the grade of a toxic training document is 1 to 3 by the thirds of its number of marked words, a
 word being marked where one of its features is. Features are screened first: those at least `ODDS` times as frequent among
 toxic training documents, with a likelihood ratio above `RATIO`.
 
@@ -26,17 +26,18 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.common import LOWER, prefix_hash, saved, span_hash, spans, text_blocks
 
 BITS, SAMPLE, ODDS, RATIO, BEGIN = 20, 3000, 20.0, 18.0, (3, 4, 5, 6, 7)
+NONE = 1 << BITS  # also the distance from a feature to its second form, twice or more
 _GAP = np.ones(256, bool)
 _GAP[48:58] = _GAP[65:91] = _GAP[97:123] = _GAP[128:] = False
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words x features) hashed to 2**BITS, -1 for none, and each row's first word."""
+    """(words x features) hashed to 2**BITS, NONE for none, and each row's first word."""
     buf = LOWER[buf]
     s, e, first = spans(buf, off, _GAP)
     h = prefix_hash(buf)
     salt = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, len(BEGIN) + 2)]
-    out = np.full((len(s), len(BEGIN) + 1), -1, np.int64)
+    out = np.full((len(s), len(BEGIN) + 1), NONE, np.int64)
     out[:, 0] = (span_hash(h, s, e) ^ salt[0]) >> np.uint64(64 - BITS)
     for k, size in enumerate(BEGIN, 1):
         long = e - s > size
@@ -56,22 +57,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _counts(f: np.ndarray, first: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, count) of the marked features."""
+    w, k = np.nonzero(marked[f])
+    pair, n = np.unique((np.searchsorted(first, w, "right") - 1) * NONE + f[w, k], return_counts=True)
+    return pair // NONE, pair % NONE, n
+
+
 class Model:
-    """Weights by feature index (sorted), and thresholds."""
+    """Weights by feature, those of the second form after the others, and thresholds."""
 
     def __init__(self, index: np.ndarray, weight: np.ndarray, cuts: np.ndarray):
         self.index, self.weight, self.cuts = index, weight, cuts
+        self.table = None
 
     def scores(self, f: np.ndarray, first: np.ndarray) -> np.ndarray:
         """P(grade > j) by row and j."""
-        rows = len(first) - 1
-        z = np.zeros(rows)
-        if len(self.index) and len(f):
-            place = np.minimum(np.searchsorted(self.index, f), len(self.index) - 1)
-            w, k = np.nonzero(self.index[place] == f)
-            row = np.searchsorted(first, w, "right") - 1
-            pair, n = np.unique(row * len(self.index) + place[w, k], return_counts=True)
-            np.add.at(z, pair // len(self.index), self.weight[pair % len(self.index)] * np.log1p(n))
+        if self.table is None:  # made where it is used: the model itself stays small
+            self.table, self.marked = np.zeros(2 * NONE), np.zeros(NONE + 1, bool)
+            self.table[self.index] = self.weight
+            self.marked[self.index % NONE] = True
+        z = np.zeros(len(first) - 1)
+        row, feature, n = _counts(f, first, self.marked)
+        np.add.at(z, row, np.log1p(n) * (self.table[feature] + np.where(n > 1, self.table[feature + NONE], 0)))
         return _sigmoid(z[:, None] - self.cuts)
 
 
@@ -83,41 +91,50 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, steps: int = 400) -> Model:
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
         return NOTHING
-    df = np.zeros((2, 1 << BITS))
+    df = np.zeros((2, 2 * NONE))
     for f, t in zip(docs, toxic, strict=True):
-        df[int(t), np.unique(f[f >= 0])] += 1
+        got, n = np.unique(f[f < NONE], return_counts=True)
+        df[int(t), got] += 1
+        df[int(t), got[n > 1] + NONE] += 1
     p1, p0 = (df[1] + 0.05) / (n1 + 0.1), (df[0] + 0.05) / (n0 + 0.1)
     both = (df[1] + df[0] + 0.1) / (n1 + n0 + 0.2)
     ratio = 2 * (df[1] * np.log(p1 / both) + df[0] * np.log(p0 / both))
     index = np.flatnonzero((df[1] >= 3) & (p1 > ODDS * p0) & (ratio > RATIO))
     if not len(index):
         return NOTHING
-    marked = np.zeros(1 << BITS, bool)
-    marked[index] = True
-    share = np.array([(marked[f] & (f >= 0)).any(axis=1).mean() if len(f) else 0.0 for f in docs])
-    grade = np.where(toxic, 1 + np.searchsorted(np.quantile(share[toxic], [1 / 3, 2 / 3]), share, "right"), 0)
-    x = np.zeros((len(docs), len(index)), np.float32)
+    marked = np.zeros(NONE + 1, bool)
+    marked[index % NONE] = True
+    words = np.array([marked[f].any(axis=1).sum() for f in docs])
+    grade = np.where(toxic, 1 + np.searchsorted(np.quantile(words[toxic], [1 / 3, 2 / 3]), words, "right"), 0)
+    rows, columns, values = [], [], []
+    place = np.full(2 * NONE, -1)
+    place[index] = np.arange(len(index))
     for r, f in enumerate(docs):
-        got, n = np.unique(f[marked[f] & (f >= 0)], return_counts=True)
-        x[r, np.searchsorted(index, got)] = np.log1p(n)
+        got, n = np.unique(f[marked[f]], return_counts=True)
+        got, n = np.concatenate([got, got[n > 1] + NONE]), np.concatenate([n, n[n > 1]])
+        at = place[got]
+        columns.append(at[at >= 0])
+        values.append(np.log1p(n[at >= 0]))
+        rows.append(np.full(len(columns[-1]), r))
+    rows, columns, values = map(np.concatenate, (rows, columns, values))
     w, cut = np.zeros(len(index)), np.array([2.0, 0.0, 0.0])  # cuts: first, then log steps
     m, v = np.zeros(len(w) + 3), np.zeros(len(w) + 3)
     for t in range(1, steps + 1):
         cuts = np.cumsum([cut[0], *np.exp(cut[1:])])
-        p = _sigmoid((x @ w.astype(np.float32))[:, None] - cuts)
+        p = _sigmoid(np.bincount(rows, values * w[columns], len(docs))[:, None] - cuts)
         # P(grade = g) is the difference of neighbours; gradient of its log by z and by the cuts
-        full = np.concatenate([np.ones((len(x), 1)), p, np.zeros((len(x), 1))], axis=1)
+        full = np.concatenate([np.ones((len(docs), 1)), p, np.zeros((len(docs), 1))], axis=1)
         slope = full * (1 - full)
-        r = np.arange(len(x))
+        r = np.arange(len(docs))
         like = np.maximum(full[r, grade] - full[r, grade + 1], 1e-9)
         up, down = slope[r, grade] / like, slope[r, grade + 1] / like
-        dz = (up - down) / len(x)
-        by_cut = np.zeros((len(x), 5))
-        by_cut[r, grade] -= up / len(x)
-        by_cut[r, grade + 1] += down / len(x)
+        dz = (up - down) / len(docs)
+        by_cut = np.zeros((len(docs), 5))
+        by_cut[r, grade] -= up / len(docs)
+        by_cut[r, grade + 1] += down / len(docs)
         dc = by_cut.sum(axis=0)[1:4]
         step = np.exp(cut[1:])
-        g = np.concatenate([x.T @ dz - 1e-3 * w / len(w) ** 0.5, [dc.sum(), dc[1:].sum() * step[0], dc[2] * step[1]]])
+        g = np.concatenate([np.bincount(columns, values * dz[rows], len(index)) - 1e-4 * w, [dc.sum(), dc[1:].sum() * step[0], dc[2] * step[1]]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, cut = w + move[:-3], cut + move[-3:]
