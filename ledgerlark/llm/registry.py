@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import chat, decontaminate, html_text, packing, quality, secrets, shards, token_files, toxicity
+from ledgerlark.llm import chat, decontaminate, html_text, jaccard, packing, quality, secrets, shards, token_files, toxicity
 from ledgerlark.llm.common import new_folder, table
 from ledgerlark.llm.tokenise import tokenizer_path
 
@@ -18,6 +18,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op4_quality_rules, op5_token_files, op6_lpt_shards, op7_best_fit_packing, op8_toxicity, op9_perspectives, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_jaccard_join, op4_quality_rules, op5_token_files, op6_lpt_shards, op7_best_fit_packing, op8_toxicity, op9_perspectives, op10_main_text)}
 SQL: dict[str, str] = {"op9_perspectives": chat.SQL}
