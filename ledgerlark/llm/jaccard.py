@@ -102,17 +102,18 @@ def _first_pass(size: int, classes: np.ndarray, percent: int):
     return task
 
 
-def _again(size: int, classes: np.ndarray, percent: int, orders: bool):
-    """Sets of the rows (node, text), or their prefixes under the further orders."""
+def _again(size: int, classes: np.ndarray, percent: int, order: int | None):
+    """The rows' sets, or their prefixes under one order, in place of the last column, the text."""
     def task(batches):
         for batch in batches:
-            for i, j, buf, off in text_blocks(batch.column(1)):
-                all_sets, node = sets_of(buf, off, size), batch.column(0).slice(i, j - i)
-                if orders:
-                    lists = [pa.array([_prefix(x, classes, k, percent) for x in all_sets], pa.list_(pa.int64())) for k in range(1, ORDERS)]
-                    yield pa.RecordBatch.from_arrays([node, pa.array([len(x) for x in all_sets], pa.int64()), *lists], ["node", "n", *(f"p{k}" for k in range(1, ORDERS))])
+            at = batch.num_columns - 1
+            for i, j, buf, off in text_blocks(batch.column(at)):
+                all_sets = sets_of(buf, off, size)
+                if order is None:
+                    last = pa.array([x.tobytes() for x in all_sets], pa.binary())
                 else:
-                    yield pa.RecordBatch.from_arrays([node, pa.array([x.tobytes() for x in all_sets], pa.binary())], ["node", "items"])
+                    last = pa.array([_prefix(x, classes, order, percent) for x in all_sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:at]), last], [*batch.schema.names[:at], "items"])
     return task
 
 
@@ -148,7 +149,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _square(rows: list[tuple[int, int, np.ndarray]], percent: int):
     """Links of one block as a forest. Side 0 is compared with side 1; a block of side 0 alone with itself."""
-    sides = [sorted((r for r in rows if r[1] == k), key=lambda r: r[0]) for k in (0, 1)]
+    sides = [sorted({r[0]: r for r in rows if r[1] == k}.values(), key=lambda r: r[0]) for k in (0, 1)]
     a, alone = sides[0], not sides[1]
     b = a if alone else sides[1]
     if not a or len(a) + len(b) < 2 + alone * 2:
@@ -192,11 +193,15 @@ def _blocks(percent: int):
     return task
 
 
-def _nodes_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(node, text) for chosen (node, doc, th), each node once: broadcast while it is small, else shuffled by row."""
+def _texts_of(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
+    """(node, columns, text) for chosen (node, doc, th, columns): broadcast while it is small, else shuffled by row.
+
+    A repeated row gives its node twice, which later steps bear.
+    """
     rows = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), "text")
-    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    return rows.join(side, rows["_d"].eqNullSafe(side["doc"]) & (rows["_t"] == side["th"])).select("node", "text")
+    side = chosen.select("node", "doc", "th", *columns)
+    side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    return rows.join(side, rows["_d"].eqNullSafe(side["doc"]) & (rows["_t"] == side["th"])).select("node", *columns, "text")
 
 
 def links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -211,12 +216,12 @@ def links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFram
     rows = lone.select("node", "n", F.posexplode("p").alias("pos", "token"))
     counted = rows.withColumn("most", F.expr("max(node) over (partition by token)")).withColumn("least", F.expr("min(node) over (partition by token)"))
     counted = saved(counted.where("least <> most").withColumn("m", F.expr("count(*) over (partition by token)")).drop("least", "most"))
-    home = counted.groupBy("node").agg(F.max(F.struct("m", "token")).alias("h")).select("node", F.col("h.token").alias("home"))
+    home = counted.groupBy("node", "n").agg(F.max(F.struct("m", "token")).alias("h")).select("node", "n", F.col("h.token").alias("home"))
     sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("head"))
     home = saved(home.join(sizes, "home").join(chosen.select("node", F.col("doc.doc_id").alias("doc"), F.col("doc.th").alias("th")), "node").dropDuplicates(["node"]))
 
     # inside homes
-    sets = lambda which: _nodes_of(docs, which.select("node", "doc", "th")).mapInArrow(_again(size, classes, percent, False), "node long, items binary").dropDuplicates(["node"])
+    sets = lambda which: _texts_of(docs, which).mapInArrow(_again(size, classes, percent, None), "node long, items binary")
     wide = home.where(f"c > {HOME}")
     wide_sets = sets(wide)
     heads = wide_sets.join(wide.where("node = head").select("node", "home"), "node").select("home", F.col("node").alias("_h"), F.col("items").alias("_i"))
@@ -235,23 +240,19 @@ def links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFram
              when is_loose is null then transform(sequence(0, loose_cells - 1), k -> struct(concat_ws(':', home, 'm', cell, k) as block, 0 as side))
              else concat(transform(sequence(0, cells - 1), k -> struct(concat_ws(':', home, 'm', k, cell) as block, 1 as side)),
                          transform(sequence(0, loose_cells - 1), k -> struct(concat_ws(':', home, 'l', least(k, cell), greatest(k, cell)) as block, if(cell > k, 1, 0) as side))) end""")
-    blocks = part.select("node", F.explode(squares).alias("s")).select("node", F.col("s.block").alias("block"), F.col("s.side").alias("side"))
-    placed = sets(home.where("c > 1")).join(blocks, "node").select("block", "node", "side", "items")
+    placed = _texts_of(docs, part.withColumn("squares", squares).where("size(squares) > 0"), "squares")
+    placed = placed.mapInArrow(_again(size, classes, percent, None), "node long, squares array<struct<block: string, side: int>>, items binary")
+    placed = placed.select("node", F.explode("squares").alias("s"), "items").select(F.col("s.block").alias("block"), "node", F.col("s.side").alias("side"), "items")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     inside = saved(placed.repartition(parts, "block").sortWithinPartitions("block", "node").mapInArrow(_blocks(percent), "a long, b long"))
 
-    # between homes
-    others = _nodes_of(docs, home.select("node", "doc", "th")).mapInArrow(_again(size, classes, percent, True), "node long, n long, " + ", ".join(f"p{k} array<long>" for k in range(1, ORDERS)))
-    others = others.dropDuplicates(["node"])
-    places = home.select("node", "home")
-    pairs = _pairs(counted.drop("m").join(places, "node"), percent)
-    tables = [others.select("node", "n", F.posexplode(f"p{k}").alias("pos", "token")) for k in range(1, ORDERS)]
-    # the further orders look only at nodes that the orders before left in some pair
-    for later in tables:
-        pairs = saved(pairs)
-        alive = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        pairs = pairs.join(_pairs(later.join(places, "node").join(alive, "node", "left_semi"), percent), ["a", "b"], "left_semi")
-    pairs = saved(pairs)
+    # between homes: the further orders look only at nodes that the orders before left in some pair
+    pairs = saved(_pairs(counted.drop("m").join(home.select("node", "home"), "node"), percent))
+    for order in range(1, ORDERS):
+        alive = home.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+        again = _texts_of(docs, alive, "home", "n").mapInArrow(_again(size, classes, percent, order), "node long, home long, n long, items array<long>")
+        later = again.select("node", "home", "n", F.posexplode("items").alias("pos", "token"))
+        pairs = saved(pairs.join(_pairs(later, percent), ["a", "b"], "left_semi"))
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     whole = sets(home.join(need, "node", "left_semi"))
     left, right = whole.select(F.col("node").alias("a"), F.col("items").alias("_i")), whole.select(F.col("node").alias("b"), F.col("items").alias("_j"))
