@@ -1,6 +1,6 @@
 """Query plans over the adapters, with their oracle SQL."""
 
-from ledgerlark.plans import core  # noqa: F401
+from ledgerlark.plans import core, filters, scalar_queries  # noqa: F401
 from ledgerlark.plans.catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -43,6 +43,28 @@ VIEWS = {
     "signals": """SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, CAST(ts AS DATE) AS day, 'U' || user_id AS user_id, event_type AS signal_type,
  CAST(value AS DECIMAL(18,4)) AS amount FROM events""",
 }
+_PART = _TICKER.replace("l_partkey", "p_partkey")
+VIEWS |= {
+    "companies": f"""SELECT ticker, p_name AS name, p_brand AS sector, p_type AS industry, p_partkey FROM
+ (SELECT *, {_PART} AS ticker, row_number() OVER (PARTITION BY p_partkey % 200 ORDER BY p_partkey) AS nth FROM part) AS numbered WHERE nth = 1 AND ticker IS NOT NULL""",
+    "issuers": """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN upper(p_name) || ' HLDGS INC' WHEN 1 THEN p_name || ' Finl & Svcs/CA' WHEN 2 THEN p_name || ' Incorporated New'
+ WHEN 3 THEN 'The ' || p_name || ' Intl Group /DE/' ELSE p_name || ' A B Z Corp' END AS issuer,
+ CASE p_size % 6 WHEN 0 THEN 'CL A' WHEN 1 THEN 'COM SER C' WHEN 2 THEN 'SPON ADR NEW' WHEN 3 THEN 'Class B' WHEN 4 THEN 'PFD' ELSE 'COM' END AS title,
+ CASE WHEN p_size % 9 = 0 THEN 'Put' END AS put_call, CASE p_size % 4 WHEN 0 THEN 'PRN' WHEN 1 THEN NULL ELSE ' sh' END AS share_type,
+ CASE p_size % 3 WHEN 0 THEN 'NYSE' WHEN 1 THEN 'Nasdaq' ELSE 'OTC' END AS exchange FROM part""",
+    "options": """SELECT p_partkey, p_name || CASE p_size % 6 WHEN 0 THEN ' Call options; Strike price $' || (p_size * 500) || '; Expires 06/18/2026' WHEN 1 THEN ' put option  exp 1/5/27'
+ WHEN 2 THEN ' [OP]' WHEN 3 THEN ' (STRIKE of 1,250.50)' WHEN 4 THEN ' call option expiration date: 2027-02-30' ELSE '' END AS text,
+ CASE p_size % 4 WHEN 0 THEN 'op' WHEN 1 THEN 'ST' WHEN 2 THEN '' END AS asset_type FROM part""",
+    "people": """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'José ' || c_name || ' Jr.' WHEN 1 THEN 'Zoë O''Neil ' || c_name WHEN 2 THEN c_name || ' Capital Partners, L.P.' ELSE c_name || ', III' END AS name,
+ CASE WHEN c_custkey % 3 > 0 THEN ' M' || c_custkey || ' ' END AS member_id FROM customer""",
+    "codes": """SELECT DISTINCT l_returnflag AS flag, CASE l_linenumber % 9 WHEN 0 THEN 'Purchase' WHEN 1 THEN ' SALE (Full)' WHEN 2 THEN 'p' WHEN 3 THEN 'S' WHEN 4 THEN 'Increased' WHEN 5 THEN 'reduce'
+ WHEN 6 THEN 'Held' WHEN 7 THEN '' ELSE 'Exchange' END AS raw, CASE l_partkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'D' WHEN 2 THEN 'P' WHEN 3 THEN 's' ELSE 'X' END AS code FROM lineitem""",
+    "follows": f"""SELECT DISTINCT 'U' || user_id AS watchlist_id, CASE event_id % 2 WHEN 0 THEN 'ticker' ELSE 'actor' END AS match_type,
+ CASE event_id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'activity' ELSE 'unusual' END AS alert_mode,
+ CASE WHEN event_id % 2 = 0 THEN {_TICKER.replace("l_partkey", "event_id")} ELSE 'politician:m' || (event_id % 1500) END AS target FROM events WHERE event_type = 'signup'""",
+    "subscriptions": """SELECT DISTINCT 'U' || user_id AS watchlist_id, 'S' || user_id || event_type AS subscription_id, CASE event_type WHEN 'view' THEN 'email' ELSE 'sms' END AS channel,
+ CAST(CASE event_type WHEN 'view' THEN 0.70 ELSE 0.75 END AS DECIMAL(5,2)) AS minimum_importance FROM events WHERE event_type IN ('view', 'error') AND user_id % 3 > 0""",
+}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
