@@ -44,6 +44,13 @@ def _keys(length: str) -> Column:
     return F.expr(f"array_join(slice(words, s + 1, {length}), ' ')")
 
 
+def _with_words(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """hits (doc_id, th, hit) with the words of their text, which is fetched once for all hits of a row."""
+    rows = hits.groupBy("doc_id", "th").agg(F.collect_set("hit").alias("hits")).withColumnsRenamed({"doc_id": "_d", "th": "_t"})
+    whole = texts.dropDuplicates(["doc_id", "th"])
+    return rows.join(whole, rows["_d"].eqNullSafe(whole["doc_id"]) & (rows["_t"] == whole["th"])).select("doc_id", "th", "words", F.explode("hits").alias("hit"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs (doc_id, text)."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
@@ -83,8 +90,8 @@ def hit_windows(texts: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFram
     if small:
         near = anchors.join(held(kept), "fp", "left_semi")
     else:
-        at = anchors.select("doc_id", "th", "s", "fp").join(kept, "fp", "left_semi").drop("fp").distinct()
-        near = at.join(texts.dropDuplicates(["doc_id", "th"]), at.doc_id.eqNullSafe(texts.doc_id) & (at.th == texts.th)).select(at.doc_id, at.th, "words", "s")
+        at = anchors.select("doc_id", "th", "s", "fp").join(kept, "fp", "left_semi").select("doc_id", "th", F.struct("s").alias("hit"))
+        near = _with_words(at, texts).select("doc_id", "th", "words", "hit.s")
     near = near.select("doc_id", "th", "words", F.expr(f"explode(sequence(s, least(s + {step - 1}, size(words) - {WINDOW})))").alias("s"))
     near = near.select("doc_id", "th", "s", F.lit(WINDOW).alias("n"), _keys(str(WINDOW)).alias("key"))
     found = near.join(held(keys.select("key").distinct()), "key", "left_semi")
@@ -95,8 +102,11 @@ def hit_windows(texts: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFram
         short = short.select(F.col("key").alias("want"), F.size("short").alias("n"), F.expr(longest).alias("of"))
         short = short.select("want", "n", (-F.col("of.i")).alias("off"), F.xxhash64("of.w").alias("hw"))
         words = texts.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).select("doc_id", "th", "words", F.posexplode_outer("h").alias("p", "hw"))
-        fits = (words.join(F.broadcast(short) if short.count() <= BROADCAST_ROWS else short, "hw")
-                .withColumn("s", F.col("p") - F.col("off")).where("s >= 0 and s + n <= size(words)")
-                .where(_keys("n") == F.col("want")))
+        if short.count() <= BROADCAST_ROWS:
+            fits = words.join(F.broadcast(short), "hw").withColumn("s", F.col("p") - F.col("off"))
+        else:
+            at = words.drop("words").join(short, "hw").select("doc_id", "th", F.struct((F.col("p") - F.col("off")).alias("s"), "n", "want").alias("hit"))
+            fits = _with_words(at, texts).select("doc_id", "th", "words", "hit.*")
+        fits = fits.where("s >= 0 and s + n <= size(words)").where(_keys("n") == F.col("want"))
         found = found.select("doc_id", "th", "s", "n", "key").unionByName(fits.select("doc_id", "th", "s", "n", F.col("want").alias("key")))
     return found.select("doc_id", "th", "s", "n", "key").distinct(), windows

@@ -127,10 +127,11 @@ def suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     at = at[_BEFORE[buf[at - 1]]]
     if len(at):
         data = buf.tobytes().lower()
+        word_end = np.maximum.accumulate(np.where(buf != 32, np.arange(1, len(buf) + 1), 0))  # end of the last byte that is no space
         for p, row in zip(at.tolist(), (np.searchsorted(off, at, "right") - 1).tolist(), strict=True):
             if not rows[row]:
-                end = len(data[off[row] : p].rstrip(b" "))
-                rows[row] = bool(KEY_END.search(data[max(off[row], off[row] + end - 12) : off[row] + end]))
+                end = int(word_end[p - 1])
+                rows[row] = bool(KEY_END.search(data[max(off[row], end - 12) : max(off[row], end)]))
     return rows
 
 
