@@ -59,6 +59,10 @@ VIEWS |= {
  CASE WHEN c_custkey % 3 > 0 THEN ' M' || c_custkey || ' ' END AS member_id FROM customer""",
     "codes": """SELECT DISTINCT l_returnflag AS flag, CASE l_linenumber % 9 WHEN 0 THEN 'Purchase' WHEN 1 THEN ' SALE (Full)' WHEN 2 THEN 'p' WHEN 3 THEN 'S' WHEN 4 THEN 'Increased' WHEN 5 THEN 'reduce'
  WHEN 6 THEN 'Held' WHEN 7 THEN '' ELSE 'Exchange' END AS raw, CASE l_partkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'D' WHEN 2 THEN 'P' WHEN 3 THEN 's' ELSE 'X' END AS code FROM lineitem""",
+    "stored": """SELECT p_partkey AS key, p_name AS name, p_size AS v, CASE p_size % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending_review' END AS status,
+ DATE '2001-01-01' + p_size AS created_at, p_brand AS grp FROM part WHERE p_partkey % 3 <> 0""",
+    "incoming": """SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN p_name ELSE upper(p_name) END AS name, CAST(p_size + p_partkey % 4 AS INT) AS v, 'pending_review' AS status,
+ CASE WHEN p_partkey % 8 = 0 THEN DATE '2001-06-01' END AS created_at, p_brand AS grp FROM part WHERE p_partkey % 2 = 0""",
     "follows": f"""SELECT DISTINCT 'U' || user_id AS watchlist_id, CASE event_id % 2 WHEN 0 THEN 'ticker' ELSE 'actor' END AS match_type,
  CASE event_id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'activity' ELSE 'unusual' END AS alert_mode,
  CASE WHEN event_id % 2 = 0 THEN {_TICKER.replace("l_partkey", "event_id")} ELSE 'politician:m' || (event_id % 1500) END AS target FROM events WHERE event_type = 'signup'""",
