@@ -1,6 +1,6 @@
 """Query plans over the adapters, with their oracle SQL."""
 
-from ledgerlark.plans import aggregates, core, filters, scalar_queries, signal_queries, sink_queries  # noqa: F401
+from ledgerlark.plans import aggregates, core, filters, reader_queries, scalar_queries, signal_queries, sink_queries, stream_queries  # noqa: F401
 from ledgerlark.plans.catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

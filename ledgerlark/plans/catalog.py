@@ -23,3 +23,13 @@ def query(name: str, *views: str, sql: str | None = None):
             SQL[name] = oracle(sql)
         return plan
     return add
+
+
+def stream_query(name: str, sql: str | None = None):
+    """Registers run(spark, sf_dir), which runs a streaming job to its end."""
+    def add(run):
+        QUERIES[name] = run
+        if sql:
+            SQL[name] = oracle(sql)
+        return run
+    return add

@@ -243,14 +243,19 @@ def rules(trades):
     return e.groupBy(rule.alias("rule"), "unusual", "direction").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
 
 
-@query("R15_R17_insider_rules", "insiders")
+@query("R15_R17_C12_insider_rules", "insiders", sql="""
+WITH t AS (SELECT *, sum(CASE transaction_code WHEN 'P' THEN shares ELSE -shares END) OVER (PARTITION BY filer_name, ticker ORDER BY transaction_date, source_url, amount, shares, transaction_code ROWS UNBOUNDED PRECEDING) + 20 AS following FROM insiders WHERE ticker IS NOT NULL),
+g AS (SELECT filer_name, ticker, transaction_date, transaction_code, sum(shares) AS s, sum(amount) * 10 AS v, CASE transaction_code WHEN 'S' THEN min(following) ELSE max(following) END AS after FROM t GROUP BY 1, 2, 3, 4),
+p AS (SELECT *, CASE transaction_code WHEN 'S' THEN after + s ELSE greatest(after - s, 0) END AS before FROM g),
+r AS (SELECT *, CASE WHEN transaction_code = 'P' AND ((before > 0 AND s * 2 >= before) OR (before <= 0 AND after > 0)) AND v >= 250000 THEN 'substantial_insider_buy' WHEN transaction_code = 'S' AND before > 0 AND s * 5 >= before AND v >= 1000000 THEN 'substantial_insider_sell' WHEN before > 0 AND s * 4 >= before AND v >= 250000 THEN 'meaningful_insider_change' END AS rule FROM p)
+SELECT rule, transaction_code, count(*) AS n, sum(v) AS total FROM r WHERE rule IS NOT NULL GROUP BY 1, 2""")
 def insider_rules(insiders):
-    """Substantial and meaningful changes of position by share and value (ten times the small synthetic values); the first rule that fits."""
-    p = position_changes(insiders).withColumn("value", c("value") * 10)
-    p = p.withColumn("pct", F.try_divide("shares", "before"))
-    buy = c("transaction_code") == "P"
-    rule = (F.when(buy & ((c("pct") >= 0.5) | c("new_position")) & (c("value") >= 250_000), "substantial_insider_buy").when(~buy & (c("pct") >= 0.2) & (c("value") >= 1_000_000), "substantial_insider_sell")
-            .when((c("pct") >= 0.25) & (c("value") >= 250_000), "meaningful_insider_change"))
+    """Substantial and meaningful changes of a position (values tenfold, as the synthetic ones are small); the first rule that fits."""
+    p = position_changes(insiders, opening=20).withColumn("value", c("value") * 10)
+    buy, held = c("transaction_code") == "P", c("before") > 0
+    rule = (F.when(buy & ((held & (c("shares") * 2 >= c("before"))) | c("new_position")) & (c("value") >= 250_000), "substantial_insider_buy")
+            .when(~buy & held & (c("shares") * 5 >= c("before")) & (c("value") >= 1_000_000), "substantial_insider_sell")
+            .when(held & (c("shares") * 4 >= c("before")) & (c("value") >= 250_000), "meaningful_insider_change"))
     return p.withColumn("rule", rule).where("rule is not null").groupBy("rule", "transaction_code").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 

@@ -1 +1,5 @@
 """Structured Streaming counterparts of the stateful steps."""
+
+from ledgerlark.streaming.jobs import daily_quota, deduplicated, events, finished, sessions, tumbling, upserting
+
+__all__ = ["daily_quota", "deduplicated", "events", "finished", "sessions", "tumbling", "upserting"]
