@@ -9,7 +9,7 @@ word being marked where one of its features is. Features are screened first: tho
 toxic training documents, with a likelihood ratio above `RATIO`.
 
 The model is fitted on a bounded sample of labelled rows, `SAMPLE` toxic and twice as many others (those with the smallest
-hash of doc_id); all else runs over all rows.
+hash of doc_id, one text a doc_id); all else runs over all rows.
 
 Edge cases: a null or empty text has severity 0 of its features alone, so it is never toxic by its words; without labels of
 both kinds everything scores 0; a document labelled twice counts by each label; repeated rows give equal rows; an empty
@@ -45,14 +45,6 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _sampled(batches):
-    for batch in batches:
-        for i, j, buf, off in text_blocks(batch.column(1)):
-            f, first = features(buf, off)
-            rows = [f[first[r] : first[r + 1]].astype("<i4").tobytes() for r in range(j - i)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(rows, pa.binary())], ["toxic", "f"])
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -86,52 +78,65 @@ class Model:
 NOTHING = Model(np.zeros(0, np.int64), np.zeros(0), np.full(3, 40.0))
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, steps: int = 400) -> Model:
-    """The model for documents given as (words x features)."""
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+def fit(blocks: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, steps: int = 400) -> Model:
+    """The model for documents given as blocks of (bytes, offsets).
+
+    Features are worked out twice, first to screen them and then to keep the marked ones, so that memory holds little but texts.
+    """
+    n1, n0, size = int(toxic.sum()), int((~toxic).sum()), len(toxic)
     if not n1 or not n0:
         return NOTHING
-    df = np.zeros((2, 2 * NONE))
-    for f, t in zip(docs, toxic, strict=True):
+
+    def documents():
+        r = 0
+        for buf, off in blocks:
+            f, first = features(buf, off)
+            for k in range(len(off) - 1):
+                yield r, f[first[k] : first[k + 1]]
+                r += 1
+
+    df = np.zeros((2, 2 * NONE), np.int32)
+    for r, f in documents():
         got, n = np.unique(f[f < NONE], return_counts=True)
-        df[int(t), got] += 1
-        df[int(t), got[n > 1] + NONE] += 1
-    p1, p0 = (df[1] + 0.05) / (n1 + 0.1), (df[0] + 0.05) / (n0 + 0.1)
-    both = (df[1] + df[0] + 0.1) / (n1 + n0 + 0.2)
-    ratio = 2 * (df[1] * np.log(p1 / both) + df[0] * np.log(p0 / both))
-    index = np.flatnonzero((df[1] >= 3) & (p1 > ODDS * p0) & (ratio > RATIO))
+        df[int(toxic[r]), got] += 1
+        df[int(toxic[r]), got[n > 1] + NONE] += 1
+    index = np.flatnonzero(df[1] >= 3)
+    d0, d1 = df[:, index].astype(float)
+    p1, p0, both = (d1 + 0.05) / (n1 + 0.1), (d0 + 0.05) / (n0 + 0.1), (d1 + d0 + 0.1) / (n1 + n0 + 0.2)
+    ratio = 2 * (d1 * np.log(p1 / both) + d0 * np.log(p0 / both))
+    index = index[(p1 > ODDS * p0) & (ratio > RATIO)]
     if not len(index):
         return NOTHING
     marked = np.zeros(NONE + 1, bool)
     marked[index % NONE] = True
-    words = np.array([marked[f].any(axis=1).sum() for f in docs])
-    grade = np.where(toxic, 1 + np.searchsorted(np.quantile(words[toxic], [1 / 3, 2 / 3]), words, "right"), 0)
-    rows, columns, values = [], [], []
-    place = np.full(2 * NONE, -1)
+    place = np.full(2 * NONE, -1, np.int32)
     place[index] = np.arange(len(index))
-    for r, f in enumerate(docs):
+    words, rows, columns, values = np.zeros(size), [], [], []
+    for r, f in documents():
+        words[r] = marked[f].any(axis=1).sum()
         got, n = np.unique(f[marked[f]], return_counts=True)
         got, n = np.concatenate([got, got[n > 1] + NONE]), np.concatenate([n, n[n > 1]])
         at = place[got]
         columns.append(at[at >= 0])
         values.append(np.log1p(n[at >= 0]))
         rows.append(np.full(len(columns[-1]), r))
+    grade = np.where(toxic, 1 + np.searchsorted(np.quantile(words[toxic], [1 / 3, 2 / 3]), words, "right"), 0)
     rows, columns, values = map(np.concatenate, (rows, columns, values))
     w, cut = np.zeros(len(index)), np.array([2.0, 0.0, 0.0])  # cuts: first, then log steps
     m, v = np.zeros(len(w) + 3), np.zeros(len(w) + 3)
     for t in range(1, steps + 1):
         cuts = np.cumsum([cut[0], *np.exp(cut[1:])])
-        p = _sigmoid(np.bincount(rows, values * w[columns], len(docs))[:, None] - cuts)
+        p = _sigmoid(np.bincount(rows, values * w[columns], size)[:, None] - cuts)
         # P(grade = g) is the difference of neighbours; gradient of its log by z and by the cuts
-        full = np.concatenate([np.ones((len(docs), 1)), p, np.zeros((len(docs), 1))], axis=1)
+        full = np.concatenate([np.ones((size, 1)), p, np.zeros((size, 1))], axis=1)
         slope = full * (1 - full)
-        r = np.arange(len(docs))
+        r = np.arange(size)
         like = np.maximum(full[r, grade] - full[r, grade + 1], 1e-9)
         up, down = slope[r, grade] / like, slope[r, grade + 1] / like
-        dz = (up - down) / len(docs)
-        by_cut = np.zeros((len(docs), 5))
-        by_cut[r, grade] -= up / len(docs)
-        by_cut[r, grade + 1] += down / len(docs)
+        dz = (up - down) / size
+        by_cut = np.zeros((size, 5))
+        by_cut[r, grade] -= up / size
+        by_cut[r, grade + 1] += down / size
         dc = by_cut.sum(axis=0)[1:4]
         step = np.exp(cut[1:])
         g = np.concatenate([np.bincount(columns, values * dz[rows], len(index)) - 1e-4 * w, [dc.sum(), dc[1:].sum() * step[0], dc[2] * step[1]]])
@@ -141,13 +146,24 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, steps: int = 400) -> Model:
     return Model(index, w, np.cumsum([cut[0], *np.exp(cut[1:])]))
 
 
+def _fitted(batches):
+    blocks, toxic = [], []
+    for batch in batches:
+        toxic += batch.column(0).to_pylist()
+        blocks += [(buf.copy(), off) for _, _, buf, off in text_blocks(batch.column(1))]
+    model = fit(blocks, np.array(toxic, bool))
+    yield pa.RecordBatch.from_pydict({"index": [model.index.astype("<i8").tobytes()], "weight": [model.weight.astype("<f8").tobytes()], "cuts": [model.cuts.astype("<f8").tobytes()]})
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of the bounded sample. One task fits it; the driver gets weights and thresholds alone."""
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
     part = lambda toxic, n: known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = saved(part(True, SAMPLE).unionByName(part(False, 2 * SAMPLE)))
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_sampled, "toxic boolean, f binary").collect()
-    k = len(BEGIN) + 1
-    return fit([np.frombuffer(r.f, "<i4").reshape(-1, k) for r in got], np.array([r.toxic for r in got], bool))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = texts.repartition(1).sortWithinPartitions("doc_id", "toxic")
+    got = texts.select("toxic", "text").mapInArrow(_fitted, "index binary, weight binary, cuts binary").collect()
+    return Model(*(np.frombuffer(got[0][c], kind) for c, kind in (("index", "<i8"), ("weight", "<f8"), ("cuts", "<f8")))) if got else NOTHING
 
 
 def _graded(model: Model):
