@@ -30,7 +30,9 @@ def work_dir(spark: SparkSession) -> str:
 
 def saved(df: DataFrame) -> DataFrame:
     """df by way of a reliable checkpoint, which survives lost executors."""
-    work_dir(df.sparkSession)
+    place = work_dir(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(place)
     return df.checkpoint(eager=True)
 
 
