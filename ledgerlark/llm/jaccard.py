@@ -1,7 +1,8 @@
 """N-gram Jaccard join by filtering under several global token orders, and the components of its links.
 
 A document is its set of distinct word shingles; documents of one set are one node. Every order ranks shingles by their class
-of frequency (from a count of all shingles in a table of fixed size) and then by a hash of its own; two sets of enough overlap
+of frequency (from a count of all shingles in a table of 2**24 places, rarest first) and then by a hash of its own; two sets of
+enough overlap
 share a shingle in their prefixes under every order.
 
 1. Prefixes under the first order are bucketed by shingle; shingles of one node only are dropped. A node's home is its
@@ -9,9 +10,10 @@ share a shingle in their prefixes under every order.
 2. Inside a home nodes are compared where they are: a home of up to `HOME` nodes in one task; a larger home first against its
    smallest node, and then only the nodes that did not link, in squares of `HOME` by `HOME` nodes. Links leave the task as a
    spanning forest, never as all pairs.
-3. Pairs with different homes must share a prefix shingle under all `ORDERS` orders, with lengths and positions that still
-   allow the overlap; those that do are verified on their whole sets.
-4. Labels (the smallest doc_id of a node) spread over the links, with pointer jumps, from checkpoint to checkpoint.
+3. Pairs with different homes must share a prefix shingle under the first order, with lengths and positions that still allow
+   the overlap, and then under each of the other orders (as 16-bit marks, which can let a pair through but lose none); those
+   that do are verified on their whole sets.
+4. Linked nodes are merged round by round, from checkpoint to checkpoint, and each component takes its smallest doc_id.
 
 No link between different texts is lost: any linked pair has one home, or meets in some bucket of every order.
 
@@ -22,14 +24,18 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import LOWER, mixed, prefix_hash, saved, span_hash, spans, text_blocks
+from ledgerlark.llm.common import BLOCK, LOWER, mixed, prefix_hash, saved, span_hash, spans, text_blocks
 
-ORDERS, HOME, TABLE_BITS, BROADCAST_ROWS = 3, 200, 18, 1_000_000
+ORDERS, HOME, TABLE_BITS, CHUNK_BITS, BROADCAST_ROWS = 3, 200, 24, 16, 1_000_000
 _SALTS = [np.uint64(0xA0761D6478BD642F * (k + 1) % 2**64) for k in range(ORDERS)]
 
 
@@ -71,23 +77,51 @@ def linked(a: int, b: int, both: int, percent: int) -> bool:
 
 
 def _frequencies(size: int):
+    """Counts of shingles by place in a table, as compressed chunks of 16-bit counts; the table is sent on before one can overflow."""
     def task(batches):
-        seen = np.zeros(1 << TABLE_BITS, np.int64)
+        seen, rows, pack = np.zeros(1 << TABLE_BITS, np.uint16), 0, zstandard.ZstdCompressor(level=1).compress
+
+        def sent():
+            chunks = [(k, part) for k, part in enumerate(seen.reshape(-1, 1 << CHUNK_BITS)) if part.any()]
+            for k, part in chunks:
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counts": [pack(part.tobytes())]})
+
         for batch in batches:
-            for _, _, buf, off in text_blocks(batch.column(0)):
-                every = np.concatenate(sets_of(buf, off, size))
-                seen += np.bincount((every >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({"place": pa.array(at), "n": pa.array(seen[at])})
+            for i, j, buf, off in text_blocks(batch.column(0)):
+                for at in range(0, j - i, 30_000):
+                    part = off[at : at + 30_001]
+                    if rows + len(part) > 65_000:
+                        yield from sent()
+                        seen[:], rows = 0, 0
+                    every = np.concatenate(sets_of(buf[part[0] : part[-1]], part - part[0], size))
+                    np.add.at(seen, (every >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.uint16(1))
+                    rows += len(part)
+        if rows:
+            yield from sent()
     return task
 
 
+def _summed(batches):
+    """Chunks of counts to one chunk of classes for each number: the count itself up to 128, then eighths of powers of two."""
+    total: dict[int, np.ndarray] = {}
+    unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            total[k] = total.get(k, 0) + np.frombuffer(unpack(counts.as_py()), np.uint16).astype(np.int64)
+    for k, counts in total.items():
+        classes = np.where(counts <= 128, counts, 128 + np.minimum(127, 8 * np.log2(np.maximum(counts, 128) / 128)))
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "classes": [pack(classes.astype(np.uint8).tobytes())]})
+
+
 def classes_of(docs: DataFrame, size: int) -> np.ndarray:
-    """Frequency classes of shingles by their place in a table of 2**TABLE_BITS counts (the only thing that is collected)."""
-    rows = docs.select("text").mapInArrow(_frequencies(size), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.zeros(1 << TABLE_BITS)
-    seen[rows["place"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    return np.maximum(0, np.floor(np.log2(np.maximum(seen, 1) / max(seen.mean(), 1)))).astype(np.uint8)
+    """Frequency classes of shingles by their place in a table of 2**TABLE_BITS counts over all documents (a byte a place is collected)."""
+    chunks = docs.select("text").mapInArrow(_frequencies(size), "chunk int, counts binary")
+    parts = min(256, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = np.zeros((1 << TABLE_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint8)
+    unpack = zstandard.ZstdDecompressor().decompress
+    for r in chunks.repartition(parts, "chunk").mapInArrow(_summed, "chunk int, classes binary").collect():
+        out[r.chunk] = np.frombuffer(unpack(bytes(r.classes)), np.uint8)
+    return out.reshape(-1)
 
 
 def _first_pass(size: int, classes: np.ndarray, percent: int):
@@ -102,60 +136,101 @@ def _first_pass(size: int, classes: np.ndarray, percent: int):
     return task
 
 
-def _again(size: int, classes: np.ndarray, percent: int, order: int | None):
-    """The rows' sets, or their prefixes under one order, in place of the last column, the text."""
+def _marks(size: int, classes: np.ndarray, percent: int):
+    """(node, text) to each node's prefixes under the further orders, a token as 16 bits: equal tokens have equal marks."""
     def task(batches):
         for batch in batches:
-            at = batch.num_columns - 1
-            for i, j, buf, off in text_blocks(batch.column(at)):
+            for i, j, buf, off in text_blocks(batch.column(1)):
                 all_sets = sets_of(buf, off, size)
-                if order is None:
-                    last = pa.array([x.tobytes() for x in all_sets], pa.binary())
-                else:
-                    last = pa.array([_prefix(x, classes, order, percent) for x in all_sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:at]), last], [*batch.schema.names[:at], "items"])
+                marks = [pa.array([np.unique(_prefix(x, classes, k, percent).astype(np.int16)) for x in all_sets], pa.list_(pa.int16())) for k in range(1, ORDERS)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *marks], ["node", *(f"m{k}" for k in range(1, ORDERS))])
     return task
 
 
-def _verified(percent: int):
+def _packed(batches):
+    """The rows with their whole text compressed: it is several times smaller to move than the hashes of its set."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            at = part.num_columns - 1
+            texts = pa.array([pack(t or b"") for t in part.column(at).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:at], texts], [*part.schema.names[:at], "items"])
+
+
+def _unpacked(frames: list[bytes], size: int) -> list[np.ndarray]:
+    """The sets of compressed texts, worked out in blocks."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    out: list[np.ndarray] = []
+    part: list[bytes] = []
+    held = 0
+    for k, frame in enumerate(frames, 1):
+        part.append(unpack(frame))
+        held += len(part[-1])
+        if k == len(frames) or held > BLOCK:
+            out += sets_of(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]), size)
+            part, held = [], 0
+    return out
+
+
+def _verified(size: int, percent: int):
+    """(a, b, text of a, text of b) to (a, b, whether they link), by whole sets.
+
+    Rows go in runs of about `BLOCK` compressed bytes; a run unpacks each of its texts once.
+    """
     def task(batches):
         for batch in batches:
-            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in (2, 3))
-            ok = [linked(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True)), percent) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ends = np.cumsum([len(p) + len(q) for p, q in zip(x, y, strict=True)]) // BLOCK
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                texts = list(dict.fromkeys(x[i:j] + y[i:j]))
+                sets = dict(zip(texts, _unpacked(texts, size), strict=True))
+                ok = [linked(len(sets[p]), len(sets[q]), len(np.intersect1d(sets[p], sets[q], assume_unique=True)), percent) for p, q in zip(x[i:j], y[i:j], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
     return task
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of two lists of sets, by counting in blocks of shared shingles."""
+    """Sizes of all intersections of two lists of sorted sets; long sets are counted in ranges of their hashes, one after the other."""
     if len(a) * len(b) <= 16:
         return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a])
-    flat = np.concatenate(a + b)
-    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in a + b])
-    _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
+    parts = 1 + sum(map(len, a + b)) // 500_000
+    edges = np.array([k * 2**64 // parts for k in range(1, parts)], np.uint64)
+    cuts = [[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in a + b]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for k in range(parts):
+        _count_common([x[c[k] : c[k + 1]] for x, c in zip(a + b, cuts, strict=True)], len(a), out)
+    return np.rint(out).astype(np.int64)
+
+
+def _count_common(sets: list[np.ndarray], left: int, out: np.ndarray) -> None:
+    """Adds the sizes of the intersections of the first `left` sets with the others, by counting in blocks of shared shingles."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = n[column] > 1
     column, owner = np.unique(column[keep], return_inverse=True)[1], owner[keep]
-    out = np.zeros((len(a), len(b)), np.float32)
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     width = 4096
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, [start, start + width])
-        m = np.zeros((len(a) + len(b), width), np.float32)
+        m = np.zeros((len(sets), width), np.float32)
         m[owner[lo:hi], column[lo:hi] - start] = 1
-        out += m[: len(a)] @ m[len(a) :].T
-    return np.rint(out).astype(np.int64)
+        out += m[:left] @ m[left:].T
 
 
-def _square(rows: list[tuple[int, int, np.ndarray]], percent: int):
+def _square(rows: list[tuple[int, int, bytes]], size: int, percent: int):
     """Links of one block as a forest. Side 0 is compared with side 1; a block of side 0 alone with itself."""
     sides = [sorted({r[0]: r for r in rows if r[1] == k}.values(), key=lambda r: r[0]) for k in (0, 1)]
     a, alone = sides[0], not sides[1]
     b = a if alone else sides[1]
     if not a or len(a) + len(b) < 2 + alone * 2:
         return []
-    both = _overlaps([r[2] for r in a], [r[2] for r in b])
-    la, lb = (np.array([len(r[2]) for r in s]) for s in (a, b))
+    left = _unpacked([r[2] for r in a], size)
+    right = left if alone else _unpacked([r[2] for r in b], size)
+    both = _overlaps(left, right)
+    la, lb = (np.array([len(x) for x in s]) for s in (left, right))
     ok = 100 * both >= percent * (la[:, None] + lb[None, :] - both)
     parent: dict[int, int] = {}
 
@@ -173,13 +248,13 @@ def _square(rows: list[tuple[int, int, np.ndarray]], percent: int):
     return out
 
 
-def _blocks(percent: int):
+def _blocks(size: int, percent: int):
     """Rows (block, node, side, items), sorted by block, to links; a block may run over several batches."""
     def task(batches):
         now, rows = None, []
 
         def closed():
-            found = _square(rows, percent)
+            found = _square(rows, size, percent)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -188,19 +263,20 @@ def _blocks(percent: int):
                 if block != now:
                     yield from closed()
                     now, rows = block, []
-                rows.append((node, side, np.frombuffer(items, np.uint64)))
+                rows.append((node, side, items))
         yield from closed()
     return task
 
 
-def _texts_of(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
-    """(node, columns, text) for chosen (node, doc, th, columns): broadcast while it is small, else shuffled by row.
+def _texts_of(docs: DataFrame, chosen: DataFrame, *columns: str, weight: str = "1") -> DataFrame:
+    """(node, columns, text) for chosen (node, doc, th, columns): broadcast while it weighs BROADCAST_ROWS at most, else shuffled by row.
 
     A repeated row gives its node twice, which later steps bear.
     """
     rows = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), "text")
     side = chosen.select("node", "doc", "th", *columns)
-    side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    weighs = side.agg(F.sum(F.expr(weight))).first()[0] or 0
+    side = F.broadcast(side) if weighs <= BROADCAST_ROWS else side
     return rows.join(side, rows["_d"].eqNullSafe(side["doc"]) & (rows["_t"] == side["th"])).select("node", *columns, "text")
 
 
@@ -221,13 +297,13 @@ def links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFram
     home = saved(home.join(sizes, "home").join(chosen.select("node", F.col("doc.doc_id").alias("doc"), F.col("doc.th").alias("th")), "node").dropDuplicates(["node"]))
 
     # inside homes
-    sets = lambda which: _texts_of(docs, which).mapInArrow(_again(size, classes, percent, None), "node long, items binary")
+    sets = lambda which: _texts_of(docs, which).mapInArrow(_packed, "node long, items binary")
     wide = home.where(f"c > {HOME}")
     wide_sets = sets(wide)
     heads = wide_sets.join(wide.where("node = head").select("node", "home"), "node").select("home", F.col("node").alias("_h"), F.col("items").alias("_i"))
     member = wide_sets.join(wide.where("node <> head").select("node", "home"), "node")
     star = saved(member.join(heads, "home").select(F.col("_h").alias("a"), F.col("node").alias("b"), "_i", "items")
-                 .mapInArrow(_verified(percent), "a long, b long, ok boolean"))
+                 .mapInArrow(_verified(size, percent), "a long, b long, ok boolean"))
     rest = home.join(star.where("ok").select(F.col("b").alias("node")), "node", "left_anti").where(f"c > {HOME} and node <> head").select("node", "home")
     tally = rest.groupBy("home").agg(F.count(F.lit(1)).alias("loose"))
     part = (home.where("c > 1").join(tally, "home", "left").join(rest.select("node", F.lit(True).alias("is_loose")), "node", "left")
@@ -240,23 +316,24 @@ def links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFram
              when is_loose is null then transform(sequence(0, loose_cells - 1), k -> struct(concat_ws(':', home, 'm', cell, k) as block, 0 as side))
              else concat(transform(sequence(0, cells - 1), k -> struct(concat_ws(':', home, 'm', k, cell) as block, 1 as side)),
                          transform(sequence(0, loose_cells - 1), k -> struct(concat_ws(':', home, 'l', least(k, cell), greatest(k, cell)) as block, if(cell > k, 1, 0) as side))) end""")
-    placed = _texts_of(docs, part.withColumn("squares", squares).where("size(squares) > 0"), "squares")
-    placed = placed.mapInArrow(_again(size, classes, percent, None), "node long, squares array<struct<block: string, side: int>>, items binary")
+    placed = _texts_of(docs, part.withColumn("squares", squares).where("size(squares) > 0"), "squares", weight="size(squares)")
+    placed = placed.mapInArrow(_packed, "node long, squares array<struct<block: string, side: int>>, items binary")
     placed = placed.select("node", F.explode("squares").alias("s"), "items").select(F.col("s.block").alias("block"), "node", F.col("s.side").alias("side"), "items")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    inside = saved(placed.repartition(parts, "block").sortWithinPartitions("block", "node").mapInArrow(_blocks(percent), "a long, b long"))
+    inside = saved(placed.repartition(parts, "block").sortWithinPartitions("block", "node").mapInArrow(_blocks(size, percent), "a long, b long"))
 
-    # between homes: the further orders look only at nodes that the orders before left in some pair
+    # between homes: the first order gives pairs of nodes, the further ones have each pair show common tokens again
     pairs = saved(_pairs(counted.drop("m").join(home.select("node", "home"), "node"), percent))
-    for order in range(1, ORDERS):
-        alive = home.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
-        again = _texts_of(docs, alive, "home", "n").mapInArrow(_again(size, classes, percent, order), "node long, home long, n long, items array<long>")
-        later = again.select("node", "home", "n", F.posexplode("items").alias("pos", "token"))
-        pairs = saved(pairs.join(_pairs(later, percent), ["a", "b"], "left_semi"))
+    alive = home.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+    named = [f"m{k}" for k in range(1, ORDERS)]
+    marks = saved(_texts_of(docs, alive).mapInArrow(_marks(size, classes, percent), "node long, " + ", ".join(f"{m} array<short>" for m in named)).dropDuplicates(["node"]))
+    near, far = (marks.select(F.col("node").alias(side), *(F.col(m).alias(f"{side}_{m}") for m in named)) for side in "ab")
+    common = reduce(and_, (F.arrays_overlap(f"a_{m}", f"b_{m}") for m in named))
+    pairs = saved(pairs.join(near, "a").join(far, "b").where(common).select("a", "b"))
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     whole = sets(home.join(need, "node", "left_semi"))
     left, right = whole.select(F.col("node").alias("a"), F.col("items").alias("_i")), whole.select(F.col("node").alias("b"), F.col("items").alias("_j"))
-    between = pairs.join(left, "a").join(right, "b").select("a", "b", "_i", "_j").mapInArrow(_verified(percent), "a long, b long, ok boolean")
+    between = pairs.join(left, "a").join(right, "b").select("a", "b", "_i", "_j").mapInArrow(_verified(size, percent), "a long, b long, ok boolean")
     every = star.where("ok").select("a", "b").unionByName(inside).unionByName(between.where("ok").select("a", "b"))
     return first.select("doc_id.doc_id", "node", "n"), saved(every)
 
@@ -273,22 +350,40 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     return near.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
 
 
+def _roots(edges: DataFrame) -> DataFrame | None:
+    """(node, root) of every node with an edge, or None without edges.
+
+    Each round merges every node into the smallest of its neighbours and then into that one's own; what is left of the edges
+    joins the merged nodes. Nodes are hashes, so their order along any chain is random and a round leaves a fraction of it.
+    """
+    left, steps = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()), []
+    while not left.isEmpty():
+        least = saved(left.union(left.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).withColumn("to", F.least("node", "to")))
+        further = least.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        steps.append(saved(least.join(further, "to").select("node", "root")))
+        ends = [steps[-1].select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in "ab"]
+        moved = left.join(ends[0], "a").join(ends[1], "b").where("_a <> _b")
+        left = saved(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+    if not steps:
+        return None
+    roots = steps.pop()
+    while steps:
+        last = roots.select(F.col("node").alias("root"), F.col("root").alias("_last"))
+        roots = saved(steps.pop().join(last, "root", "left").select("node", F.coalesce("_last", "root").alias("root")))
+    return roots
+
+
 def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
     rows, edges = links(docs, size, percent)
     rows = saved(rows)
-    both = saved(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct())
     small = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
-    labels = saved(small.join(both.select("node").distinct(), "node", "left_semi").select("node", "id", F.col("node").alias("top")))
-    while True:
-        told = both.join(labels.select(F.col("node").alias("other"), F.struct("id", "top").alias("l")), "other").groupBy("node").agg(F.min("l").alias("l"))
-        step = labels.join(told, "node").select("node", F.least(F.struct("id", "top"), "l").alias("l"), F.col("id").alias("was"), "top")
-        jump = labels.select(F.col("node").alias("_n"), F.struct("id", "top").alias("far"))
-        step = saved(step.join(jump, step["l.top"] == jump["_n"]).select("node", F.least("l", "far").alias("l"), "was"))
-        changed = step.where("not (l.id <=> was)").limit(1).count()
-        labels = step.select("node", F.col("l.id").alias("id"), F.col("l.top").alias("top"))
-        if not changed:
-            break
-    found = small.join(labels.select("node", F.col("id").alias("low")), "node", "left").select(F.col("node").alias("_n"), F.coalesce("low", "id").alias("low"))
+    roots = _roots(edges)
+    if roots is None:
+        found = small.select(F.col("node").alias("_n"), F.col("id").alias("low"))
+    else:
+        joined = saved(small.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")))
+        lowest = joined.groupBy("root").agg(F.min("id").alias("low"))
+        found = joined.join(lowest, "root").select(F.col("node").alias("_n"), "low")
     out = rows.join(found, (rows["node"] == found["_n"]) & (rows["n"] > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
