@@ -2,8 +2,7 @@
 
 A document is its set of distinct word shingles; documents of one set are one node. Every order ranks shingles by their class
 of frequency (from a count of all shingles in a table of 2**24 places, rarest first) and then by a hash of its own; two sets of
-enough overlap
-share a shingle in their prefixes under every order.
+enough overlap share a shingle in their prefixes under every order.
 
 1. Prefixes under the first order are bucketed by shingle; shingles of one node only are dropped. A node's home is its
    largest bucket, so near copies of one text mostly have one home.
