@@ -32,9 +32,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import BLOCK, LOWER, mixed, prefix_hash, saved, span_hash, spans, text_blocks
+from ledgerlark.llm.common import LOWER, mixed, prefix_hash, saved, span_hash, spans, text_blocks
 
 ORDERS, HOME, TABLE_BITS, CHUNK_BITS, BROADCAST_ROWS = 3, 200, 24, 16, 1_000_000
+PART = 1 << 18  # bytes of text, or of compressed texts, that a task works on at a time
 _SALTS = [np.uint64(0xA0761D6478BD642F * (k + 1) % 2**64) for k in range(ORDERS)]
 
 
@@ -86,7 +87,7 @@ def _frequencies(size: int):
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counts": [pack(part.tobytes())]})
 
         for batch in batches:
-            for i, j, buf, off in text_blocks(batch.column(0)):
+            for i, j, buf, off in text_blocks(batch.column(0), PART):
                 for at in range(0, j - i, 30_000):
                     part = off[at : at + 30_001]
                     if rows + len(part) > 65_000:
@@ -126,7 +127,7 @@ def classes_of(docs: DataFrame, size: int) -> np.ndarray:
 def _first_pass(size: int, classes: np.ndarray, percent: int):
     def task(batches):
         for batch in batches:
-            for i, j, buf, off in text_blocks(batch.column(1)):
+            for i, j, buf, off in text_blocks(batch.column(1), PART):
                 all_sets = sets_of(buf, off, size)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array([node_of(x) for x in all_sets]), pa.array([len(x) for x in all_sets], pa.int64()),
@@ -139,7 +140,7 @@ def _marks(size: int, classes: np.ndarray, percent: int):
     """(node, text) to each node's prefixes under the further orders, a token as 16 bits: equal tokens have equal marks."""
     def task(batches):
         for batch in batches:
-            for i, j, buf, off in text_blocks(batch.column(1)):
+            for i, j, buf, off in text_blocks(batch.column(1), PART):
                 all_sets = sets_of(buf, off, size)
                 marks = [pa.array([np.unique(_prefix(x, classes, k, percent).astype(np.int16)) for x in all_sets], pa.list_(pa.int16())) for k in range(1, ORDERS)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *marks], ["node", *(f"m{k}" for k in range(1, ORDERS))])
@@ -166,7 +167,7 @@ def _unpacked(frames: list[bytes], size: int) -> list[np.ndarray]:
     for k, frame in enumerate(frames, 1):
         part.append(unpack(frame))
         held += len(part[-1])
-        if k == len(frames) or held > BLOCK:
+        if k == len(frames) or held > PART:
             out += sets_of(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]), size)
             part, held = [], 0
     return out
@@ -175,12 +176,12 @@ def _unpacked(frames: list[bytes], size: int) -> list[np.ndarray]:
 def _verified(size: int, percent: int):
     """(a, b, text of a, text of b) to (a, b, whether they link), by whole sets.
 
-    Rows go in runs of about `BLOCK` compressed bytes; a run unpacks each of its texts once.
+    Rows go in runs of about `PART` compressed bytes; a run unpacks each of its texts once.
     """
     def task(batches):
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ends = np.cumsum([len(p) + len(q) for p, q in zip(x, y, strict=True)]) // BLOCK
+            ends = np.cumsum([len(p) + len(q) for p, q in zip(x, y, strict=True)]) // PART
             cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 texts = list(dict.fromkeys(x[i:j] + y[i:j]))
