@@ -1,11 +1,13 @@
 """Main text of web pages by a recurrent block labeller: a bidirectional LSTM in numpy over the leaf blocks of a page.
 
 A page becomes a sequence of leaf blocks (runs of text between block-level tags). Each block is a vector: its tag path (tags,
-classes and ids of all open elements) hashed to `PATH` places, its words hashed to `WORDS` places, and a few shares. The
-network reads the whole sequence in both directions and gives every block its chance of being main text.
+classes and ids of all open elements) hashed to `PATH` places, all its words as roots of their shares in `WORDS` hashed
+places, and a few shares. The network reads the whole sequence in both directions and gives every block its chance of being
+main text.
 
 It is trained here, once a process, on `PAGES` pages of a generator with a fixed seed: articles in several kinds of layout
-among menus, headers, sidebars, notices, adverts, forms, footers and reader comments, some with tags left open.
+among menus, headers, sidebars, notices, adverts, forms, footers and reader comments, some with tags left open. On half of
+the pages adverts, notices and comments hold words of their kind (`TELLING`), and some of these have no telling tag or class.
 
 Edge cases: a null or empty page, or one without main text, gives an empty text; broken markup is read as far as it goes;
 repeated rows give equal rows; an empty table gives no rows; further columns are ignored.
@@ -22,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PATH, WORDS, HIDDEN, PAGES, STEPS = 64, 16, 16, 400, 220
+PATH, WORDS, HIDDEN, PAGES, STEPS = 64, 1024, 16, 800, 350
 DIM = PATH + WORDS + 6
+#: Added to a block's number of words, so that few words weigh little.
+DAMP = 30
 #: Tags inside running text; all others end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,6 +38,21 @@ CLOSED_BY = {"p": frozenset("p div ul ol table section article aside header foot
              "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]),
              "option": frozenset(["option"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 SPACES = re.compile(r"\s+")
+MARKS = b".,;:!?()[]\"'*"
+#: Words of adverts, notices and comments in English, German, French and Spanish.
+TELLING = {
+    "ad": """buy sale offer offers discount price prices free shipping order shop save deal deals coupon subscribe click limited sponsored today exclusive guarantee bestseller trial
+    kaufen angebot angebote rabatt preis gratis versand bestellen sparen gutschein jetzt acheter offre promo prix gratuit livraison commander soldes comprar oferta ofertas descuento precio envío pedido ahorra""".split(),
+    "notice": """cookies cookie consent privacy policy accept agree settings browser site website terms personalise analytics preferences partners continue
+    datenschutz zustimmen akzeptieren einstellungen webseite nutzung confidentialité accepter paramètres navigateur conditions privacidad aceptar configuración navegador términos""".split(),
+    "comment": """thanks thank great nice i my lol agree disagree reply post posted comment wrote author imho awesome please anyone
+    danke super ich finde kommentar antworten toll merci bravo je commentaire répondre génial gracias yo comentario responder genial""".split(),
+}
+#: Words that any text of these languages has, frequent ones first.
+COMMON = [x.split() for x in ("the of and to in a is that for it with as was on are by this be from at or an which not have you they has had its",
+                              "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an er so wir sie",
+                              "de la le et les des en un du une que est pour qui dans par sur au plus pas ne se ce il sont avec elle",
+                              "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le")]
 
 
 def blocks(page: str) -> list[tuple[str, frozenset, float]]:
@@ -105,10 +124,11 @@ def vectors(page: list[tuple[str, frozenset, float]]) -> np.ndarray:
     for k, (text, path, links) in enumerate(page):
         for name in path:
             x[k, _place(name, PATH)] = 1
-        words = text.lower().split()
-        for w in words[:1] + words[-1:] if len(words) > 40 else words:
-            x[k, PATH + _place(w, WORDS)] += 1 / len(words)
-        n = len(words)
+        words = text.lower().encode("utf-8", "replace").translate(None, MARKS).split()
+        if words:
+            at = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % WORDS
+            x[k, PATH : PATH + WORDS] = np.sqrt(np.bincount(at, minlength=WORDS) / (len(words) + DAMP))
+        n = text.count(" ") + 1
         x[k, PATH + WORDS :] = (min(1.0, n / 50), n < 6, links, text[-1] in ".!?", k / len(page), len(text) / n / 10)
     return x
 
@@ -124,6 +144,8 @@ class Labeller:
         r = np.random.default_rng(seed)
         h = HIDDEN
         self.w = [{"x": r.normal(0, 0.15, (DIM, 4 * h)), "h": r.normal(0, 0.15, (h, 4 * h)), "b": np.r_[np.zeros(h), np.ones(h), np.zeros(2 * h)]} for _ in range(2)]
+        for w in self.w:
+            w["x"][PATH : PATH + WORDS] = 0  # a word not met in training says nothing
         self.out = {"w": r.normal(0, 0.2, 2 * h), "b": np.zeros(1)}
 
     def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -151,14 +173,16 @@ class Labeller:
         both = np.concatenate(states, axis=2)
         return _sigmoid(both @ self.out["w"] + self.out["b"]), both, trace
 
-    def train(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int, batch: int = 32) -> None:
+    def train(self, x: list[np.ndarray], y: list[list[bool]], steps: int, batch: int = 32) -> None:
         params = [p for w in self.w for p in w.values()] + list(self.out.values())
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         order = np.random.default_rng(1)
         for step in range(1, steps + 1):
             pick = order.choice(len(x), min(batch, len(x)), replace=False)
-            longest = int(mask[pick].sum(axis=1).max())
-            bx, bm, by = x[pick, :longest], mask[pick, :longest], y[pick, :longest]
+            longest = max(len(x[k]) for k in pick)
+            bx, bm, by = np.zeros((len(pick), longest, DIM), np.float32), np.zeros((len(pick), longest)), np.zeros((len(pick), longest))
+            for row, k in enumerate(pick):
+                bx[row, : len(x[k])], bm[row, : len(x[k])], by[row, : len(x[k])] = x[k], 1, y[k]
             p, both, trace = self.run(bx, bm, keep=True)
             d = (p - by) * bm / bm.sum()
             grads = []
@@ -168,7 +192,7 @@ class Labeller:
             for q, g, a, b in zip(params, grads, first, second, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
-                q -= 0.02 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+                q -= 0.04 * (1 - step / (steps + 1)) * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
 
     @staticmethod
     def _back(x, w, kept, dseq):
@@ -212,15 +236,33 @@ class Labeller:
 def generated(count: int, seed: int = 11) -> list[tuple[str, list[bool]]]:
     """Pages with the truth of each block, in block order."""
     r = np.random.default_rng(seed)
-    parts = "ba ko ti len mar sou ve ring tal ne pi go du fer sha on ma el".split()
-    word = lambda: "".join(r.choice(parts, r.integers(1, 4)))
+    sounds = [a + b + c for a in "b c d f g h k l m n p r s t v w sh th ch".split() for b in "a e i o u é ä ou".split() for c in ("", "n", "r", "st", "l")]
+    word = lambda: common[int(len(common) * r.random() ** 2)] if r.random() < often else "".join(r.choice(parts, r.integers(1, 4)))
     text = lambda a, b: " ".join(word() for _ in range(r.integers(a, b))).capitalize()
     sent = lambda a, b: text(a, b) + "."
     prose = lambda: " ".join(sent(3, 16) for _ in range(r.integers(1, 6)))
     one = lambda *xs: xs[r.integers(len(xs))]
     out = []
+
+    def of_kind(kind: str) -> str:
+        """Prose with words of a kind on pages whose words tell, and of no kind on the others."""
+        if not telling:
+            return prose()
+        share = r.uniform(0.2, 0.6)
+        said = [one(*TELLING[kind]) if r.random() < share else word() for _ in range(r.integers(5, 80))]
+        return " ".join(said).capitalize() + one(".", ".", "!", "")
+
+    def story() -> str:
+        """Prose of articles; it has a word of the other kinds now and then."""
+        if not telling:
+            return prose()
+        said = [one(*TELLING[one("ad", "notice", "comment")]) if r.random() < 0.02 else word() for _ in range(r.integers(5, 80))]
+        return " ".join(said).capitalize() + "."
+
     for _ in range(count):
         page, truth = [], []
+        parts, common, often = r.choice(sounds, 18, replace=False), COMMON[r.integers(4)], r.uniform(0, 0.7)
+        telling = r.random() < 0.5
 
         def put(markup: str, *blocks_true: bool, page=page, truth=truth) -> None:
             page.append(markup)
@@ -229,15 +271,20 @@ def generated(count: int, seed: int = 11) -> list[tuple[str, list[bool]]]:
         def menu(n: int) -> str:
             return "<ul>" + "".join(f'<li><a href="/{word()}">{text(1, 3)}</a></li>' for _ in range(n)) + "</ul>"
 
+        def plain() -> None:
+            put(one("<p>%s</p>", "<div>%s</div>", "<div><p>%s</p></div>") % of_kind(one("ad", "notice", "comment")), False)
+
         def aside() -> None:
             kind = r.integers(9)
-            if kind == 0:
-                put(f'<div class="{one("ad", "ads", "advert", "banner ad", "sponsored", "promo")}">{prose()}</div>', False)
+            if telling and r.random() < 0.3:
+                plain()
+            elif kind == 0:
+                put(f'<div class="{one("ad", "ads", "advert", "banner ad", "sponsored", "promo")}">{of_kind("ad")}</div>', False)
             elif kind == 1:
                 n = int(r.integers(1, 6))
                 put(f'<aside{one("", " class=sidebar")}><h3>{text(1, 4)}</h3>{menu(n)}</aside>', *[False] * (n + 1))
             elif kind == 2:
-                put(f'<div class="{one("cookie-notice", "notice", "gdpr consent", "alert", "newsletter popup")}"><p>{prose()}</p></div>', False)
+                put(f'<div class="{one("cookie-notice", "notice", "gdpr consent", "alert", "newsletter popup")}"><p>{of_kind("notice")}</p></div>', False)
             elif kind == 3:
                 put(f'<form action="/{word()}"><label>{text(1, 3)}</label> <input name="q"><button>{text(1, 2)}</button></form>', False, False)
             elif kind == 4:
@@ -245,7 +292,7 @@ def generated(count: int, seed: int = 11) -> list[tuple[str, list[bool]]]:
             elif kind == 5:
                 n = int(r.integers(1, 4))
                 box, item = one(("section", "div"), ("div", "div"), ("ol", "li"), ("ul", "li"))
-                put(f'<{box} {one("class", "id")}="{one("comments", "comment-list", "responses", "discussion")}">' + "".join(f'<{item} class="comment"><p>{prose()}</p></{item}>' for _ in range(n)) + f"</{box}>", *[False] * n)
+                put(f'<{box} {one("class", "id")}="{one("comments", "comment-list", "responses", "discussion")}">' + "".join(f'<{item} class="comment"><p>{of_kind("comment")}</p></{item}>' for _ in range(n)) + f"</{box}>", *[False] * n)
             elif kind == 6:
                 n = int(r.integers(2, 6))
                 put(f'<div class="{one("share", "social", "breadcrumb", "breadcrumbs", "pagination", "tags")}">' + "".join(f'<p><a href="#">{text(1, 3)}</a></p>' for _ in range(n)) + "</div>", *[False] * n)
@@ -256,11 +303,14 @@ def generated(count: int, seed: int = 11) -> list[tuple[str, list[bool]]]:
                 put(f'<div class="{one("menu", "nav", "navbar", "topnav")}">{menu(n)}</div>', *[False] * n)
 
         title = text(3, 9)
-        put(f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";f(1);</script></head><body>', False)
+        if r.random() < 0.1:
+            put("<body>")
+        else:
+            put(f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";f(1);</script></head><body>', False)
         if r.random() < 0.5:
             put(f"<header{one('', ' class=site-header', ' id=header')}>{one('<h1>%s</h1>', '<p>%s</p>', '<div class=logo>%s</div>') % text(1, 4)}</header>", False)
         if r.random() < 0.8:
-            n = int(r.integers(2, 9))
+            n = int(r.integers(1, 9))
             put(f"<nav>{menu(n)}</nav>", *[False] * n)
         for _ in range(r.integers(0, 3)):
             aside()
@@ -271,19 +321,21 @@ def generated(count: int, seed: int = 11) -> list[tuple[str, list[bool]]]:
             put(one("<h1>%s</h1>", "<h1>%s</h1>", "<header><h1>%s</h1></header>", "<h2>%s</h2>") % title, True)
         for _ in range(r.integers(1, 12)):
             kind = r.random()
+            if telling and r.random() < 0.15:
+                plain()
             if kind < 0.7:
-                put(f"<p>{prose()}</p>", True)
+                put(f"<p>{story()}</p>", True)
             elif kind < 0.8:
-                put(f"<p><b>{prose()}<br>", True)
+                put(f"<p><b>{story()}<br>", True)
             elif kind < 0.85:
                 put(f"<h2>{text(1, 6)}</h2>", True)
             elif kind < 0.89:
                 n = int(r.integers(1, 5))
                 put("<ul>" + "".join(f"<li>{sent(1, 10)}</li>" for _ in range(n)) + "</ul>", *[True] * n)
             elif kind < 0.92:
-                put(f"<blockquote>{prose()}</blockquote>", True)
+                put(f"<blockquote>{story()}</blockquote>", True)
             elif kind < 0.95:
-                put(f'<p>{sent(1, 6)} <a href="/{word()}">{text(1, 4)}</a> {prose()}</p>', True)
+                put(f'<p>{sent(1, 6)} <a href="/{word()}">{text(1, 4)}</a> {story()}</p>', True)
             elif kind < 0.97:
                 put(f"<table><tr><td>{text(1, 3)}</td><td>{text(1, 3)}</td></tr></table>", True, True)
             else:
@@ -307,12 +359,8 @@ def trained() -> Labeller:
         if len(got) == len(y):
             pages.append(got)
             truth.append(y)
-    size = max(map(len, pages))
-    x, mask, y = np.zeros((len(pages), size, DIM), np.float32), np.zeros((len(pages), size)), np.zeros((len(pages), size))
-    for k, (p, t) in enumerate(zip(pages, truth, strict=True)):
-        x[k, : len(p)], mask[k, : len(p)], y[k, : len(p)] = vectors(p), 1, t
     model = Labeller()
-    model.train(x, mask, y, STEPS)
+    model.train([vectors(p) for p in pages], truth, STEPS)
     return model
 
 

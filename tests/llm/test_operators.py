@@ -361,3 +361,21 @@ def test_main_text_edges(spark):
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
     assert got[0] == got[1] == got[8] == "" and got[4] == got[9] == whole and got[5] == whole and len(got[7]) > 190 * len(whole)
     assert html_text.extract(df.where("false")).count() == 0
+
+
+def test_main_text_words():
+    """Long adverts, notices and comments without a telling tag or class are told by words inside them; so each word counts."""
+    r, plain = random.Random(2), "the of and to in a storm harbour council river budget minister village records season engine doctor history museum".split()
+    told = {"ad": "buy offer discount price free shipping order shop save deal coupon", "notice": "cookies consent privacy policy accept settings browser website terms", "comment": "thanks great nice i my agree reply comment author awesome please"}
+    say = lambda n: " ".join(r.choice(plain) for _ in range(n)).capitalize() + "."
+    for words in told.values():
+        dropped = kept = 0
+        for _ in range(20):
+            texts = [say(r.randrange(20, 70)) for _ in range(5)]
+            texts.insert(3, say(3)[:-1] + " " + " ".join(r.choice(r.choice([words.split(), plain])) for _ in range(60)) + " " + say(2).lower())
+            page = html_text.blocks("<nav><ul><li><a href=/>Home</a></li></ul></nav><article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>")
+            keep = html_text.trained().label([page])[0][1:]
+            dropped, kept = dropped + (not keep[3]), kept + sum(keep) - keep[3]
+        assert dropped >= 15 and kept >= 95
+    a, b = (html_text.vectors([("one " * 30 + w + " two" * 30, frozenset(), 0.0)]) for w in ("cookies", "history"))
+    assert (a != b).any()
