@@ -1,11 +1,12 @@
 """Secret scans: three base patterns, and a randomness test battery on every other long token.
 
-Battery, for a token of `LEAST` or more characters of [A-Za-z0-9+/_=-] that no base span overlaps: its encoding is inferred
-(hex, base32 or base64); a chi-squared test of uniform use of the alphabet, a runs test about the alphabet's middle and a
-lag-1 serial correlation test each give a p-value of randomness. None may reject at `ALPHA` / 3. Being random is not enough
-for short tokens, so the false discovery rate is held as well: under the null of ordinary text a character changes class
-(lower, upper, digit, sign) with probability `TURN`, which gives each token a binomial p-value that falls with its length;
-Benjamini-Hochberg at `RATE` over all tokens of the table, by a histogram of fixed size, sets the level.
+Battery, for what base spans leave of each token of [A-Za-z0-9+/_=-], from `LEAST` characters on: its encoding is the smallest
+of `ALPHABETS` that holds all its characters; a chi-squared test of uniform use of that alphabet, a runs test about the
+alphabet's middle and a lag-1 serial correlation test each give a p-value of randomness. None may reject at `ALPHA` / 3. Being
+random is not enough for short tokens, so the false discovery rate is held as well. Under the null of ordinary text a character
+changes class (lower, upper, digit, sign) with probability `TURN` or words begin with capitals, and letters follow each other as in the shorter tokens of
+the table, case aside. The chance of a token as text over its chance as drawn from the alphabets that hold it is a p-value
+(by Markov's inequality); Benjamini-Hochberg at `RATE` over all tokens of the table, by a histogram of fixed size, sets the level.
 
 A base span is the whole match (`assign`: from the key word to the end of group 2), in code points, end exclusive.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import saved, spans, text_blocks
 
-LEAST, ALPHA, TURN, RATE, BINS = 20, 0.003, 0.08, 0.001, 400
+LEAST, ALPHA, TURN, RATE, BINS = 16, 0.003, 0.08, 0.001, 400
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -43,6 +44,27 @@ def _bytes(chars: str) -> np.ndarray:
 
 _ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 _TOKEN_GAP = _bytes(_ALNUM + "+/_=-")
+_LOW = _ALNUM[:26]
+_EITHER = ["0123456789abcdef", _LOW, _LOW + "234567", "0123456789" + _LOW[:22], "0123456789" + _LOW]
+#: By size: hexadecimal, letters, both kinds of base32 and base36 in either case; letters, base58, base62 and base64 in both.
+ALPHABETS = sorted([c for a in _EITHER for c in (a, a.upper())] + [_ALNUM[:52], "".join(c for c in _ALNUM if c not in "0OIl"), _ALNUM, _ALNUM + "+/"], key=len)
+_HOLDS = {c: sum(1 << k for k, a in enumerate(ALPHABETS) if c in a) for c in _ALNUM + "+/"}
+_PLACES = [{c: k for k, c in enumerate(a)} for a in ALPHABETS]
+_FOLD = str.maketrans("-_", "+/", "=")
+#: Letters of either case are 1 to 26, all else is 0; classes are 0 to 3.
+_LETTER, _CLASS = np.zeros(256, np.int64), np.full(256, 3)
+for _k, _c in enumerate(_LOW):
+    _LETTER[[ord(_c), ord(_c.upper())]] = _k + 1
+_CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
+_INSIDE = np.log([1.0, 1.0, 0.1, 0.2])  # a character of its class; letters have their pairs
+_CAMEL = np.log([[0.85, 0.1, 0.025, 0.025], [0.8, 0.15, 0.025, 0.025], [0.025, 0.025, 0.925, 0.025], [0.3, 0.3, 0.1, 0.3]])
+#: Ordinary words, so that small tables have letter pairs too.
+WORDS = b"""the of and to in that for with was are this be from which not have their information government development international education national
+application management configuration environment description something different through between another without because responsibility understanding
+der die das und nicht eine werden haben wurde zwischen verwaltung entwicklung gesellschaft wissenschaft bundesrepublik geschwindigkeit
+les des une dans pour qui est sur pas avec plus tout comme gouvernement entreprise connaissance administration quelque toujours
+los las del una que con por para como pero desarrollo conocimiento universidad gobierno administracion trabajo siempre
+user name file path index value count table width height button content image default python select update string number object"""
 _BEFORE = ~_bytes("dtnyDTNY\"' ")
 
 
@@ -64,25 +86,61 @@ def _chi_tail(x: float, k: int) -> float:
     return math.erfc(z / math.sqrt(2)) / 2
 
 
-def battery(token: str) -> tuple[bool, float]:
-    """Whether the randomness tests let the token pass, and its p-value as ordinary text."""
-    body = token.rstrip("=")
-    kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in body]
-    n = len(body)
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    # upper binomial tail, summed from the largest term down
-    p_text = sum(math.comb(n - 1, k) * TURN**k * (1 - TURN) ** (n - 1 - k) for k in range(turns, n)) if turns else 1.0
-    low = body.lower()
-    if re.fullmatch(r"[0-9a-f]+", low) and (body == low or body == body.upper()):
-        alphabet, used = "0123456789abcdef", low
-    elif re.fullmatch(r"[A-Z2-7]+", body):
-        alphabet, used = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", body
-    else:
-        alphabet, used = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", body.replace("-", "+").replace("_", "/").replace("=", "")
+def letter_pairs(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Counts of (letter, next letter), 0 for the edge of a run of letters, within tokens shorter than LEAST."""
+    s, e, _ = spans(buf, off, _TOKEN_GAP)
+    keep = e - s < LEAST
+    inside = np.zeros(len(buf) + 2, np.int64)
+    np.add.at(inside, s[keep] + 1, 1)
+    np.add.at(inside, e[keep] + 1, -1)
+    x = np.zeros(len(buf) + 2, np.int64)
+    x[1:-1] = _LETTER[buf]
+    x *= np.cumsum(inside) > 0
+    return np.bincount(x[:-1] * 27 + x[1:], minlength=729)
+
+
+def log_pairs(counts: np.ndarray) -> np.ndarray:
+    """Log chances of the next letter by the letter before, where each letter keeps a share of chance."""
+    n = counts.reshape(27, 27)[:, 1:] + letter_pairs(np.frombuffer(WORDS, np.uint8), np.array([0, len(WORDS)])).reshape(27, 27)[:, 1:]
+    out = np.zeros((27, 27))
+    out[:, 1:] = np.log(0.97 * n / np.maximum(1, n.sum(axis=1, keepdims=True)) + 0.03 / 26)
+    return out
+
+
+def text_p(token: str, pairs: np.ndarray) -> float:
+    """The p-value of a token as ordinary text."""
+    raw = np.frombuffer(token.encode(), np.uint8)
+    kind, letter, n = _CLASS[raw], _LETTER[raw], len(raw)
+    before = np.r_[0, letter[:-1]]
+    turns = int((kind[1:] != kind[:-1]).sum())
+    plain = turns * math.log(TURN / 3) + (n - 1 - turns) * math.log(1 - TURN) + float(pairs[before, letter].sum())
+    # or words joined with capitals: a capital is mostly followed by small letters and begins a word
+    before[1:][(kind[:-1] == 0) & (kind[1:] == 1)] = 0
+    camel = float(_CAMEL[kind[:-1], kind[1:]].sum() + pairs[before, letter].sum())
+    text = math.log(0.25) + float(_INSIDE[kind].sum() + np.logaddexp(plain, camel)) - math.log(2)
+    held = _held(token.translate(_FOLD))
+    drawn = [-n * math.log(len(a) if k < len(ALPHABETS) - 1 else 67) for k, a in enumerate(ALPHABETS) if held >> k & 1]
+    top = max(drawn)
+    return math.exp(min(0.0, text - top - math.log(sum(math.exp(d - top) for d in drawn) / len(ALPHABETS))))
+
+
+def _held(used: str) -> int:
+    """Which alphabets hold all characters, as bits."""
+    held = (1 << len(ALPHABETS)) - 1
+    for c in set(used):
+        held &= _HOLDS[c]
+    return held
+
+
+def battery(token: str) -> bool:
+    """Whether the randomness tests let the token pass."""
+    used = token.translate(_FOLD)
     if len(used) < 8:
-        return False, 1.0
-    x = np.array([alphabet.index(c) for c in used])
-    a, m = len(alphabet), len(used)
+        return False
+    held = _held(used)
+    k = (held & -held).bit_length() - 1
+    x = np.array([_PLACES[k][c] for c in used])
+    a, m = len(ALPHABETS[k]), len(used)
     bins = max(2, min(a, m // 5))
     seen = np.bincount(x * bins // a, minlength=bins)
     share = np.bincount(np.arange(a) * bins // a, minlength=bins) / a * m
@@ -90,7 +148,7 @@ def battery(token: str) -> tuple[bool, float]:
     up = x * 2 >= a
     n1, n0 = int(up.sum()), int(m - up.sum())
     if n1 == 0 or n0 == 0:
-        return False, p_text
+        return False
     runs = 1 + int((up[1:] != up[:-1]).sum())
     mean = 1 + 2 * n1 * n0 / m
     var = (mean - 1) * (mean - 2) / (m - 1)
@@ -98,7 +156,7 @@ def battery(token: str) -> tuple[bool, float]:
     y = x - x.mean()
     power = float((y * y).sum())
     p_serial = _norm_tail(float((y[1:] * y[:-1]).sum()) / power * math.sqrt(m)) if power else 0.0
-    return min(p_chi, p_runs, p_serial) > ALPHA / 3, p_text
+    return min(p_chi, p_runs, p_serial) > ALPHA / 3
 
 
 def _level(p: float) -> int:
@@ -106,14 +164,18 @@ def _level(p: float) -> int:
     return min(BINS, int(-10 * math.log10(max(p, 1e-300))))
 
 
-def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, bool]]]:
-    """Base spans of a text, and (start, end, level, passed) of every other long token."""
+def scan_text(text: str, pairs: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, bool]]]:
+    """Base spans of a text, and (start, end, level, passed) of what they leave of the long tokens."""
     base = base_spans(text)
     tokens = []
     for m in TOKEN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base):
-            passed, p = battery(m[0])
-            tokens.append((m.start(), m.end(), _level(p), passed))
+        at = m.start()
+        for s, e in [(s, e) for s, _, e in base if s < m.end() and m.start() < e] + [(m.end(), m.end())]:
+            if s - at >= LEAST:
+                p = text_p(text[at:s], pairs)
+                # no level above RATE is ever accepted
+                tokens.append((at, s, _level(p), p <= RATE and battery(text[at:s])))
+            at = max(at, e)
     return base, tokens
 
 
@@ -135,30 +197,50 @@ def suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return rows
 
 
-def _scan(batches):
+def _pair_counts(batches):
+    total = np.zeros(729, np.int64)
     for batch in batches:
-        n = batch.num_rows
-        counts, base_text = np.zeros((3, n), np.int64), [""] * n
-        found: list[list] = [[] for _ in range(n)]
-        for i, j, buf, off in text_blocks(batch.column(1)):
-            for r in np.flatnonzero(suspects(buf, off)).tolist():
-                base, tokens = scan_text(buf[off[r] : off[r + 1]].tobytes().decode())
-                base_text[i + r] = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
-                for _, k, _ in base:
-                    counts[k, i + r] += 1
-                found[i + r] = [{"s": s, "k": k, "e": e, "level": -1} for s, k, e in base] + [{"s": s, "k": 3, "e": e, "level": lv} for s, e, lv, ok in tokens if ok]
-                found[i + r] += [{"s": s, "k": 4, "e": e, "level": lv} for s, e, lv, ok in tokens if not ok]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c) for c in counts), pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base_text]),
-             pa.array(found, pa.list_(pa.struct([("s", pa.int64()), ("k", pa.int64()), ("e", pa.int64()), ("level", pa.int64())])))],
-            ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+        for _, _, buf, off in text_blocks(batch.column(0)):
+            total += letter_pairs(buf, off)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+
+def table_pairs(docs: DataFrame) -> np.ndarray:
+    """log_pairs of all texts (at most 729 rows come to the driver)."""
+    counts = np.zeros(729, np.int64)
+    for r in docs.select("text").mapInArrow(_pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r.pair] = r.n
+    return log_pairs(counts)
+
+
+def _scan(pairs: np.ndarray):
+    def task(batches):
+        for batch in batches:
+            n = batch.num_rows
+            counts, base_text = np.zeros((3, n), np.int64), [""] * n
+            found: list[list] = [[] for _ in range(n)]
+            for i, j, buf, off in text_blocks(batch.column(1)):
+                for r in np.flatnonzero(suspects(buf, off)).tolist():
+                    base, tokens = scan_text(buf[off[r] : off[r + 1]].tobytes().decode(), pairs)
+                    base_text[i + r] = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
+                    for _, k, _ in base:
+                        counts[k, i + r] += 1
+                    found[i + r] = [{"s": s, "k": k, "e": e, "level": -1} for s, k, e in base] + [{"s": s, "k": 3, "e": e, "level": lv} for s, e, lv, ok in tokens if ok]
+                    found[i + r] += [{"s": s, "k": 4, "e": e, "level": lv} for s, e, lv, ok in tokens if not ok]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c) for c in counts), pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base_text]),
+                 pa.array(found, pa.list_(pa.struct([("s", pa.int64()), ("k", pa.int64()), ("e", pa.int64()), ("level", pa.int64())])))],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+
+    return task
 
 
 SCAN = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<s: long, k: long, e: long, level: long>>"
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, SCAN)
+def scanned(docs: DataFrame, pairs: np.ndarray) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(pairs), SCAN)
 
 
 def discovery_level(scan: DataFrame) -> int:
@@ -175,7 +257,7 @@ def discovery_level(scan: DataFrame) -> int:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined) and n_random of every row."""
-    scan = saved(scanned(docs))
+    scan = saved(scanned(docs, table_pairs(docs)))
     level = discovery_level(scan)
     names = "array('assign', 'access', 'hex', 'random')"
     kept = scan.withColumn("found", F.expr(f"array_sort(filter(found, f -> f.k < 3 or f.k = 3 and f.level >= {level}))"))
@@ -186,7 +268,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by `mark` and n_chars counted anew; other rows and columns stay as they are."""
-    level = discovery_level(saved(scanned(docs)))
+    pairs = table_pairs(docs)
+    level = discovery_level(saved(scanned(docs, pairs)))
     names = docs.columns
     at = names.index("text")
 
@@ -196,7 +279,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             for i, _, buf, off in text_blocks(batch.column(at)):
                 for r in np.flatnonzero(suspects(buf, off)).tolist():
                     text = texts[i + r]
-                    base, tokens = scan_text(text)
+                    base, tokens = scan_text(text, pairs)
                     cut = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, lv, ok in tokens if ok and lv >= level])
                     out, past = [], 0
                     for s, e in cut:
