@@ -29,10 +29,11 @@ DIM = PATH + WORDS + 6
 #: Added to a block's number of words, so that few words weigh little.
 DAMP = 30
 #: Tags inside running text; all others end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math maction menclose merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object canvas".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>""", re.S | re.I)
+#: Elements passed over from start tag to end tag; without an end tag they are read like any other.
+SILENT = {t: re.compile(rf"</{t}\s*>", re.I) for t in "noscript template svg iframe object canvas".split()}
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>""", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 CLOSED_BY = {"p": frozenset("p div ul ol table section article aside header footer nav form h1 h2 h3 h4 h5 h6 blockquote pre main figure".split()),
              "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]),
@@ -80,14 +81,21 @@ def blocks(page: str) -> list[tuple[str, frozenset, float]]:
         if in_link:
             links += len(text)
 
-    at = 0
-    for m in TAG.finditer(page):
+    at, endless = 0, set()
+    while m := TAG.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if not tag:
             continue
         tag = tag.lower()
+        if tag in SILENT and not m[2] and tag not in endless:
+            if tag == "svg" and m[4].endswith("/"):
+                continue
+            if end := SILENT[tag].search(page, at):
+                at = end.end()
+                continue
+            endless.add(tag)
         if tag == "br":
             add(" ")
             continue

@@ -397,3 +397,16 @@ def test_main_text_words():
         assert dropped >= 15 and kept >= 95
     a, b = (html_text.vectors([("one " * 30 + w + " two" * 30, frozenset(), 0.0)]) for w in ("cookies", "history"))
     assert (a != b).any()
+
+
+@pytest.mark.parametrize(("page", "texts"), [
+    ('<nav><svg class="i"/></nav><article><p>One</p></article>', ["One"]),
+    ('<p>a</p><svg viewBox="0 > 1"><text>no</text></svg><p>b</p>', ["a", "b"]),
+    ("<p>a</p><object-card><p>b</p></object-card><p>c</p>", ["a", "b", "c"]),
+    ("<p>a</p><math/><p>b</p><iframe/><p>c</p>", ["a", "b", "c"]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["so x=2 holds"]),
+    ("<p>a</p><iframe src=x></iframe><canvas>no</canvas><p>b</p>", ["a", "b"]),
+    ("<p>a</p><script>x = '<p>no</p>'", ["a"]),
+])
+def test_main_text_silent_elements(page, texts):
+    assert [b[0] for b in html_text.blocks(page)] == texts
