@@ -13,21 +13,38 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 20
+BLOCK, BATCH_ROWS, BATCH_BYTES = 1 << 20, 2000, 1 << 22
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of this machine only where none is set (tests)."""
+    """The shared folder named in spark.checkpoint.dir. Only a local master may go without it: machines of a cluster share no temporary folder."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         place = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on passes batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes to Python and back.
+
+    Texts are long: the default of 10,000 rows would hold whole tens of megabytes several times over in each task.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = df.sparkSession.conf.get(key, None)
+        held = int(now.removesuffix("b")) if now else 0
+        if held <= 0 or held > most:
+            df.sparkSession.conf.set(key, most)
+    return df
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df by way of a reliable checkpoint, which survives lost executors."""
     place = work_dir(df.sparkSession)
@@ -78,18 +95,10 @@ def _set(*ranges: tuple[int, int]) -> np.ndarray:
 SPACE = _set((0x20, 0x20), (0x09, 0x0D))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_ODD = 0x9E3779B97F4A7C15
-_TABLE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_ODD, pow(_ODD, -1, 2**64))):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 512
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -134,15 +143,29 @@ def spans(buf: np.ndarray, off: np.ndarray, gap_bytes: np.ndarray = SPACE) -> tu
     return s, np.flatnonzero(last) + 1, np.searchsorted(s, off)
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TABLE[buf] * _grown(len(buf) + 1)[0][: len(buf)], out=out[1:])
-    return out
+def padded(buf: np.ndarray) -> np.ndarray:
+    """buf and eight zeros, which span_hash reads past the end."""
+    return np.concatenate([buf, np.zeros(8, np.uint8)])
+
 
+def span_hash(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [s, e) of a padded buffer, the same wherever a span stands.
 
-def span_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [s, e), the same wherever a span stands."""
-    return mixed((h[e] - h[s]) * _grown(len(h))[1][s] + (e - s).astype(np.uint64))
+    Eight bytes at a time are mixed into what the bytes before gave, so no arithmetic relation between bytes cancels out.
+    """
+    eights = np.ndarray((len(buf) - 7,), "<u8", buffer=buf.data, strides=(1,))
+    n = e - s
+    out = mixed(n.astype(np.uint64) * _ODD)
+    long = n > LONG_SPAN
+    at = np.flatnonzero((n > 0) & ~long)
+    step = 0
+    while len(at):
+        left = n[at] - step
+        out[at] = mixed(out[at] * _ODD + (eights[s[at] + step] & _MASKS[np.minimum(left, 8)]))
+        at, step = at[left > 8], step + 8
+    for i in np.flatnonzero(long).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[s[i] : e[i]])
+    return out
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerlark.llm.common import small_batches
+
 PATH, WORDS, HIDDEN, PAGES, STEPS = 64, 1024, 16, 800, 350
 DIM = PATH + WORDS + 6
 #: Added to a block's number of words, so that few words weigh little.
@@ -384,4 +386,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = ["\n".join(b[0] for b, y in zip(p, keep, strict=True) if y) for p, keep in zip(split, model.label(split), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr("cast(page_id as bigint)", "url", "html").mapInArrow(task, "page_id long, url string, text string, n_chars long")
+    return small_batches(pages).selectExpr("cast(page_id as bigint)", "url", "html").mapInArrow(task, "page_id long, url string, text string, n_chars long")

@@ -2,39 +2,41 @@
 
 A document is its set of distinct word shingles; documents of one set are one node. Every order ranks shingles by their class
 of frequency (from a count of all shingles in a table of 2**24 places, rarest first) and then by a hash of its own; two sets of
-enough overlap share a shingle in their prefixes under every order.
-
-1. Prefixes under the first order are bucketed by shingle; shingles of one node only are dropped. A node's home is its
-   largest bucket, so near copies of one text mostly have one home.
-2. Inside a home nodes are compared where they are: a home of up to `HOME` nodes in one task; a larger home first against its
-   smallest node, and then only the nodes that did not link, in squares of `HOME` by `HOME` nodes. Links leave the task as a
-   spanning forest, never as all pairs.
-3. Pairs with different homes must share a prefix shingle under the first order, with lengths and positions that still allow
-   the overlap, and then under each of the other orders (as 16-bit marks, which can let a pair through but lose none); those
-   that do are verified on their whole sets.
-4. Linked nodes are merged round by round, from checkpoint to checkpoint, and each component takes its smallest doc_id.
-
-No link between different texts is lost: any linked pair has one home, or meets in some bucket of every order.
+enough overlap share a shingle in their prefixes under every order, so a pair is verified on whole sets only if it does so
+under all `ORDERS` orders.
+
+1. Prefixes under the first order are bucketed by shingle; shingles of one node only are dropped.
+2. `ROUNDS` times, nodes without a link go to their largest bucket and are tried against its smallest node, so near copies of
+   one text link in a number of trials that grows with their number. What links is one part.
+3. Nodes of different parts that share prefix shingles become pairs where lengths and positions still allow the overlap: the
+   smaller set is looked up by the beginning of its prefix alone, pairs inside the largest part of a bucket are never formed,
+   and all shared prefix shingles together must leave room for the overlap.
+4. Pairs are verified in blocks of two cells of parts, so a text moves once a block and not once a pair; a pair whose nodes
+   are already linked in its block is passed over. A cell holds about `CELL` shingles.
+5. Linked nodes are merged round by round, from checkpoint to checkpoint, and each component takes its smallest doc_id.
+
+No link between different texts is lost: a linked pair is in one part, or meets in a bucket of the first order and passes
+the others. A bucket is dealt over cells by an estimate of its size, and joins on hot shingles are salted by their counts.
 
 Edge cases: a null, empty or blank text has an empty set, links with nothing and is its own component; fewer words than a
-shingle make one shingle of them all; rows with equal doc_id stay separate rows and share what their texts give; an empty
-table gives no rows; further columns are ignored.
+shingle make one shingle of them all; a very long text is one row and one set, whole; rows with equal doc_id stay separate
+rows and share what their texts give; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import LOWER, mixed, prefix_hash, saved, span_hash, spans, text_blocks
+from ledgerlark.llm.common import LOWER, mixed, padded, saved, small_batches, span_hash, spans, text_blocks
 
-ORDERS, HOME, TABLE_BITS, CHUNK_BITS, BROADCAST_ROWS = 3, 200, 24, 16, 1_000_000
+ORDERS, ROUNDS, TABLE_BITS, CHUNK_BITS = 3, 2, 24, 16
+#: Rows of a bucket cell, members a task tries against one node, rows of a hot shingle in one join task, shingles of a block's side.
+BUCKET, STAR, HOT, CELL = 4096, 2000, 2000, 100_000
+BROADCAST_ROWS = 200_000  # of about 60 bytes
 PART = 1 << 18  # bytes of text, or of compressed texts, that a task works on at a time
 _SALTS = [np.uint64(0xA0761D6478BD642F * (k + 1) % 2**64) for k in range(ORDERS)]
 
@@ -42,7 +44,7 @@ _SALTS = [np.uint64(0xA0761D6478BD642F * (k + 1) % 2**64) for k in range(ORDERS)
 def sets_of(buf: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
     """Each row's sorted distinct shingle hashes."""
     s, e, first = spans(buf, off)
-    h = span_hash(prefix_hash(LOWER[buf]), s, e)
+    h = span_hash(padded(LOWER[buf]), s, e)
     grams = h[: max(0, len(h) - size + 1)]
     for k in range(1, size):
         grams = mixed(grams * np.uint64(3)) + h[k : len(h) - size + 1 + k]
@@ -64,31 +66,89 @@ def node_of(x: np.ndarray) -> int:
     return int(np.array([mixed(x).sum() + np.uint64(len(x))], np.uint64).view(np.int64)[0]) if len(x) else 0
 
 
-def _prefix(x: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
+class Classes:
+    """Frequency classes by shingle, a byte for each place of the table; it travels compressed and is unpacked once a worker."""
+
+    _held: dict = {}
+
+    def __init__(self, table: np.ndarray):
+        self.packed = zstandard.ZstdCompressor(level=3).compress(table.tobytes())
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        key = hash(self.packed)
+        if key not in Classes._held:
+            Classes._held.clear()
+            Classes._held[key] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed), np.uint8)
+        return Classes._held[key][x >> np.uint64(64 - TABLE_BITS)]
+
+
+def prefix(x: np.ndarray, classes: Classes, order: int, percent: int) -> np.ndarray:
+    """The first shingles of a set under an order, as many as no set of enough overlap can miss."""
     rank = mixed(x ^ _SALTS[order]) >> np.uint64(8)
-    rank |= classes[x >> np.uint64(64 - TABLE_BITS)].astype(np.uint64) << np.uint64(56)
+    rank |= classes.of(x).astype(np.uint64) << np.uint64(56)
     n = len(x) - -(-percent * len(x) // 100) + 1
     low = np.argpartition(rank, n - 1)[:n] if n < len(x) else np.arange(len(x))
-    return x[low[np.argsort(rank[low])]].view(np.int64)
+    return x[low[np.argsort(rank[low])]]
 
 
 def linked(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
+class Sets:
+    """Sets of compressed texts with what their pairs are filtered by."""
+
+    def __init__(self, classes: Classes, size: int, percent: int):
+        self.classes, self.size, self.percent = classes, size, percent
+
+    def unpacked(self, frames: list[bytes]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        """(set, sorted prefixes under every order) of each text, worked out about PART bytes at a time."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        sets: list[np.ndarray] = []
+        part: list[bytes] = []
+        held = 0
+        for k, frame in enumerate(frames, 1):
+            part.append(unpack(frame))
+            held += len(part[-1])
+            if k == len(frames) or held > PART:
+                sets += sets_of(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]), self.size)
+                part, held = [], 0
+        return [(x, [np.sort(prefix(x, self.classes, k, self.percent)) for k in range(ORDERS)] if len(x) else []) for x in sets]
+
+    def links(self, a, b) -> bool:
+        """Whether two sets link; whole sets are compared only if they share a prefix shingle under every order."""
+        x, y = a[0], b[0]
+        if 100 * min(len(x), len(y)) < self.percent * max(len(x), len(y)):
+            return False
+        if not all(_meet(p, q) for p, q in zip(a[1], b[1], strict=True)):
+            return False
+        return linked(len(x), len(y), _common(x, y), self.percent)
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # merges the two runs
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _meet(x: np.ndarray, y: np.ndarray) -> bool:
+    return _common(x, y) > 0
+
+
 def _frequencies(size: int):
     """Counts of shingles by place in a table, as compressed chunks of 16-bit counts; the table is sent on before one can overflow."""
     def task(batches):
         seen, rows, pack = np.zeros(1 << TABLE_BITS, np.uint16), 0, zstandard.ZstdCompressor(level=1).compress
 
         def sent():
-            chunks = [(k, part) for k, part in enumerate(seen.reshape(-1, 1 << CHUNK_BITS)) if part.any()]
-            for k, part in chunks:
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counts": [pack(part.tobytes())]})
+            for k, part in enumerate(seen.reshape(-1, 1 << CHUNK_BITS)):
+                if part.any():
+                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counts": [pack(part.tobytes())]})
 
         for batch in batches:
-            for i, j, buf, off in text_blocks(batch.column(0), PART):
-                for at in range(0, j - i, 30_000):
+            for _, _, buf, off in text_blocks(batch.column(0), PART):
+                for at in range(0, len(off) - 1, 30_000):
                     part = off[at : at + 30_001]
                     if rows + len(part) > 65_000:
                         yield from sent()
@@ -113,7 +173,7 @@ def _summed(batches):
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "classes": [pack(classes.astype(np.uint8).tobytes())]})
 
 
-def classes_of(docs: DataFrame, size: int) -> np.ndarray:
+def classes_of(docs: DataFrame, size: int) -> Classes:
     """Frequency classes of shingles by their place in a table of 2**TABLE_BITS counts over all documents (a byte a place is collected)."""
     chunks = docs.select("text").mapInArrow(_frequencies(size), "chunk int, counts binary")
     parts = min(256, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -121,29 +181,23 @@ def classes_of(docs: DataFrame, size: int) -> np.ndarray:
     unpack = zstandard.ZstdDecompressor().decompress
     for r in chunks.repartition(parts, "chunk").mapInArrow(_summed, "chunk int, classes binary").collect():
         out[r.chunk] = np.frombuffer(unpack(bytes(r.classes)), np.uint8)
-    return out.reshape(-1)
+    return Classes(out)
 
 
-def _first_pass(size: int, classes: np.ndarray, percent: int):
+def _first_pass(size: int, classes: Classes, percent: int):
+    """Rows to node, set size, prefix under the first order, and over how many cells the bucket of each prefix shingle is dealt."""
     def task(batches):
         for batch in batches:
             for i, j, buf, off in text_blocks(batch.column(1), PART):
                 all_sets = sets_of(buf, off, size)
+                tokens = [prefix(x, classes, 0, percent) if len(x) else x for x in all_sets]
+                bounds = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
+                flat = np.concatenate(tokens)
+                c = classes.of(flat).astype(np.float64)
+                cells = 1 + (np.where(c <= 128, c, 128 * 2 ** ((c - 128) / 8)) / BUCKET).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array([node_of(x) for x in all_sets]), pa.array([len(x) for x in all_sets], pa.int64()),
-                     pa.array([_prefix(x, classes, 0, percent) if len(x) else np.zeros(0, np.int64) for x in all_sets], pa.list_(pa.int64()))],
-                    ["doc_id", "node", "n", "p"])
-    return task
-
-
-def _marks(size: int, classes: np.ndarray, percent: int):
-    """(node, text) to each node's prefixes under the further orders, a token as 16 bits: equal tokens have equal marks."""
-    def task(batches):
-        for batch in batches:
-            for i, j, buf, off in text_blocks(batch.column(1), PART):
-                all_sets = sets_of(buf, off, size)
-                marks = [pa.array([np.unique(_prefix(x, classes, k, percent).astype(np.int16)) for x in all_sets], pa.list_(pa.int16())) for k in range(1, ORDERS)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *marks], ["node", *(f"m{k}" for k in range(1, ORDERS))])
+                     pa.ListArray.from_arrays(bounds, pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(cells))], ["doc_id", "node", "n", "p", "cells"])
     return task
 
 
@@ -158,196 +212,158 @@ def _packed(batches):
             yield pa.RecordBatch.from_arrays([*part.columns[:at], texts], [*part.schema.names[:at], "items"])
 
 
-def _unpacked(frames: list[bytes], size: int) -> list[np.ndarray]:
-    """The sets of compressed texts, worked out in blocks."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    out: list[np.ndarray] = []
-    part: list[bytes] = []
-    held = 0
-    for k, frame in enumerate(frames, 1):
-        part.append(unpack(frame))
-        held += len(part[-1])
-        if k == len(frames) or held > PART:
-            out += sets_of(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]), size)
-            part, held = [], 0
-    return out
-
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-def _verified(size: int, percent: int):
-    """(a, b, text of a, text of b) to (a, b, whether they link), by whole sets.
 
-    Rows go in runs of about `PART` compressed bytes; a run unpacks each of its texts once.
-    """
+def _stars(sets: Sets):
+    """Rows (home, salt, lead, node, items), sorted so that each group begins with its lead, to the links of leads."""
     def task(batches):
+        now, lead = None, None
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ends = np.cumsum([len(p) + len(q) for p, q in zip(x, y, strict=True)]) // PART
-            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                texts = list(dict.fromkeys(x[i:j] + y[i:j]))
-                sets = dict(zip(texts, _unpacked(texts, size), strict=True))
-                ok = [linked(len(sets[p]), len(sets[q]), len(np.intersect1d(sets[p], sets[q], assume_unique=True)), percent) for p, q in zip(x[i:j], y[i:j], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            at = 0
+            while at < len(rows):
+                end, held = at, 0
+                while end < len(rows) and held < PART:
+                    held += len(rows[end][4])
+                    end += 1
+                found = []
+                for (home, salt, first, node, _), x in zip(rows[at:end], sets.unpacked([r[4] for r in rows[at:end]]), strict=True):
+                    if (home, salt) != now:
+                        now, lead = (home, salt), (node, x) if first else None
+                    elif not first and lead and sets.links(lead[1], x):
+                        found.append((lead[0], node))
+                if found:
+                    yield _links(found)
+                at = end
     return task
 
 
-def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of two lists of sorted sets; long sets are counted in ranges of their hashes, one after the other."""
-    if len(a) * len(b) <= 16:
-        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a])
-    parts = 1 + sum(map(len, a + b)) // 500_000
-    edges = np.array([k * 2**64 // parts for k in range(1, parts)], np.uint64)
-    cuts = [[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in a + b]
-    out = np.zeros((len(a), len(b)), np.float32)
-    for k in range(parts):
-        _count_common([x[c[k] : c[k + 1]] for x, c in zip(a + b, cuts, strict=True)], len(a), out)
-    return np.rint(out).astype(np.int64)
-
-
-def _count_common(sets: list[np.ndarray], left: int, out: np.ndarray) -> None:
-    """Adds the sizes of the intersections of the first `left` sets with the others, by counting in blocks of shared shingles."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = n[column] > 1
-    column, owner = np.unique(column[keep], return_inverse=True)[1], owner[keep]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    width = 4096
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, [start, start + width])
-        m = np.zeros((len(sets), width), np.float32)
-        m[owner[lo:hi], column[lo:hi] - start] = 1
-        out += m[:left] @ m[left:].T
-
-
-def _square(rows: list[tuple[int, int, bytes]], size: int, percent: int):
-    """Links of one block as a forest. Side 0 is compared with side 1; a block of side 0 alone with itself."""
-    sides = [sorted({r[0]: r for r in rows if r[1] == k}.values(), key=lambda r: r[0]) for k in (0, 1)]
-    a, alone = sides[0], not sides[1]
-    b = a if alone else sides[1]
-    if not a or len(a) + len(b) < 2 + alone * 2:
-        return []
-    left = _unpacked([r[2] for r in a], size)
-    right = left if alone else _unpacked([r[2] for r in b], size)
-    both = _overlaps(left, right)
-    la, lb = (np.array([len(x) for x in s]) for s in (left, right))
-    ok = 100 * both >= percent * (la[:, None] + lb[None, :] - both)
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    out = []
-    for i, j in zip(*(v.tolist() for v in np.nonzero(ok)), strict=True):
-        p, q = top(a[i][0]), top(b[j][0])
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((a[i][0], b[j][0]))
-    return out
-
-
-def _blocks(size: int, percent: int):
-    """Rows (block, node, side, items), sorted by block, to links; a block may run over several batches."""
+def _blocks(sets: Sets):
+    """Rows (block, other, node, items), sorted so that a block's texts (other is null) precede its pairs, to links."""
     def task(batches):
-        now, rows = None, []
+        now, texts, held, parent = None, {}, None, {}
 
-        def closed():
-            found = _square(rows, size, percent)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
 
         for batch in batches:
-            for block, node, side, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = []
+            for block, other, node, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
-                    yield from closed()
-                    now, rows = block, []
-                rows.append((node, side, items))
-        yield from closed()
+                    now, texts, held, parent = block, {}, None, {}
+                if other is None:
+                    texts[node] = items
+                    continue
+                if held is None:
+                    held, texts = dict(zip(texts, sets.unpacked(list(texts.values())), strict=True)), {}
+                p, q = top(node), top(other)
+                if p != q and sets.links(held[node], held[other]):
+                    parent[max(p, q)] = min(p, q)
+                    found.append((node, other))
+            if found:
+                yield _links(found)
     return task
 
 
-def _texts_of(docs: DataFrame, chosen: DataFrame, *columns: str, weight: str = "1") -> DataFrame:
-    """(node, columns, text) for chosen (node, doc, th, columns): broadcast while it weighs BROADCAST_ROWS at most, else shuffled by row.
+def _texts_of(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
+    """(columns, text) for chosen (doc, th, columns): broadcast while it has BROADCAST_ROWS at most, else shuffled by row.
 
     A repeated row gives its node twice, which later steps bear.
     """
     rows = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), "text")
-    side = chosen.select("node", "doc", "th", *columns)
-    weighs = side.agg(F.sum(F.expr(weight))).first()[0] or 0
-    side = F.broadcast(side) if weighs <= BROADCAST_ROWS else side
-    return rows.join(side, rows["_d"].eqNullSafe(side["doc"]) & (rows["_t"] == side["th"])).select("node", *columns, "text")
+    side = chosen.select("doc", "th", *columns)
+    side = F.broadcast(side) if chosen.count() <= BROADCAST_ROWS else side
+    return rows.join(side, rows["_d"].eqNullSafe(side["doc"]) & (rows["_t"] == side["th"])).select(*columns, "text")
+
+
+def _homes(rows: DataFrame) -> DataFrame:
+    """(node, home, c, head) of the nodes of rows (node, token, m): the largest bucket, how many chose it, and the smallest of these."""
+    home = rows.groupBy("node").agg(F.max(F.struct("m", "token")).alias("h")).select("node", F.col("h.token").alias("home"))
+    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("head"))
+    return home.join(sizes, "home").where("c > 1").select("node", "home", "c", "head")
+
+
+def _tried(packed: DataFrame, sets: Sets) -> DataFrame:
+    """Links (a: head, b) of packed texts (node, home, c, head, items) with their home's head."""
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = F.expr(f"1 + floor(c / {STAR})")
+    salts = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0).cast("long"), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), groups)))
+    rows = packed.select("home", F.explode(salts).alias("salt"), (F.col("node") == F.col("head")).alias("lead"), "node", "items")
+    rows = rows.repartition(parts, "home", "salt").sortWithinPartitions("home", "salt", F.desc("lead"))
+    return saved(rows.mapInArrow(_stars(sets), "a long, b long"))
 
 
 def links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n) of every row, and links (a, b) between nodes that join what belongs together."""
     spark = docs.sparkSession
     classes = classes_of(docs, size)
+    sets = Sets(classes, size, percent)
     first = saved(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")).alias("doc_id"), "text")
-                  .mapInArrow(_first_pass(size, classes, percent), "doc_id struct<doc_id: long, th: long>, node long, n long, p array<long>"))
+                  .mapInArrow(_first_pass(size, classes, percent), "doc_id struct<doc_id: long, th: long>, node long, n long, p array<long>, cells array<int>"))
     # one row stands for a node; node and row are hashed together, so a node of very many copies is no hot key
     chosen = first.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))
     lone = first.join(chosen, (first["node"] == chosen["node"]) & first["doc_id"].eqNullSafe(chosen["doc"]), "left_semi")
-    rows = lone.select("node", "n", F.posexplode("p").alias("pos", "token"))
-    counted = rows.withColumn("most", F.expr("max(node) over (partition by token)")).withColumn("least", F.expr("min(node) over (partition by token)"))
-    counted = saved(counted.where("least <> most").withColumn("m", F.expr("count(*) over (partition by token)")).drop("least", "most"))
-    home = counted.groupBy("node", "n").agg(F.max(F.struct("m", "token")).alias("h")).select("node", "n", F.col("h.token").alias("home"))
-    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("head"))
-    home = saved(home.join(sizes, "home").join(chosen.select("node", F.col("doc.doc_id").alias("doc"), F.col("doc.th").alias("th")), "node").dropDuplicates(["node"]))
-
-    # inside homes
-    sets = lambda which: _texts_of(docs, which).mapInArrow(_packed, "node long, items binary")
-    wide = home.where(f"c > {HOME}")
-    wide_sets = sets(wide)
-    heads = wide_sets.join(wide.where("node = head").select("node", "home"), "node").select("home", F.col("node").alias("_h"), F.col("items").alias("_i"))
-    member = wide_sets.join(wide.where("node <> head").select("node", "home"), "node")
-    star = saved(member.join(heads, "home").select(F.col("_h").alias("a"), F.col("node").alias("b"), "_i", "items")
-                 .mapInArrow(_verified(size, percent), "a long, b long, ok boolean"))
-    rest = home.join(star.where("ok").select(F.col("b").alias("node")), "node", "left_anti").where(f"c > {HOME} and node <> head").select("node", "home")
-    tally = rest.groupBy("home").agg(F.count(F.lit(1)).alias("loose"))
-    part = (home.where("c > 1").join(tally, "home", "left").join(rest.select("node", F.lit(True).alias("is_loose")), "node", "left")
-            .withColumn("cells", F.expr(f"ceil((c - coalesce(loose, 0)) / {HOME})")).withColumn("loose_cells", F.expr(f"ceil(coalesce(loose, 0) / {HOME})"))
-            .withColumn("cell", F.expr("pmod(xxhash64(node), if(is_loose is null, cells, loose_cells))")))
-    # a loose node meets all cells of linked nodes and, for each pair of loose cells, the other; linked cells never meet
-    squares = F.expr(f"""
-        case when c <= {HOME} then array(struct(concat(home, ':') as block, 0 as side))
-             when loose is null then cast(array() as array<struct<block: string, side: int>>)
-             when is_loose is null then transform(sequence(0, loose_cells - 1), k -> struct(concat_ws(':', home, 'm', cell, k) as block, 0 as side))
-             else concat(transform(sequence(0, cells - 1), k -> struct(concat_ws(':', home, 'm', k, cell) as block, 1 as side)),
-                         transform(sequence(0, loose_cells - 1), k -> struct(concat_ws(':', home, 'l', least(k, cell), greatest(k, cell)) as block, if(cell > k, 1, 0) as side))) end""")
-    placed = _texts_of(docs, part.withColumn("squares", squares).where("size(squares) > 0"), "squares", weight="size(squares)")
-    placed = placed.mapInArrow(_packed, "node long, squares array<struct<block: string, side: int>>, items binary")
-    placed = placed.select("node", F.explode("squares").alias("s"), "items").select(F.col("s.block").alias("block"), "node", F.col("s.side").alias("side"), "items")
+    rows = lone.select("node", "n", F.posexplode(F.arrays_zip("p", "cells")).alias("pos", "t")).select(
+        "node", "n", F.col("pos").cast("int").alias("pos"), F.col("t.p").alias("token"), F.when(F.col("t.cells") > 1, F.pmod(F.xxhash64("node"), F.col("t.cells"))).alias("cell"), F.col("t.cells").alias("cells"))
+    seen = "over (partition by token, cell)"
+    rows = rows.withColumns({"least": F.expr(f"min(node) {seen}"), "most": F.expr(f"max(node) {seen}"), "m": F.expr(f"count(*) {seen} * cells")})
+    counted = saved(rows.where("least <> most or cells > 1").drop("least", "most", "cell", "cells"))
+
+    home = _homes(counted)
+    alive = saved(counted.select("node", "n").distinct().join(chosen.select("node", F.col("doc.doc_id").alias("doc"), F.col("doc.th").alias("th")), "node").join(home, "node", "left"))
+    packed = saved(_texts_of(docs, alive, "node", "home", "c", "head").mapInArrow(_packed, "node long, home long, c long, head long, items binary"))
+
+    # parts by trial against heads
+    found = _tried(packed.where("c > 1"), sets)
+    part = found.select(F.col("b").alias("node"), F.col("a").alias("part")).union(found.select("a", "a")).distinct()
+    for _ in range(1, ROUNDS):
+        loose = counted.select("node", "token").join(part, "node", "left_anti")
+        shared = loose.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        again = _homes(loose.join(shared, "token"))
+        more = _tried(packed.select("node", "items").join(again, "node").select("node", "home", "c", "head", "items"), sets)
+        found = found.unionByName(more)
+        part = part.union(more.select(F.col("b").alias("node"), F.col("a").alias("part")).union(more.select("a", "a")).distinct())
+    part = saved(alive.select("node", "n").join(part, "node", "left").select("node", "n", F.coalesce("part", "node").alias("part")))
+
+    pairs = saved(candidates(counted.select("node", "n", "pos", "token").join(part.select("node", "part"), "node"), percent))
+    weight = part.groupBy("part").agg(F.sum("n").alias("_w"))
+    cell = part.join(weight, "part").select("node", F.xxhash64("part", F.expr(f"pmod(xxhash64(node), 1 + floor(_w / {CELL}))")).alias("cell"))
+    ends = [cell.select(F.col("node").alias(c), F.col("cell").alias(f"_{c}")) for c in "ab"]
+    pairs = saved(pairs.join(ends[0], "a").join(ends[1], "b").select(F.xxhash64(F.least("_a", "_b"), F.greatest("_a", "_b")).alias("block"), "a", "b"))
+    need = pairs.select("block", F.col("a").alias("node")).union(pairs.select("block", "b")).distinct()
+    texts = need.join(packed.select("node", "items"), "node").select("block", F.lit(None).cast("long").alias("other"), "node", "items")
+    work = texts.unionByName(pairs.select("block", F.col("b").alias("other"), F.col("a").alias("node"), F.lit(None).cast("binary").alias("items")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    inside = saved(placed.repartition(parts, "block").sortWithinPartitions("block", "node").mapInArrow(_blocks(size, percent), "a long, b long"))
-
-    # between homes: the first order gives pairs of nodes, the further ones have each pair show common tokens again
-    pairs = saved(_pairs(counted.drop("m").join(home.select("node", "home"), "node"), percent))
-    alive = home.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
-    named = [f"m{k}" for k in range(1, ORDERS)]
-    marks = saved(_texts_of(docs, alive).mapInArrow(_marks(size, classes, percent), "node long, " + ", ".join(f"{m} array<short>" for m in named)).dropDuplicates(["node"]))
-    near, far = (marks.select(F.col("node").alias(side), *(F.col(m).alias(f"{side}_{m}") for m in named)) for side in "ab")
-    common = reduce(and_, (F.arrays_overlap(f"a_{m}", f"b_{m}") for m in named))
-    pairs = saved(pairs.join(near, "a").join(far, "b").where(common).select("a", "b"))
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    whole = sets(home.join(need, "node", "left_semi"))
-    left, right = whole.select(F.col("node").alias("a"), F.col("items").alias("_i")), whole.select(F.col("node").alias("b"), F.col("items").alias("_j"))
-    between = pairs.join(left, "a").join(right, "b").select("a", "b", "_i", "_j").mapInArrow(_verified(size, percent), "a long, b long, ok boolean")
-    every = star.where("ok").select("a", "b").unionByName(inside).unionByName(between.where("ok").select("a", "b"))
-    return first.select("doc_id.doc_id", "node", "n"), saved(every)
-
-
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs with different homes that share a prefix shingle (node, n, pos, token, home) and may still overlap enough.
-
-    The first shared shingle of a linked pair has few enough shingles before it in both prefixes, so asking that of each
-    shared shingle loses no pair.
+    between = work.repartition(parts, "block").sortWithinPartitions("block", F.col("other").asc_nulls_first(), "node").mapInArrow(_blocks(sets), "a long, b long")
+    return first.select("doc_id.doc_id", "node", "n"), saved(found.unionByName(between))
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts that the first order lets through, from prefix rows (node, n, pos, token, part).
+
+    The smaller set of a linked pair shares a shingle so early that `inner` holds, so it is looked up by these rows alone. Of
+    a bucket's largest part no two nodes are paired: one side is of another part, which the two joins below tell apart.
+    A pair's shared prefix shingles are all counted; behind the last of them only the rest of both sets can be shared.
     """
-    b = rows.select(F.col("token"), *(F.col(c).alias(f"_{c}") for c in ("node", "n", "pos", "home")))
-    need = f"ceil({percent} * (n + _n) / {100 + percent}.0)"
-    near = rows.join(b, "token").where(f"node < _node and home <> _home and 100 * least(n, _n) >= {percent} * greatest(n, _n) and least(n - pos, _n - _pos) >= {need}")
-    return near.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+    parts = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = parts.groupBy("token").agg(F.max(F.struct("_n", "part")).alias("h"), F.sum("_n").alias("_m"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    dealt = dealt.select("token", F.col("h.part").alias("main"), F.expr(f"1 + floor(_m / {HOT})").alias("salts"))
+    rows = saved(rows.join(dealt, "token").withColumn("other", F.col("part") != F.col("main"))
+                 .withColumn("inner", F.expr(f"n - pos >= ceil(2 * {percent} * n / {100 + percent}.0)")).drop("main"))
+    left = rows.where("other").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).drop("other", "salts")
+    right = rows.withColumnsRenamed({c: f"_{c}" for c in ("node", "n", "pos", "part", "inner", "other")}).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    room = f"part <> _part and 100 * least(n, _n) >= {percent} * greatest(n, _n) and least(n - pos, _n - _pos) >= ceil({percent} * (n + _n) / {100 + percent}.0)"
+    smaller = left.where("inner").join(right, ["token", "salt"]).where(f"{room} and (n < _n or n = _n and (not _other or node < _node))")
+    larger = left.join(right.where("_inner and not _other"), ["token", "salt"]).where(f"{room} and _n < n")
+    pick = lambda c: F.expr(f"if(node < _node, {c}, _{c})")
+    rest = lambda c: F.expr(f"if(node < _node, _{c}, {c})")
+    both = smaller.unionByName(larger).select(pick("node").alias("a"), rest("node").alias("b"), pick("n").alias("n"), rest("n").alias("_n"), pick("pos").alias("pos"), rest("pos").alias("_pos"))
+    shared = both.groupBy("a", "b", "n", "_n").agg(F.count(F.lit(1)).alias("k"), F.max("pos").alias("pos"), F.max("_pos").alias("_pos"))
+    return shared.where(f"k + least(n - pos, _n - _pos) - 1 >= ceil({percent} * (n + _n) / {100 + percent}.0)").select("a", "b")
 
 
 def _roots(edges: DataFrame) -> DataFrame | None:
@@ -375,8 +391,7 @@ def _roots(edges: DataFrame) -> DataFrame | None:
 
 def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
-    rows, edges = links(docs, size, percent)
-    rows = saved(rows)
+    rows, edges = links(small_batches(docs), size, percent)
     small = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
     roots = _roots(edges)
     if roots is None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import salted_rank, saved
+from ledgerlark.llm.common import salted_rank, saved, small_batches
 from ledgerlark.llm.tokenise import encoded
 
 
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int) -> DataFrame
                     [batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = 1024) -> DataFrame:

@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import LOWER, SPACE, mixed, prefix_hash, saved, span_hash, spans, text_blocks
-from ledgerlark.llm import common
+from ledgerlark.llm.common import LOWER, SPACE, mixed, padded, saved, small_batches, span_hash, spans, text_blocks
 
 LIMIT, LOSS = 20, 0.5
 _NORMAL = LOWER.copy()
@@ -56,7 +55,8 @@ def counted(batches):
             rows = j - i
             s, e, first = spans(buf, off)
             doc = np.repeat(np.arange(rows), np.diff(first))
-            h = span_hash(prefix_hash(buf), s, e)
+            plain = padded(buf)
+            h = span_hash(plain, s, e)
             lead = (buf & 0xC0) != 0x80
             # lines: runs between line feeds that hold a word; a row's end closes a line too
             breaks = np.unique(np.concatenate([np.flatnonzero(buf == 10) + 1, off]))
@@ -66,14 +66,16 @@ def counted(batches):
             has = b > a
             ls, le, a, b = ls[has], le[has], a[has], b[has]
             ldoc = np.searchsorted(off, ls, "right") - 1
-            raw = span_hash(prefix_hash(buf), ls, le) + mixed(ldoc.astype(np.uint64))
+            raw = span_hash(plain, ls, le) + mixed(ldoc.astype(np.uint64))
             unique = np.zeros(len(raw), bool)
             unique[np.unique(raw, return_index=True)[1]] = True
-            # a normalised line is hashed as its sequence of words
-            hn = span_hash(prefix_hash(_NORMAL[buf]), s, e)
-            pow_, inv = common._grown(len(hn) + 1)
-            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hn * pow_[: len(hn)], dtype=np.uint64)])
-            line = mixed((run[b] - run[a]) * inv[a]).view(np.int64)
+            # normalised lines stand in a buffer of their own: one space for each run of white space
+            gap = SPACE[buf]
+            keep = ~gap
+            keep[1:] |= ~gap[:-1]
+            place = np.concatenate([[0], np.cumsum(keep)])
+            normal = np.where(gap, np.uint8(32), _NORMAL[buf])[keep]
+            line = span_hash(padded(normal), place[s[a]], place[e[b - 1]]).view(np.int64) if len(a) else np.zeros(0, np.int64)
             lrow = np.searchsorted(ldoc, np.arange(rows + 1)).astype(np.int32)
             parts.append((
                 np.diff(first), _sums(lead & ~SPACE[buf], off), _sums(_SYMBOL[buf], off), _sums(~unique, lrow), _sums(_repeats(h, doc), first),
@@ -86,7 +88,7 @@ def counted(batches):
 
 def rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, the base counts, base_failed, n_removed (words in boilerplate lines) and kept of every row."""
-    rows = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("th"), "text")
+    rows = saved(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("th"), "text")
                  .mapInArrow(counted, SCHEMA))
     lines = rows.select("host", "th", F.explode("line").alias("line")).distinct()
     common_lines = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIMIT)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import saved, spans, text_blocks
+from ledgerlark.llm.common import saved, small_batches, spans, text_blocks
 
 LEAST, ALPHA, TURN, RATE, BINS = 16, 0.003, 0.08, 0.001, 400
 KINDS = ("assign", "access", "hex", "random")
@@ -209,7 +209,7 @@ def _pair_counts(batches):
 def table_pairs(docs: DataFrame) -> np.ndarray:
     """log_pairs of all texts (at most 729 rows come to the driver)."""
     counts = np.zeros(729, np.int64)
-    for r in docs.select("text").mapInArrow(_pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for r in small_batches(docs).select("text").mapInArrow(_pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         counts[r.pair] = r.n
     return log_pairs(counts)
 

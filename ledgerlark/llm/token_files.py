@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.common import small_batches
 from ledgerlark.llm.tokenise import encoded
 
 NULL_ID = -(2**63)
@@ -52,7 +53,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions:
     spark = docs.sparkSession
     width = 2 if _vocabulary(tokenizer) <= 1 << 16 else 4
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = small_batches(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
 
     def task(batches):
         context = TaskContext.get()

@@ -13,7 +13,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from ledgerlark.llm.common import SPACE, prefix_hash, ragged, span_hash, spans, text_blocks
+from ledgerlark.llm.common import SPACE, padded, ragged, span_hash, spans, text_blocks
 
 CACHE = 500_000
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -134,7 +134,7 @@ class Encoder:
         s, e, first = self.cuts(buf, off)
         if not len(s):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-        _, at, back = np.unique(span_hash(prefix_hash(buf), s, e), return_index=True, return_inverse=True)
+        _, at, back = np.unique(span_hash(padded(buf), s, e), return_index=True, return_inverse=True)
         slots = self._slots(_, buf, s[at], e[at])[back]
         n = self.length[slots]
         ends = np.concatenate([[0], np.cumsum(n)])

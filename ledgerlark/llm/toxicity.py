@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import LOWER, prefix_hash, saved, span_hash, spans, text_blocks
+from ledgerlark.llm.common import LOWER, padded, saved, small_batches, span_hash, spans, text_blocks
 
 BITS, SAMPLE, ODDS, RATIO, BEGIN = 20, 3000, 20.0, 18.0, (3, 4, 5, 6, 7)
 NONE = 1 << BITS  # also the distance from a feature to its second form, twice or more
@@ -35,13 +35,13 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words x features) hashed to 2**BITS, NONE for none, and each row's first word."""
     buf = LOWER[buf]
     s, e, first = spans(buf, off, _GAP)
-    h = prefix_hash(buf)
+    buf = padded(buf)
     salt = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, len(BEGIN) + 2)]
     out = np.full((len(s), len(BEGIN) + 1), NONE, np.int64)
-    out[:, 0] = (span_hash(h, s, e) ^ salt[0]) >> np.uint64(64 - BITS)
+    out[:, 0] = (span_hash(buf, s, e) ^ salt[0]) >> np.uint64(64 - BITS)
     for k, size in enumerate(BEGIN, 1):
         long = e - s > size
-        out[long, k] = (span_hash(h, s[long], s[long] + size) ^ salt[k]) >> np.uint64(64 - BITS)
+        out[long, k] = (span_hash(buf, s[long], s[long] + size) ^ salt[k]) >> np.uint64(64 - BITS)
     return out, first
 
 
@@ -179,13 +179,13 @@ def _graded(model: Model):
 
 def severity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, expected_severity, grade and toxic of every row of docs (doc_id, text)."""
-    model = trained(docs, labels)
+    model = trained(small_batches(docs), labels)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_graded(model), "doc_id long, expected_severity double, grade long, toxic boolean")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not toxic, with all their columns."""
-    model = trained(docs, labels)
+    model = trained(small_batches(docs), labels)
     at = docs.columns.index("text")
 
     def task(batches):

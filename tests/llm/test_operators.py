@@ -139,11 +139,13 @@ def test_jaccard_table(spark, sf_dir):
     assert any(d != c for d, _, c in got)
 
 
-@pytest.mark.parametrize("home", [200, 4])
+@pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_chains_and_groups(spark, monkeypatch, home, seed):
-    """Near copies by every number of changed words, chains of links, and a group larger than a home."""
-    monkeypatch.setattr(jaccard, "HOME", home)
+def test_jaccard_chains_and_groups(spark, monkeypatch, small, seed):
+    """Near copies by every number of changed words, chains of links, and groups larger than a cell, a star and a hot bucket."""
+    for name, most in (("BUCKET", 7), ("STAR", 5), ("HOT", 6), ("CELL", 150)):
+        if small:
+            monkeypatch.setattr(jaccard, name, most)
     r = random.Random(seed)
     rows, licence = [], prose(30, 77)
     for g in range(8):
@@ -160,6 +162,34 @@ def test_jaccard_chains_and_groups(spark, monkeypatch, home, seed):
         assert got == Counter(brute.components(rows, size, percent))
 
 
+def test_jaccard_loose_home(spark):
+    """5,000 nodes that share most of their text and link with none: few pairs are formed, and none is lost among the few that link."""
+    shared = prose(60, 500)
+    rows = [(i, shared + " " + " ".join(f"x{i}y{k}" for k in range(18))) for i in range(5000)]
+    rows += [(6000 + i, rows[i][1].replace(f"x{i}y17", "z")) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.components(df, 4, 85).collect()}
+    assert all(got[i] == i for i in range(5000)) and all(got[6000 + i] == i for i in range(40))
+    formed = []
+    plain = jaccard.candidates
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard, "candidates", lambda *a: formed.append(plain(*a)) or formed[-1])
+        jaccard.links(df, 4, 85)
+    assert formed[0].count() <= 100
+
+
+@pytest.mark.parametrize("power", [10, 11, 12])
+def test_hash_tells_thue_morse_apart(spark, power):
+    """Long sequences of two letters, or two words, that sums of powers cannot tell apart are different lines, shingles and pieces."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << power)]
+    lines = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    spaced = [" ".join(("xa", "xb")[b ^ flip] for b in bits) for flip in (0, 1)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(spaced)), (3, " ".join(lines))]
+    df = spark.createDataFrame([(*r, "h") for r in rows], "doc_id long, text string, source string")
+    assert result(quality.rules(df), *QUALITY) == Counter((d, *brute.quality(t)) for d, t in rows)
+    assert result(jaccard.components(df, 1, 85), "doc_id", "n_shingles", "component_id") == Counter(brute.components(rows, 1, 85))
+
+
 def test_jaccard_edges(docs, empty):
     got = result(jaccard.components(docs, 4, 85), "doc_id", "n_shingles", "component_id")
     known = docs.where("doc_id is not null")
