@@ -6,8 +6,8 @@ enough overlap share a shingle in their prefixes under every order, so a pair is
 under all `ORDERS` orders.
 
 1. Prefixes under the first order are bucketed by shingle; shingles of one node only are dropped.
-2. `ROUNDS` times, nodes without a link go to their largest bucket and are tried against its smallest node, so near copies of
-   one text link in a number of trials that grows with their number. What links is one part.
+2. Nodes are tried against the head of their largest bucket, the node whose prefix is most common there, so near copies of one
+   text link in a number of trials that grows with their number. What links is one part.
 3. Nodes of different parts that share prefix shingles become pairs where lengths and positions still allow the overlap: the
    smaller set is looked up by the beginning of its prefix alone, pairs inside the largest part of a bucket are never formed,
    and all shared prefix shingles together must leave room for the overlap.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import LOWER, mixed, padded, saved, small_batches, span_hash, spans, text_blocks
 
-ORDERS, ROUNDS, TABLE_BITS, CHUNK_BITS = 3, 2, 24, 16
+ORDERS, TABLE_BITS, CHUNK_BITS = 3, 24, 16
 #: Rows of a bucket cell, members a task tries against one node, rows of a hot shingle in one join task, shingles of a block's side.
 BUCKET, STAR, HOT, CELL = 4096, 2000, 2000, 100_000
 BROADCAST_ROWS = 200_000  # of about 60 bytes
@@ -217,7 +217,7 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _stars(sets: Sets):
-    """Rows (home, salt, lead, node, items), sorted so that each group begins with its lead, to the links of leads."""
+    """Rows (head, salt, lead, node, items), sorted so that each group begins with its lead, to the links of leads."""
     def task(batches):
         now, lead = None, None
         for batch in batches:
@@ -229,9 +229,9 @@ def _stars(sets: Sets):
                     held += len(rows[end][4])
                     end += 1
                 found = []
-                for (home, salt, first, node, _), x in zip(rows[at:end], sets.unpacked([r[4] for r in rows[at:end]]), strict=True):
-                    if (home, salt) != now:
-                        now, lead = (home, salt), (node, x) if first else None
+                for (head, salt, first, node, _), x in zip(rows[at:end], sets.unpacked([r[4] for r in rows[at:end]]), strict=True):
+                    if (head, salt) != now:
+                        now, lead = (head, salt), (node, x) if first else None
                     elif not first and lead and sets.links(lead[1], x):
                         found.append((lead[0], node))
                 if found:
@@ -280,23 +280,43 @@ def _texts_of(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
     return rows.join(side, rows["_d"].eqNullSafe(side["doc"]) & (rows["_t"] == side["th"])).select(*columns, "text")
 
 
-def _homes(rows: DataFrame) -> DataFrame:
-    """(node, home, c, head) of the nodes of rows (node, token, m): the largest bucket, how many chose it, and the smallest of these."""
-    home = rows.groupBy("node").agg(F.max(F.struct("m", "token")).alias("h")).select("node", F.col("h.token").alias("home"))
-    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("head"))
-    return home.join(sizes, "home").where("c > 1").select("node", "home", "c", "head")
+def _first_tries(rows: DataFrame, weight: DataFrame) -> DataFrame:
+    """(node, head) from rows (node, n, token, m) and weights (node, w, early): each node tries the head of its largest bucket.
+
+    That is the node of a like size whose whole prefix is most common; copies with fewest changes are such, and most others
+    link with them.
+    """
+    rows = rows.withColumn("band", F.floor(F.log("n") / np.log(1.25)))
+    heads = rows.select("node", "token", "band").join(weight, "node").groupBy("token", "band").agg(F.max(F.struct("w", "early", "node")).alias("h"))
+    own = rows.groupBy("node", "band").agg(F.max(F.struct("m", "token")).alias("h")).select("node", "band", F.col("h.token").alias("token"))
+    return own.join(heads.select("token", "band", F.col("h.node").alias("head")), ["token", "band"]).where("node <> head").select("node", "head")
+
+
+def _inner(percent: int) -> str:
+    """Where the smaller (or equal) set of a linked pair has at least their first shared shingle."""
+    return f"n - pos >= ceil(2 * {percent} * n / {100 + percent}.0)"
 
 
-def _tried(packed: DataFrame, sets: Sets) -> DataFrame:
-    """Links (a: head, b) of packed texts (node, home, c, head, items) with their home's head."""
+def _tried(packed: DataFrame, tries: DataFrame, sets: Sets) -> DataFrame:
+    """Links (a: head, b) of tries (node, head), by packed texts (node, items)."""
     parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = F.expr(f"1 + floor(c / {STAR})")
-    salts = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0).cast("long"), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), groups)))
-    rows = packed.select("home", F.explode(salts).alias("salt"), (F.col("node") == F.col("head")).alias("lead"), "node", "items")
-    rows = rows.repartition(parts, "home", "salt").sortWithinPartitions("home", "salt", F.desc("lead"))
+    groups = tries.groupBy("head").agg((1 + F.floor(F.count(F.lit(1)) / STAR)).alias("groups"))
+    members = tries.join(groups, "head").select("head", F.pmod(F.xxhash64("node"), F.col("groups")).alias("salt"), F.lit(False).alias("lead"), "node")
+    leads = groups.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.lit(True).alias("lead"), F.col("head").alias("node"))
+    rows = members.union(leads).join(packed, "node").select("head", "salt", "lead", "node", "items")
+    rows = rows.repartition(parts, "head", "salt").sortWithinPartitions("head", "salt", F.desc("lead"))
     return saved(rows.mapInArrow(_stars(sets), "a long, b long"))
 
 
+def _merged(found: DataFrame) -> DataFrame:
+    """(node, to) of what links (a: head, b) merge; a head may have merged into another one itself."""
+    to = saved(found.select(F.col("b").alias("node"), F.col("a").alias("to")).distinct())
+    for _ in range(2):
+        further = to.select(F.col("node").alias("to"), F.col("to").alias("_to"))
+        to = to.join(further, "to", "left").select("node", F.coalesce("_to", "to").alias("to"))
+    return saved(to)
+
+
 def links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n) of every row, and links (a, b) between nodes that join what belongs together."""
     spark = docs.sparkSession
@@ -313,21 +333,12 @@ def links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFram
     rows = rows.withColumns({"least": F.expr(f"min(node) {seen}"), "most": F.expr(f"max(node) {seen}"), "m": F.expr(f"count(*) {seen} * cells")})
     counted = saved(rows.where("least <> most or cells > 1").drop("least", "most", "cell", "cells"))
 
-    home = _homes(counted)
-    alive = saved(counted.select("node", "n").distinct().join(chosen.select("node", F.col("doc.doc_id").alias("doc"), F.col("doc.th").alias("th")), "node").join(home, "node", "left"))
-    packed = saved(_texts_of(docs, alive, "node", "home", "c", "head").mapInArrow(_packed, "node long, home long, c long, head long, items binary"))
-
-    # parts by trial against heads
-    found = _tried(packed.where("c > 1"), sets)
-    part = found.select(F.col("b").alias("node"), F.col("a").alias("part")).union(found.select("a", "a")).distinct()
-    for _ in range(1, ROUNDS):
-        loose = counted.select("node", "token").join(part, "node", "left_anti")
-        shared = loose.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        again = _homes(loose.join(shared, "token"))
-        more = _tried(packed.select("node", "items").join(again, "node").select("node", "home", "c", "head", "items"), sets)
-        found = found.unionByName(more)
-        part = part.union(more.select(F.col("b").alias("node"), F.col("a").alias("part")).union(more.select("a", "a")).distinct())
-    part = saved(alive.select("node", "n").join(part, "node", "left").select("node", "n", F.coalesce("part", "node").alias("part")))
+    alive = saved(counted.select("node", "n").distinct().join(chosen.select("node", F.col("doc.doc_id").alias("doc"), F.col("doc.th").alias("th")), "node"))
+    packed = saved(_texts_of(docs, alive, "node").mapInArrow(_packed, "node long, items binary"))
+
+    weight = saved(counted.groupBy("node").agg(F.sum("m").alias("w"), F.max(-F.col("pos")).alias("early")))
+    found = _tried(packed, _first_tries(counted, weight), sets)
+    part = saved(alive.select("node", "n").join(_merged(found), "node", "left").select("node", "n", F.coalesce("to", "node").alias("part")))
 
     pairs = saved(candidates(counted.select("node", "n", "pos", "token").join(part.select("node", "part"), "node"), percent))
     weight = part.groupBy("part").agg(F.sum("n").alias("_w"))
@@ -353,7 +364,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     dealt = parts.groupBy("token").agg(F.max(F.struct("_n", "part")).alias("h"), F.sum("_n").alias("_m"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
     dealt = dealt.select("token", F.col("h.part").alias("main"), F.expr(f"1 + floor(_m / {HOT})").alias("salts"))
     rows = saved(rows.join(dealt, "token").withColumn("other", F.col("part") != F.col("main"))
-                 .withColumn("inner", F.expr(f"n - pos >= ceil(2 * {percent} * n / {100 + percent}.0)")).drop("main"))
+                 .withColumn("inner", F.expr(_inner(percent))).drop("main"))
     left = rows.where("other").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).drop("other", "salts")
     right = rows.withColumnsRenamed({c: f"_{c}" for c in ("node", "n", "pos", "part", "inner", "other")}).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     room = f"part <> _part and 100 * least(n, _n) >= {percent} * greatest(n, _n) and least(n - pos, _n - _pos) >= ceil({percent} * (n + _n) / {100 + percent}.0)"
