@@ -1,14 +1,15 @@
 """Quality rules: cross-document line frequency per host, and the base counts of one text.
 
-Lines are normalised (ASCII lower case, digits as 0, white space as one space) and hashed; a line that more than `LIMIT`
-distinct texts of one host hold is boilerplate and its words are removed; a document that loses more than `LOSS` of its words
-is depleted and rejected. Texts are counted, not rows, so exact copies of a page do not condemn its lines.
+Lines are normalised (ASCII lower case, digits as 0, white space as one space) and hashed; a line that more than `SHARE` of a
+host's documents hold, and more than `FLOOR` of them, is boilerplate and its words are removed; a document that loses more
+than `LOSS` of its words is depleted and rejected. A share judges a line alike on a small and on a large host.
 
-Counting goes by (host, line, text) first and by (host, line) after, so a line that every document has is summed from partial
-counts. The same numpy pass gives the base counts.
+Counting goes by (host, line), so a line that every document has is summed from partial counts. Few lines of a host can be
+above a share of its documents, so what joins the documents' lines is small; it has one row a line, so a hot line is split
+like any skewed join.
 
 Edge cases: a null or empty text has no words and fails the base rule; a null host is a host of its own; repeated rows give
-equal rows; an empty table gives no rows; further columns are ignored.
+equal rows and count as one document; a very long text counts whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import LOWER, SPACE, mixed, padded, saved, small_batches, span_hash, spans, text_blocks
 
-LIMIT, LOSS = 20, 0.5
+FLOOR, SHARE, LOSS = 20, 0.1, 0.5
 _NORMAL = LOWER.copy()
 _NORMAL[48:58] = 48
 _SYMBOL = np.zeros(256, bool)
@@ -90,9 +91,11 @@ def rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, the base counts, base_failed, n_removed (words in boilerplate lines) and kept of every row."""
     rows = saved(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("th"), "text")
                  .mapInArrow(counted, SCHEMA))
-    lines = rows.select("host", "th", F.explode("line").alias("line")).distinct()
-    common_lines = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIMIT)
-    each = rows.dropDuplicates(["doc_id", "host", "th"]).select("doc_id", "host", "th", F.explode(F.arrays_zip("line", "words")).alias("l"))
+    documents = rows.dropDuplicates(["doc_id", "host", "th"])
+    limits = rows.groupBy("host").agg(F.count_distinct(F.struct("doc_id", "th")).alias("_n")).select(F.col("host").alias("_h"), F.greatest(F.lit(FLOOR), F.floor(F.col("_n") * SHARE)).alias("most"))
+    lines = documents.select("host", F.explode(F.array_distinct("line")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FLOOR)
+    common_lines = lines.join(limits, lines["host"].eqNullSafe(limits["_h"])).where("n > most").drop("_h")
+    each = documents.select("doc_id", "host", "th", F.explode(F.arrays_zip("line", "words")).alias("l"))
     each = each.select("doc_id", "host", "th", F.col("l.line").alias("line"), F.col("l.words").alias("n_line"))
     bad = common_lines.select(F.col("host").alias("_h"), F.col("line").alias("_l"))
     lost = (each.join(bad, each["host"].eqNullSafe(bad["_h"]) & (each["line"] == bad["_l"]))
