@@ -5,19 +5,22 @@ the sum of these probabilities, from 0 to 3, and a document whose P(grade > 0) i
 whole words and word beginnings of 3 to 7 bytes, as log(1 + count), and each again where a text has it twice or more.
 
 The labels say toxic or not; the grade of a toxic training document is 1 to 3 by the thirds of its number of marked words, a
-word being marked where one of its features is. Features are screened first: those at least `ODDS` times as frequent among
-toxic training documents, with a likelihood ratio above `RATIO`.
+word being marked where one of its features is. That makes the upper thresholds a matter of how much is marked; labels that are graded
+themselves would do better. Features are screened first: those in `LEAST` toxic training documents or more, at least `ODDS`
+times as frequent among these, whose likelihood ratio Benjamini-Hochberg accepts at `RATE`, so few labels are made use of too.
 
 The model is fitted on a bounded sample of labelled rows, `SAMPLE` toxic and twice as many others (those with the smallest
 hash of doc_id, one text a doc_id); all else runs over all rows.
 
 Edge cases: a null or empty text has severity 0 of its features alone, so it is never toxic by its words; without labels of
-both kinds everything scores 0; a document labelled twice counts by each label; repeated rows give equal rows; an empty
-table gives no rows; further columns are ignored.
+both kinds everything scores 0; a document labelled twice counts by each label; repeated rows give equal rows; a very
+long text is scored whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import LOWER, padded, saved, small_batches, span_hash, spans, text_blocks
 
-BITS, SAMPLE, ODDS, RATIO, BEGIN = 20, 3000, 20.0, 18.0, (3, 4, 5, 6, 7)
+BITS, SAMPLE, LEAST, ODDS, RATE, BEGIN = 20, 3000, 2, 10.0, 0.05, (3, 4, 5, 6, 7)
 NONE = 1 << BITS  # also the distance from a feature to its second form, twice or more
 _GAP = np.ones(256, bool)
 _GAP[48:58] = _GAP[65:91] = _GAP[97:123] = _GAP[128:] = False
@@ -78,6 +81,14 @@ class Model:
 NOTHING = Model(np.zeros(0, np.int64), np.zeros(0), np.full(3, 40.0))
 
 
+def _level(ratio: np.ndarray) -> float:
+    """The least likelihood ratio that Benjamini-Hochberg accepts at RATE: few labels give a low level, many features a high one."""
+    ordered = np.sort(ratio)[::-1]
+    p = np.array([math.erfc(math.sqrt(max(x, 0) / 2)) for x in ordered])
+    ok = np.flatnonzero(p <= RATE * np.arange(1, len(p) + 1) / max(1, len(p)))
+    return float(ordered[ok[-1]]) if len(ok) else math.inf
+
+
 def fit(blocks: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, steps: int = 400) -> Model:
     """The model for documents given as blocks of (bytes, offsets).
 
@@ -100,11 +111,11 @@ def fit(blocks: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, steps: i
         got, n = np.unique(f[f < NONE], return_counts=True)
         df[int(toxic[r]), got] += 1
         df[int(toxic[r]), got[n > 1] + NONE] += 1
-    index = np.flatnonzero(df[1] >= 3)
+    index = np.flatnonzero(df[1] >= LEAST)
     d0, d1 = df[:, index].astype(float)
     p1, p0, both = (d1 + 0.05) / (n1 + 0.1), (d0 + 0.05) / (n0 + 0.1), (d1 + d0 + 0.1) / (n1 + n0 + 0.2)
     ratio = 2 * (d1 * np.log(p1 / both) + d0 * np.log(p0 / both))
-    index = index[(p1 > ODDS * p0) & (ratio > RATIO)]
+    index = index[(p1 > ODDS * p0) & (ratio >= _level(ratio))]
     if not len(index):
         return NOTHING
     marked = np.zeros(NONE + 1, bool)
