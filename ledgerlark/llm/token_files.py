@@ -8,8 +8,8 @@ id and document counts, the only thing that passes through the driver (one row a
 Executor loss: a task writes under a name of its own attempt and renames at its end, so a second attempt replaces equal files.
 
 Edge cases: a null or empty text has the end id alone; rows with equal doc_id stay as separate documents, in any order among
-themselves; a null doc_id sorts first and is kept (a bit mask file is not needed: the smallest 64-bit integer stands for it);
-an empty table gives no documents; columns beyond doc_id and text are ignored.
+themselves; null doc_ids sort first and are kept (the index says how many a partition begins with); a very long text is one
+document; an empty table gives no documents; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.common import small_batches
 from ledgerlark.llm.tokenise import encoded
 
-NULL_ID = -(2**63)
-
 
 def _place(uri: str) -> tuple[fs.FileSystem, str, bool]:
     parts = urlparse(uri)
@@ -39,13 +37,14 @@ def _place(uri: str) -> tuple[fs.FileSystem, str, bool]:
     return *fs.FileSystem.from_uri(uri), False
 
 
-def _load(uri: str, dtype: str) -> np.ndarray:
-    """A file as an array: mapped into memory where the store is a file system, else one read of one partition's file."""
+def _slices(uri: str, dtype: str):
+    """slices(a, b) of a file's items: of its memory map where the store is a file system, else a read of that range."""
     files, path, local = _place(uri)
     if local:
-        return np.memmap(path, dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with files.open_input_file(path) as f:
-        return np.frombuffer(f.readall(), dtype)
+        whole = np.memmap(path, dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
+        return lambda a, b: whole[a:b]
+    f, size = files.open_input_file(path), np.dtype(dtype).itemsize
+    return lambda a, b: np.frombuffer(f.read_at((b - a) * size, a * size), dtype)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int | None = None) -> None:
@@ -64,9 +63,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions:
         own = {k: f"{base}/.{name}.{k}.{context.taskAttemptId()}" for k in kinds}
         out = {k: files.open_output_stream(own[k]) for k in kinds}
         out["off"].write(np.zeros(1, "<u8").tobytes())
-        total = count = 0
+        total = count = nulls = 0
         for batch in batches:
-            ids_of = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            ids_of = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            nulls += batch.column(0).null_count
             for i, j, ids, bounds in encoded(batch.column(1), tokenizer):
                 rows = j - i
                 all_ids = np.full(len(ids) + rows, end_id, f"<u{width}")
@@ -81,12 +81,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions:
         for k in kinds:
             out[k].close()
             files.move(own[k], f"{base}/{name}.{k}")
-        yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "n_docs": [count], "n_ids": [total]})
+        yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "n_docs": [count], "n_ids": [total], "n_nulls": [nulls]})
 
-    parts = sorted(ordered.mapInArrow(task, "part long, n_docs long, n_ids long").collect())
+    parts = sorted(ordered.mapInArrow(task, "part long, n_docs long, n_ids long, n_nulls long").collect())
     index, ids, rows = [], 0, 0
     for p in parts:
-        index.append({"name": f"part-{p.part:05d}", "first_id": ids, "first_doc": rows, "ids": p.n_ids, "docs": p.n_docs})
+        index.append({"name": f"part-{p.part:05d}", "first_id": ids, "first_doc": rows, "ids": p.n_ids, "docs": p.n_docs, "nulls": p.n_nulls})
         ids, rows = ids + p.n_ids, rows + p.n_docs
     files, base, _ = _place(folder)
     files.create_dir(base, recursive=True)
@@ -106,22 +106,22 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     with files.open_input_file(f"{base}/index.json") as f:
         index = json.loads(f.readall())
     width, schema = index["width"], "doc_id long, start long, n_tokens long, ids_crc32 long"
-    parts = [(p["name"], p["first_id"]) for p in index["parts"] if p["docs"]]
+    parts = [(p["name"], p["first_id"], p["docs"], p["nulls"]) for p in index["parts"] if p["docs"]]
     if not parts:
         return spark.createDataFrame([], schema)
 
     def task(batches):
         for batch in batches:
-            for name, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                off, docs = _load(f"{folder}/{name}.off", "<u8").astype(np.int64), _load(f"{folder}/{name}.doc", "<i8")
-                ids = _load(f"{folder}/{name}.ids", f"<u{width}")
-                for i in range(0, len(docs), 4096):
-                    at = off[i : i + 4097]
-                    raw = memoryview(np.asarray(ids[at[0] : at[-1]]).astype("<u4").tobytes())
+            for name, first, count, nulls in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                off, docs, ids = (_slices(f"{folder}/{name}.{k}", kind) for k, kind in (("off", "<u8"), ("doc", "<i8"), ("ids", f"<u{width}")))
+                for i in range(0, count, 4096):
+                    j = min(count, i + 4096)
+                    at = off(i, j + 1).astype(np.int64)
+                    raw = memoryview(np.asarray(ids(int(at[0]), int(at[-1]))).astype("<u4").tobytes())
                     cut = (at - at[0]) * 4
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(docs[i : i + 4096], mask=docs[i : i + 4096] == NULL_ID), pa.array(first + at[:-1]), pa.array(np.diff(at)),
+                        pa.array(np.asarray(docs(i, j)), mask=np.arange(i, j) < nulls), pa.array(first + at[:-1]), pa.array(np.diff(at)),
                         pa.array([zlib.crc32(raw[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.int64()),
                     ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.createDataFrame(parts, "name string, first long").repartition(len(parts), "name").mapInArrow(task, schema)
+    return spark.createDataFrame(parts, "name string, first long, docs long, nulls long").repartition(len(parts), "name").mapInArrow(task, schema)

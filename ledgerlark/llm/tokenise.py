@@ -3,7 +3,8 @@
 A text is cut only where the pre-tokenizer cuts it anyway; equal pieces are encoded once and their ids gathered with numpy.
 The cache of pieces is bounded (`CACHE` entries) and emptied when full, which changes the time taken and nothing else.
 
-Edge cases: a null text counts as empty and has no ids; strings of special tokens inside a text are ordinary text.
+Edge cases: a null text counts as empty and has no ids; a text that holds the string of a special token is encoded whole by the
+library, which makes that token of it; a very long text is a block of its own.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.specials = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         self.by_word = self.tok.normalizer is not None  # white space is dropped, so words are independent
         self.letters = _byte_letters()
@@ -131,6 +132,9 @@ class Encoder:
 
     def block(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's rows, and where each row's ids begin (one more entry than rows)."""
+        data = buf.tobytes()
+        if any(x in data for x in self.specials):
+            return self._whole(data, off)
         s, e, first = self.cuts(buf, off)
         if not len(s):
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
@@ -141,6 +145,19 @@ class Encoder:
         return self.data[ragged(self.start[slots], n)], ends[first]
 
 
+    def _whole(self, data: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`block` where some rows hold special tokens: these by the library at once, the others as ever."""
+        out, bounds = [], [0]
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            row = data[a:b]
+            if any(x in row for x in self.specials):
+                out.append(np.array(self.tok.encode(row.decode(), add_special_tokens=False).ids, np.int32))
+            else:
+                out.append(self.block(np.frombuffer(row, np.uint8), np.array([0, b - a]))[0])
+            bounds.append(bounds[-1] + len(out[-1]))
+        return np.concatenate(out), np.array(bounds)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
