@@ -98,7 +98,6 @@ def token_ids(texts, name, end_id):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
     return [[*e.ids, end_id] for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
