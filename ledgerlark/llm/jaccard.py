@@ -269,27 +269,36 @@ def _blocks(sets: Sets):
     return task
 
 
-def _texts_of(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
-    """(columns, text) for chosen (doc, th, columns): broadcast while it has BROADCAST_ROWS at most, else shuffled by row.
+def _texts_of(docs: DataFrame, places: DataFrame, chosen: DataFrame, kinds: str) -> DataFrame:
+    """(columns of places, items: compressed text) for places (node, ...) by chosen (node, doc), the row that stands for a node.
 
-    A repeated row gives its node twice, which later steps bear.
+    Places are broadcast while there are BROADCAST_ROWS at most, else texts are shuffled by row. A repeated row gives its node
+    twice, which later steps bear.
     """
     rows = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), "text")
-    side = chosen.select("doc", "th", *columns)
-    side = F.broadcast(side) if chosen.count() <= BROADCAST_ROWS else side
-    return rows.join(side, rows["_d"].eqNullSafe(side["doc"]) & (rows["_t"] == side["th"])).select(*columns, "text")
+    side = saved(places.join(chosen.select("node", F.col("doc.doc_id").alias("_doc"), F.col("doc.th").alias("_th")), "node"))
+    side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    found = rows.join(side, rows["_d"].eqNullSafe(side["_doc"]) & (rows["_t"] == side["_th"]))
+    return found.select(*places.columns, "text").mapInArrow(_packed, kinds + ", items binary")
 
 
-def _first_tries(rows: DataFrame, weight: DataFrame) -> DataFrame:
-    """(node, head) from rows (node, n, token, m) and weights (node, w, early): each node tries the head of its largest bucket.
+def _room(percent: int) -> str:
+    """Whether two sets (n, _n) that share a shingle at pos and _pos can still have enough in common."""
+    return f"100 * least(n, _n) >= {percent} * greatest(n, _n) and least(n - pos, _n - _pos) >= ceil({percent} * (n + _n) / {100 + percent}.0)"
+
+
+def _first_tries(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, head) from rows (node, n, pos, token, m): each node tries the head of its largest bucket where lengths and positions allow.
 
     That is the node of a like size whose whole prefix is most common; copies with fewest changes are such, and most others
     link with them.
     """
+    weight = rows.groupBy("node").agg(F.sum("m").alias("w"), F.max(-F.col("pos")).alias("early"))
     rows = rows.withColumn("band", F.floor(F.log("n") / np.log(1.25)))
-    heads = rows.select("node", "token", "band").join(weight, "node").groupBy("token", "band").agg(F.max(F.struct("w", "early", "node")).alias("h"))
-    own = rows.groupBy("node", "band").agg(F.max(F.struct("m", "token")).alias("h")).select("node", "band", F.col("h.token").alias("token"))
-    return own.join(heads.select("token", "band", F.col("h.node").alias("head")), ["token", "band"]).where("node <> head").select("node", "head")
+    heads = rows.select("node", "n", "pos", "token", "band").join(weight, "node").groupBy("token", "band").agg(F.max(F.struct("w", "early", "node", "n", "pos")).alias("h"))
+    heads = heads.select("token", "band", F.col("h.node").alias("head"), F.col("h.n").alias("_n"), F.col("h.pos").alias("_pos"))
+    fits = rows.join(heads, ["token", "band"]).where(f"node <> head and {_room(percent)}")
+    return saved(fits.groupBy("node").agg(F.max(F.struct("m", "head")).alias("h")).select("node", "h.head"))
 
 
 def _inner(percent: int) -> str:
@@ -297,15 +306,14 @@ def _inner(percent: int) -> str:
     return f"n - pos >= ceil(2 * {percent} * n / {100 + percent}.0)"
 
 
-def _tried(packed: DataFrame, tries: DataFrame, sets: Sets) -> DataFrame:
-    """Links (a: head, b) of tries (node, head), by packed texts (node, items)."""
-    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _tried(docs: DataFrame, tries: DataFrame, chosen: DataFrame, sets: Sets) -> DataFrame:
+    """Links (a: head, b) of tries (node, head)."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = tries.groupBy("head").agg((1 + F.floor(F.count(F.lit(1)) / STAR)).alias("groups"))
     members = tries.join(groups, "head").select("head", F.pmod(F.xxhash64("node"), F.col("groups")).alias("salt"), F.lit(False).alias("lead"), "node")
     leads = groups.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.lit(True).alias("lead"), F.col("head").alias("node"))
-    rows = members.union(leads).join(packed, "node").select("head", "salt", "lead", "node", "items")
-    rows = rows.repartition(parts, "head", "salt").sortWithinPartitions("head", "salt", F.desc("lead"))
-    return saved(rows.mapInArrow(_stars(sets), "a long, b long"))
+    rows = _texts_of(docs, members.union(leads), chosen, "head long, salt long, lead boolean, node long")
+    return saved(rows.repartition(parts, "head", "salt").sortWithinPartitions("head", "salt", F.desc("lead")).mapInArrow(_stars(sets), "a long, b long"))
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -333,12 +341,8 @@ def links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFram
     rows = rows.withColumns({"least": F.expr(f"min(node) {seen}"), "most": F.expr(f"max(node) {seen}"), "m": F.expr(f"count(*) {seen} * cells")})
     counted = saved(rows.where("least <> most or cells > 1").drop("least", "most", "cell", "cells"))
 
-    alive = saved(counted.select("node", "n").distinct().join(chosen.select("node", F.col("doc.doc_id").alias("doc"), F.col("doc.th").alias("th")), "node"))
-    packed = saved(_texts_of(docs, alive, "node").mapInArrow(_packed, "node long, items binary"))
-
-    weight = saved(counted.groupBy("node").agg(F.sum("m").alias("w"), F.max(-F.col("pos")).alias("early")))
-    found = _tried(packed, _first_tries(counted, weight), sets)
-    part = saved(alive.select("node", "n").join(_merged(found), "node", "left").select("node", "n", F.coalesce("to", "node").alias("part")))
+    found = _tried(docs, _first_tries(counted, percent), chosen, sets)
+    part = saved(counted.select("node", "n").distinct().join(_merged(found), "node", "left").select("node", "n", F.coalesce("to", "node").alias("part")))
 
     pairs = saved(candidates(counted.select("node", "n", "pos", "token").join(part.select("node", "part"), "node"), percent))
     weight = part.groupBy("part").agg(F.sum("n").alias("_w"))
@@ -346,7 +350,7 @@ def links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFram
     ends = [cell.select(F.col("node").alias(c), F.col("cell").alias(f"_{c}")) for c in "ab"]
     pairs = saved(pairs.join(ends[0], "a").join(ends[1], "b").select(F.xxhash64(F.least("_a", "_b"), F.greatest("_a", "_b")).alias("block"), "a", "b"))
     need = pairs.select("block", F.col("a").alias("node")).union(pairs.select("block", "b")).distinct()
-    texts = need.join(packed.select("node", "items"), "node").select("block", F.lit(None).cast("long").alias("other"), "node", "items")
+    texts = _texts_of(docs, need, chosen, "block long, node long").select("block", F.lit(None).cast("long").alias("other"), "node", "items")
     work = texts.unionByName(pairs.select("block", F.col("b").alias("other"), F.col("a").alias("node"), F.lit(None).cast("binary").alias("items")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     between = work.repartition(parts, "block").sortWithinPartitions("block", F.col("other").asc_nulls_first(), "node").mapInArrow(_blocks(sets), "a long, b long")
@@ -367,7 +371,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
                  .withColumn("inner", F.expr(_inner(percent))).drop("main"))
     left = rows.where("other").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).drop("other", "salts")
     right = rows.withColumnsRenamed({c: f"_{c}" for c in ("node", "n", "pos", "part", "inner", "other")}).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-    room = f"part <> _part and 100 * least(n, _n) >= {percent} * greatest(n, _n) and least(n - pos, _n - _pos) >= ceil({percent} * (n + _n) / {100 + percent}.0)"
+    room = f"part <> _part and {_room(percent)}"
     smaller = left.where("inner").join(right, ["token", "salt"]).where(f"{room} and (n < _n or n = _n and (not _other or node < _node))")
     larger = left.join(right.where("_inner and not _other"), ["token", "salt"]).where(f"{room} and _n < n")
     pick = lambda c: F.expr(f"if(node < _node, {c}, _{c})")
