@@ -5,7 +5,8 @@ of frequency (from a count of all shingles in a table of 2**24 places, rarest fi
 enough overlap share a shingle in their prefixes under every order, so a pair is verified on whole sets only if it does so
 under all `ORDERS` orders.
 
-1. Prefixes under the first order are bucketed by shingle; shingles of one node only are dropped.
+1. Prefixes under the first order are bucketed by shingle; buckets of one node are dropped, and those that no set has so early
+   that it could be the smaller one of a pair.
 2. Nodes are tried against the head of their largest bucket, the node whose prefix is most common there, so near copies of one
    text link in a number of trials that grows with their number. What links is one part.
 3. Nodes of different parts that share prefix shingles become pairs where lengths and positions still allow the overlap: the
@@ -338,8 +339,8 @@ def links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFram
     rows = lone.select("node", "n", F.posexplode(F.arrays_zip("p", "cells")).alias("pos", "t")).select(
         "node", "n", F.col("pos").cast("int").alias("pos"), F.col("t.p").alias("token"), F.when(F.col("t.cells") > 1, F.pmod(F.xxhash64("node"), F.col("t.cells"))).alias("cell"), F.col("t.cells").alias("cells"))
     seen = "over (partition by token, cell)"
-    rows = rows.withColumns({"least": F.expr(f"min(node) {seen}"), "most": F.expr(f"max(node) {seen}"), "m": F.expr(f"count(*) {seen} * cells")})
-    counted = saved(rows.where("least <> most or cells > 1").drop("least", "most", "cell", "cells"))
+    rows = rows.withColumns({"least": F.expr(f"min(node) {seen}"), "most": F.expr(f"max(node) {seen}"), "m": F.expr(f"count(*) {seen} * cells"), "any": F.expr(f"max({_inner(percent)}) {seen}")})
+    counted = saved(rows.where("least <> most and any or cells > 1").drop("least", "most", "any", "cell", "cells"))
 
     found = _tried(docs, _first_tries(counted, percent), chosen, sets)
     part = saved(counted.select("node", "n").distinct().join(_merged(found), "node", "left").select("node", "n", F.coalesce("to", "node").alias("part")))
