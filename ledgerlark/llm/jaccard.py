@@ -7,7 +7,7 @@ under all `ORDERS` orders.
 
 1. Prefixes under the first order are bucketed by shingle; buckets of one node are dropped, and those that no set has so early
    that it could be the smaller one of a pair.
-2. Nodes are tried against the head of their largest bucket, the node whose prefix is most common there, so near copies of one
+2. Nodes are tried against the head of their largest bucket, the node whose prefix begins most commonly there, so near copies of one
    text link in a number of trials that grows with their number. What links is one part.
 3. Nodes of different parts that share prefix shingles become pairs where lengths and positions still allow the overlap: the
    smaller set is looked up by the beginning of its prefix alone, pairs inside the largest part of a bucket are never formed,
@@ -291,12 +291,13 @@ def _room(percent: int) -> str:
 def _first_tries(rows: DataFrame, percent: int) -> DataFrame:
     """(node, head) from rows (node, n, pos, token, m): each node tries the head of its largest bucket where lengths and positions allow.
 
-    That is the node of a like size whose whole prefix is most common; copies with fewest changes are such, and most others
-    link with them.
+    That is the node of a like size with the most common beginning of its prefix; copies with fewest changes are such, and
+    most others link with them.
     """
-    weight = rows.groupBy("node").agg(F.sum("m").alias("w"), F.max(-F.col("pos")).alias("early"))
     rows = rows.withColumn("band", F.floor(F.log("n") / np.log(1.25)))
-    heads = rows.select("node", "n", "pos", "token", "band").join(weight, "node").groupBy("token", "band").agg(F.max(F.struct("w", "early", "node", "n", "pos")).alias("h"))
+    early = rows.where(_inner(percent))
+    weight = early.groupBy("node").agg(F.sum("m").alias("w"), F.max(-F.col("pos")).alias("early"))
+    heads = early.select("node", "n", "pos", "token", "band").join(weight, "node").groupBy("token", "band").agg(F.max(F.struct("w", "early", "node", "n", "pos")).alias("h"))
     heads = heads.select("token", "band", F.col("h.node").alias("head"), F.col("h.n").alias("_n"), F.col("h.pos").alias("_pos"))
     fits = rows.join(heads, ["token", "band"]).where(f"node <> head and {_room(percent)}")
     return saved(fits.groupBy("node").agg(F.max(F.struct("m", "head")).alias("h")).select("node", "h.head"))
