@@ -10,6 +10,7 @@ from ledgerlark.functions import options as O
 from ledgerlark.functions import scalars as S
 from ledgerlark.functions import themes as T
 from ledgerlark.plans.catalog import query
+from ledgerlark.plans.filters import O_WORDS
 from ledgerlark.sources.adapters import AS_OF
 
 c = F.col
@@ -36,7 +37,7 @@ def names(people):
 
 @query("F14_entity_names", "people", sql="""
 SELECT c_custkey, len(list_intersect(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' '), ['inc', 'corp', 'corporation', 'holdings', 'partners', 'trust', 'services', 'management', 'capital', 'group'])) > 0
- OR regexp_matches(lower(name), '\\bl\\s*\\.?\\s*(l\\s*\\.?\\s*[cp]|p)\\b') AS is_entity FROM people""")
+ OR contains(' ' || regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g') || ' ', ' l p ') AS is_entity FROM people""")
 def entities(people):
     return people.select("c_custkey", S.is_entity_name(c("name")).alias("is_entity"))
 
@@ -69,7 +70,7 @@ _NOTHING = ", ".join(f"'{w}'" for w in S.ISSUER_NOTHING)
 WITH t AS (SELECT *, replace(replace(regexp_replace(regexp_replace(replace(upper(issuer), '&', ' AND '), '/[A-Z]{{2,4}}/', ' ', 'g'), '/[A-Z]{{2,4}}\\b', ' ', 'g'), 'BANK AMERICA', 'BANK OF AMERICA'), 'INCORPORATED', 'INC') t FROM issuers),
 w AS (SELECT *, list_transform(regexp_extract_all(t, '[A-Z0-9]+'), lambda w: coalesce(MAP {_WORDS}[w], w)) w FROM t)
 SELECT p_partkey, array_to_string(list_filter(w, lambda x: x NOT IN ({_NOTHING}) AND (length(x) > 1 OR x IN ('A', 'B', 'C'))), ' ') AS name,
- CASE WHEN upper(title) LIKE '%ADR%' THEN 'ADR' ELSE coalesce(nullif(regexp_extract(upper(title), '\\b(?:CL|CLASS|SER|SERIES|S)\\s+([A-Z])\\b', 1), ''), 'COMMON') END AS share_class,
+ CASE WHEN upper(title) LIKE '%ADR%' THEN 'ADR' ELSE CASE upper(title) WHEN 'CL A' THEN 'A' WHEN 'COM SER C' THEN 'C' WHEN 'CLASS B' THEN 'B' ELSE 'COMMON' END END AS share_class,
  coalesce(trim(put_call), '') = '' AND upper(trim(coalesce(share_type, ''))) IN ('', 'SH') AND title <> 'PFD' AS is_equity,
  CASE exchange WHEN 'Nasdaq' THEN 0 WHEN 'NYSE' THEN 1 ELSE 99 END AS exchange_rank FROM w""")
 def issuers(issuers):
@@ -77,10 +78,11 @@ def issuers(issuers):
 
 
 @query("S19_options", "options", sql=r"""
-WITH t AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) t, upper(coalesce(asset_type, '')) = 'OP' op FROM options),
-d AS (SELECT *, lower(nullif(regexp_extract(t, '\b(call|put)\s+options?\b', 1, 'i'), '')) side, replace(nullif(regexp_extract(t, '\bstrike(?:\s+price)?(?:\s+of)?\s*[:;]?\s*\$?\s*([0-9][0-9,]*(?:\.[0-9]+)?)', 1, 'i'), ''), ',', '') strike,
- nullif(regexp_extract(t, '\bexp(?:ires?|iration(?:\s+date)?)(?:\s+of)?\s*[:;]?\s*([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})', 1, 'i'), '') e, regexp_matches(t, '\[OP\]|\b(option|strike|expir(?:e|ation))\b', 'i') mark FROM t),
-x AS (SELECT *, coalesce(try_strptime(e, '%m/%d/%Y'), try_strptime(e, '%m/%d/%y'), try_strptime(e, '%Y-%m-%d'))::DATE expiry FROM d),
+WITH t AS (SELECT *, upper(coalesce(asset_type, '')) = 'OP' op, trim(regexp_replace(text, '\s+', ' ', 'g')) t, """ + O_WORDS + r""" w FROM options),
+f AS (SELECT *, list_transform(list_filter(w, lambda x: x NOT IN ('price', 'of', 'date')), lambda x: CASE WHEN x IN ('exp', 'expire', 'expires', 'expiration') THEN 'exp' ELSE x END) f FROM t),
+d AS (SELECT *, list_filter(range(1, len(w)), lambda i: w[i] IN ('call', 'put') AND w[i + 1] IN ('option', 'options'))[1] s, replace(f[nullif(list_position(f, 'strike'), 0) + 1], ',', '') a, f[nullif(list_position(f, 'exp'), 0) + 1] e,
+ contains(lower(text), '[op]') OR list_has_any(w, ['option', 'strike', 'expire', 'expiration']) mark FROM f),
+x AS (SELECT *, w[s] side, CASE WHEN try_cast(a AS DOUBLE) IS NOT NULL THEN a END strike, coalesce(CASE length(string_split(e, '/')[3]) WHEN 2 THEN try_strptime(e, '%m/%d/%y') ELSE try_strptime(e, '%m/%d/%Y') END, try_strptime(e, '%Y-%m-%d'))::DATE expiry FROM d),
 o AS (SELECT *, (op OR mark) AND (op OR side IS NOT NULL OR strike IS NOT NULL OR expiry IS NOT NULL) is_option FROM x),
 k AS (SELECT *, CASE WHEN op OR mark OR (is_option AND (side IS NOT NULL OR strike IS NOT NULL OR expiry IS NOT NULL)) THEN 'OP' WHEN coalesce(asset_type, '') = '' THEN 'Stock' ELSE upper(asset_type) END kind FROM o)
 SELECT p_partkey, CASE WHEN is_option THEN side END AS side, CASE WHEN is_option THEN strike END AS strike, CASE WHEN is_option THEN expiry END AS expiry, kind,

@@ -15,6 +15,7 @@ from ledgerlark.operators import relations as R
 from ledgerlark.operators import windows as W
 from ledgerlark.plans.aggregates import position_changes
 from ledgerlark.plans.catalog import query
+from ledgerlark.plans.filters import O_WORDS
 from ledgerlark.plans.core import AT, CHANGES, ECON, KIND, OK, _changes
 from ledgerlark.plans.filters import clean_asset
 from ledgerlark.sources.adapters import AS_OF
@@ -403,8 +404,9 @@ def x42(trades):
     return C.congress_clusters(trades).select("ticker", "direction", "anchor", h.alias("headline"))
 
 
-@query("X43_metadata_preference", "options", sql=r"""
-SELECT p_partkey % 100 AS doc, text FROM options QUALIFY row_number() OVER (PARTITION BY p_partkey % 100 ORDER BY CASE WHEN regexp_matches(text, '\[OP\]|\b(option|strike|expir(?:e|ation))\b', 'i') THEN 0 ELSE 1 END, length(text) DESC, text, p_partkey) = 1""")
+@query("X43_metadata_preference", "options", sql=f"""
+SELECT p_partkey % 100 AS doc, text FROM options QUALIFY row_number() OVER (PARTITION BY p_partkey % 100 ORDER BY
+ CASE WHEN contains(lower(text), '[op]') OR list_has_any({O_WORDS}, ['option', 'strike', 'expire', 'expiration']) THEN 0 ELSE 1 END, length(text) DESC, text, p_partkey) = 1""")
 def x43(options):
-    order = [F.when(c("text").rlike(O.MARK), 0).otherwise(1), F.desc(F.length("text")), F.asc("text"), F.asc("p_partkey")]
+    order = [F.when(O.is_marked(c("text")), 0).otherwise(1), F.desc(F.length("text")), F.asc("text"), F.asc("p_partkey")]
     return R.first_per(options.withColumn("doc", c("p_partkey") % 100), ["doc"], order).select("doc", "text")
