@@ -34,7 +34,9 @@ def congress_clusters(trades: DataFrame, days: int = 10, least: int = 2) -> Data
     """Trailing clusters with their identity (ticker, direction, anchor, hash of the actors) and score."""
     events = congress_events(trades).select("ticker", "direction", F.col("published_date").alias("d"), "member_id", "amount_floor")
     anchors = trailing_actors(events, ["ticker", "direction"], "member_id", "d", days, least)
-    rows = anchors.join(events, ["ticker", "direction"]).where((F.col("d") <= F.col("anchor")) & (F.col("d") > F.date_sub("anchor", days)))
+    # an actor's day counts for the anchors of the next days, which it joins by equality
+    daily = events.groupBy("ticker", "direction", "d", "member_id").agg(F.sum("amount_floor").alias("amount_floor"))
+    rows = anchors.join(daily.withColumn("anchor", F.explode(F.sequence("d", F.date_add("d", days - 1)))), ["ticker", "direction", "anchor"])
     out = rows.groupBy("ticker", "direction", "anchor", "actors").agg(F.sum("amount_floor").alias("floor_sum"), F.sha1(F.array_join(F.array_sort(F.collect_set(F.lower("member_id"))), "|")).alias("actor_hash"))
     return out.withColumn("cluster_id", F.concat_ws("::", F.lit("cluster"), "ticker", "direction", F.lit(f"{days}d"), F.col("anchor").cast("string"), F.substring("actor_hash", 1, 12))).withColumn(
         "importance", F.least(F.lit("0.99").cast("decimal(5,2)"), F.lit("0.84").cast("decimal(5,2)") + F.least(F.col("actors") - least, F.lit(5)).cast("decimal(5,2)") * F.lit("0.02").cast("decimal(5,2)")).cast("decimal(5,2)"))

@@ -28,14 +28,14 @@ def strongest_window(events: DataFrame, keys: list[str], actor: str, date: str,
 def greedy_windows(events: DataFrame, keys: list[str], date: str, days: int) -> DataFrame:
     """Adds window_start: a window opens at the first date past the last window and spans `days` days.
 
-    The fold runs over a key's distinct dates (at most one a calendar day), not over its rows.
+    The fold runs over a key's distinct dates (at most one a calendar day), not over its rows; rows then join their date's window.
     """
     starts = (events.where(F.col(date).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(date)).alias("dates"))
               .withColumn("starts", F.aggregate("dates", F.expr("cast(array() as array<date>)"), lambda acc, d: F.when(
                   (F.size(acc) == 0) | (F.datediff(d, F.element_at(acc, -1)) >= days), F.concat(acc, F.array(d))).otherwise(acc))))
-    opened = starts.select(*keys, F.explode("starts").alias("window_start"))
-    joined = events.join(opened, keys).where((F.col(date) >= F.col("window_start")) & (F.col(date) < F.date_add("window_start", days)))
-    return joined
+    of = F.explode(F.transform("dates", lambda d: F.struct(d.alias("d"), F.element_at(F.filter("starts", lambda s: s <= d), -1).alias("s")))).alias("w")
+    opened = starts.select(*keys, of).select(*keys, F.col("w.d").alias(date), F.col("w.s").alias("window_start"))
+    return events.join(opened, [*keys, date])
 
 
 def latest_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -43,7 +43,8 @@ def upserted(spark, sf_dir):
         return first_per(both, ["user_id"], [F.desc("ts"), F.desc("event_id")])
 
     J.upserting(J.events(spark, sf_dir).select("user_id", "event_id", "event_type", "ts", "value"), path, merge)
-    return spark.read.parquet(path).withColumn("_top", F.expr("max(v) over ()")).where("v = _top").select("user_id", "event_id", "event_type", F.col("value").cast("decimal(18,4)").alias("value"))
+    newest = spark.read.parquet(path).agg(F.max("v")).first()[0]  # from the folders' names and one partial maximum a file
+    return spark.read.parquet(f"{path}/v={newest}").select("user_id", "event_id", "event_type", F.col("value").cast("decimal(18,4)").alias("value"))
 
 
 @stream_query("ST3_streaming_quota", sql="SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY value DESC, event_id) <= 3")

@@ -65,6 +65,10 @@ def upserting(stream: DataFrame, path: str, merge: Callable[[DataFrame | None, D
     stream.writeStream.foreachBatch(step).option("checkpointLocation", shared_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
 
 
+#: Days of a user that the quota's state holds; earlier ones are closed.
+KEPT_DAYS = 60
+
+
 def daily_quota(rows: DataFrame, limit: int) -> DataFrame:
     """Per user and day the first `limit` events in order of value, then id, of what has come so far; state is `limit` ids a day.
 
@@ -73,9 +77,10 @@ def daily_quota(rows: DataFrame, limit: int) -> DataFrame:
     def quota(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         taken = dict(zip(*state.get, strict=True)) if state.exists else {}
         best: dict[str, list] = {}
+        closed = min(taken) if len(taken) >= KEPT_DAYS else ""
         for frame in frames:
             for day, value, event in zip(frame["day"].tolist(), frame["value"].tolist(), frame["event_id"].tolist(), strict=True):
-                room = limit - taken.get(day, 0)
+                room = 0 if day < closed else limit - taken.get(day, 0)
                 if room > 0:
                     heap = best.setdefault(day, [])
                     heapq.heappush(heap, (value, -event))
@@ -84,7 +89,7 @@ def daily_quota(rows: DataFrame, limit: int) -> DataFrame:
         out = [(key[0], day, -event) for day, heap in best.items() for _, event in heap]
         for day, heap in best.items():
             taken[day] = taken.get(day, 0) + len(heap)
-        days = sorted(taken)[-60:]  # a day that is 60 days back takes no more events
+        days = sorted(taken)[-KEPT_DAYS:]  # days before the kept ones take no more events
         state.update((days, [taken[d] for d in days]))
         yield pd.DataFrame(out, columns=["user_id", "day", "event_id"])
 
