@@ -88,20 +88,3 @@ def daily_quota(events: DataFrame, user: str, day: str, event: str, score: str,
     each = events.groupBy(user, day, event).agg(F.max(score).alias("best"), F.count(F.lit(1)).alias("deliveries"))
     ranked = each.withColumn("place", F.row_number().over(Window.partitionBy(user, day).orderBy(F.desc("best"), F.asc(event))))
     return ranked.withColumn("status", F.when(F.col("place") <= limit, "queued").otherwise("suppressed"))
-
-
-def behaviour(events: DataFrame) -> DataFrame:
-    """activity, unusual and the reasons for congress events: large amounts, first buys, several trades of one filing."""
-    big, first = F.col("amount_floor") >= 100_001, (F.col("direction") == "buy") & (F.col("prior_ticker_buys") == 0)
-    own = (F.col("direction") == "buy") & (F.col("prior_actor_buys") == 0) & (F.col("amount_floor") >= 15_001)
-    reasons = F.array_compact(F.array(F.when(big, F.lit("large_amount")), F.when(first, F.lit("first_congress_buy")), F.when(own, F.lit("first_actor_buy"))))
-    clean = ~F.lower(F.coalesce("asset_type", F.lit(""))).rlike("municipal|bond|treasury")
-    return events.withColumn("activity", clean).withColumn("reasons", F.array_join(F.when(clean, reasons), ",")).withColumn("unusual", clean & (F.size(reasons) > 0))
-
-
-def candidate_rule(floor: str = "amount_floor"):
-    """First matching rule of the dispatch table."""
-    f = F.col(floor)
-    buy = F.col("direction") == "buy"
-    return (F.when(~F.col("activity"), None).when(F.col("reasons").contains("first_congress_buy") & (f >= 15_001), "first_quantum_politician_buy")
-            .when(buy & (f >= 100_000), "large_politician_buy").when(buy & (f >= 50_000), "theme_politician_buy").when(F.col("unusual"), "unusual_activity"))

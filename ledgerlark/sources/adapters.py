@@ -69,6 +69,22 @@ VIEWS |= {
     "subscriptions": """SELECT DISTINCT 'U' || user_id AS watchlist_id, 'S' || user_id || event_type AS subscription_id, CASE event_type WHEN 'view' THEN 'email' ELSE 'sms' END AS channel,
  CAST(CASE event_type WHEN 'view' THEN 0.70 ELSE 0.75 END AS DECIMAL(5,2)) AS minimum_importance FROM events WHERE event_type IN ('view', 'error') AND user_id % 3 > 0""",
 }
+VIEWS["feed_events"] = f"""SELECT 'E' || l_orderkey || '-' || l_linenumber AS event_id, CASE l_orderkey % 12 WHEN 0 THEN 'politician_cluster' WHEN 1 THEN 'cross_source_accumulation'
+ WHEN 2 THEN 'politician_gain_milestone' WHEN 3 THEN 'cluster_gain_milestone' WHEN 4 THEN 'politician_filing_summary' WHEN 5 THEN 'fund_filing_received' WHEN 6 THEN 'fund_position_change'
+ WHEN 7 THEN 'insider_trade' WHEN 8 THEN 'insider_cluster' WHEN 9 THEN 'politician_trade_grouped' WHEN 10 THEN 'insider_trade_grouped' ELSE 'politician_trade' END AS signal_type,
+ CASE l_orderkey % 12 WHEN 7 THEN 'insider_trade' WHEN 8 THEN 'insider_trade' WHEN 10 THEN 'insider_trade' WHEN 9 THEN 'politician_trade' WHEN 11 THEN 'politician_trade' END AS base_type,
+ CASE WHEN l_orderkey % 12 IN (5, 6) THEN 'fund' WHEN l_orderkey % 12 IN (7, 8, 10) THEN 'insider' ELSE 'congress' END AS source,
+ CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS direction, {_TICKER} AS ticker,
+ CASE l_suppkey % 9 WHEN 0 THEN 'Ann Notable' WHEN 1 THEN 'North Capital Group' WHEN 2 THEN NULL ELSE 'Person ' || l_suppkey END AS actor_name,
+ CASE WHEN l_suppkey % 4 > 0 THEN 'M' || l_suppkey END AS member_id, {_RANGE} AS amount_range, CAST(floor({_AMOUNT}) AS BIGINT) * 10 AS value,
+ CASE l_partkey % 7 WHEN 1 THEN 'Stock' WHEN 2 THEN 'ETF fund' WHEN 3 THEN 'Municipal Security' WHEN 4 THEN '' END AS asset_type,
+ CASE l_partkey % 11 WHEN 3 THEN 'County bond' ELSE 'Common shares' END AS asset_name,
+ CASE l_partkey % 5 WHEN 0 THEN 'quantum' WHEN 1 THEN 'crypto' WHEN 2 THEN 'defense' END AS theme, CASE l_suppkey % 3 WHEN 0 THEN 'defense' WHEN 1 THEN 'quantum' END AS member_theme,
+ l_partkey % 13 = 0 AS first_ticker_buy, l_suppkey % 3 = 0 AS first_actor_buy, (l_orderkey * 7 + l_linenumber * 3) % 130 AS change_pct, l_partkey % 17 = 0 AS new_position,
+ (l_orderkey + l_linenumber) % 240 AS gain_pct, CASE WHEN (l_orderkey + l_linenumber) % 240 >= 100 THEN 100 ELSE 50 END AS milestone_pct,
+ CASE l_partkey % 3 WHEN 0 THEN 'cross_source_accumulation' ELSE 'politician_cluster' END AS cluster_type, l_linenumber % 2 = 0 AS includes_fund,
+ l_linenumber % 3 > 0 AS summary_activity, l_linenumber % 5 = 0 AS summary_unusual, CASE l_suppkey % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'exit' WHEN 2 THEN 'increase' END AS change_type,
+ l_linenumber % 4 AS group_rows, CAST(0.60 + (l_partkey % 40) / 100.0 AS DECIMAL(5,2)) AS importance, CAST(l_shipdate AS DATE) AS published_date, l_suppkey % 7 AS actors FROM lineitem"""
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
