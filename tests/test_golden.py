@@ -192,3 +192,18 @@ def test_quota_over_micro_batches(spark, tmp_path, monkeypatch):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {(r.day, r.event_id) for r in jobs.finished(jobs.daily_quota(stream, 2)).collect()}
     assert got == {("2001-01-01", 1), ("2001-01-01", 2), *((f"2001-01-0{d}", 10 + d) for d in range(2, 6)), ("2001-01-05", 21)}
+
+
+def test_notable_clean_and_zero_limits(spark):
+    from ledgerlark.operators import rules as B
+    base = {"event_id": "1", "signal_type": "politician_trade", "base_type": None, "source": "congress", "direction": "buy", "ticker": "ABC", "actor_name": "Ann Notable", "member_id": None,
+            "amount_range": "$1,001 - $15,000", "value": 0, "asset_type": None, "asset_name": None, "theme": None, "member_theme": None, "first_ticker_buy": None, "first_actor_buy": None,
+            "change_pct": None, "new_position": None, "gain_pct": None, "milestone_pct": None, "cluster_type": None, "includes_fund": None, "summary_activity": None, "summary_unusual": None,
+            "change_type": None, "group_rows": None, "importance": None}
+    cases = [base, base | {"actor_name": "A. Else"}, base | {"asset_name": "City Bond 2030"}, base | {"ticker": None}, base | {"signal_type": "insider_cluster", "base_type": "insider_trade", "source": "insider"}]
+    schema = ", ".join(f"{k} {'boolean' if k in ('first_ticker_buy', 'first_actor_buy', 'new_position', 'includes_fund', 'summary_activity', 'summary_unusual') else 'int' if k in ('value', 'change_pct', 'gain_pct', 'milestone_pct', 'group_rows') else 'decimal(5,2)' if k == 'importance' else 'string'}" for k in base)
+    rows = spark.createDataFrame([tuple(r.values()) for r in cases], schema)
+    out = B.behaviour(rows, ("quantum",), ("ann notable",)).withColumn("rule", B.broadcast_rule(("quantum",), ("ann notable",))).collect()
+    assert [(r.activity, r.unusual, r.suppressed, r.reasons, r.rule) for r in out] == [
+        (True, True, False, ["notable_politician"], "notable_politician_trade"), (True, False, False, [], None), (False, False, True, ["non_clean_asset"], None),
+        (False, False, True, ["non_clean_asset"], None), (True, False, False, [], "insider_cluster")]
