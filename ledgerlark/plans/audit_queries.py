@@ -199,3 +199,21 @@ def u4(stored, incoming):
     """New values win, old creation dates stay."""
     i = incoming.select("key", c("name").alias("n"), c("created_at").alias("d"))
     return stored.join(i, "key", "full").select("key", F.coalesce("n", "name").alias("name"), F.coalesce("created_at", "d").alias("created_at"))
+
+
+@query("S36_fund_scores", "feed_events", sql="""
+SELECT event_id, CAST(least(0.99, CASE WHEN change_type IN ('new', 'increase') THEN 0.58 WHEN change_type = 'exit' THEN 0.46 ELSE 0.40 END + CASE WHEN change_type IN ('new', 'exit') THEN 0.12 ELSE 0 END
+ + CASE WHEN value * 200 >= 100000000 THEN 0.12 WHEN value * 200 >= 10000000 THEN 0.08 WHEN value * 200 >= 1000000 THEN 0.04 ELSE 0 END + CASE WHEN change_pct * 10000 >= 1000000 THEN 0.08 WHEN change_pct * 10000 >= 100000 THEN 0.05 ELSE 0 END) AS DECIMAL(5,2)) AS score FROM feed_events WHERE source = 'fund'""")
+def s36(feed_events):
+    """Scores of fund changes (values and shares scaled up, as the synthetic ones are small)."""
+    change = F.coalesce("change_type", F.lit("hold"))
+    return feed_events.where("source = 'fund'").select("event_id", S.fund_score(change, c("value") * 200, c("change_pct") * 10_000).alias("score"))
+
+
+@query("X28_member_filings", "members", "trades", sql="""
+SELECT m.member_id, year(t.published_date) AS y, count(DISTINCT regexp_replace(t.doc_id, '-[0-9]+$', '')) AS filings FROM members m JOIN trades t ON regexp_replace(lower(m.full_name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(t.politician_name), '[^a-z0-9]', '', 'g') GROUP BY 1, 2""")
+def x28(members, trades):
+    """Filings of each member by year, joined by the normalised name; filings are reduced to one row each before the join."""
+    f = trades.select(S.actor_key(c("politician_name")).alias("k"), F.year("published_date").alias("y"), S.filing_key(c("doc_id")).alias("filing")).distinct()
+    f = f.groupBy("k", "y").agg(F.count("*").alias("filings"))
+    return members.select("member_id", S.actor_key(c("full_name")).alias("k")).join(f, "k").groupBy("member_id", "y").agg(F.sum("filings").alias("filings"))
