@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import chat, decontaminate, html_text, jaccard, packing, quality, secrets, shards, token_files, toxicity
+from ledgerlark.llm import chat, decontaminate, html_text, jaccard, ngram_lm, packing, periodic, quality, secrets, shards, token_files, toxicity, whitening
 from ledgerlark.llm.common import new_folder, table
 from ledgerlark.llm.tokenise import tokenizer_path
 
@@ -53,5 +53,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_jaccard_join, op4_quality_rules, op5_token_files, op6_lpt_shards, op7_best_fit_packing, op8_toxicity, op9_perspectives, op10_main_text)}
+def op11_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scored(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find(periodic.looped(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_jaccard_join, op4_quality_rules, op5_token_files, op6_lpt_shards, op7_best_fit_packing, op8_toxicity, op9_perspectives, op10_main_text,
+                                    op11_interpolated_lm, op12_whitening, op13_periodic_runs)}
 SQL: dict[str, str] = {"op9_perspectives": chat.SQL}

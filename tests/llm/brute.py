@@ -1,7 +1,9 @@
 """Plain Python versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -120,3 +122,116 @@ def perspectives(turns):
                 out.append((conv, who, turn, role, name, segment, at, end, at + len(head) if own else -1, end - 1 if own else -1))
                 at = end
     return out
+
+
+def periodic_runs(words):
+    """Sorted (start, length, period) of all runs: stretches of smallest period q and at least max(6, 4 * q) words."""
+    found = {}
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(6, 4 * q):
+                found.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def looped(doc_id, words):
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def run_digest(doc_id, text):
+    words = looped(doc_id, PLAIN_WORD.findall(text or ""))
+    runs = periodic_runs(words)
+    lost = {i for s, n, q in runs for i in range(s + q, s + n)}
+    best = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=None)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return (doc_id, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(" ".join(w for i, w in enumerate(words) if i not in lost)))
+
+
+class Interpolated:
+    """The interpolated n-gram model with plain dictionaries: counts, weights by as many rounds as it takes, and scores."""
+
+    BEGIN, END = ("begin",), ("end",)
+
+    def __init__(self, docs, order):
+        self.order, self.sizes = order, {}
+        texts = [(d, self.fold(d), [*PLAIN_WORD.findall((t or "").translate(ASCII)), self.END]) for d, t in docs]
+        self.part = self.counted([w for _, f, w in texts if f not in (0, 1)])
+        self.all = self.counted([w for _, f, w in texts if f])
+        self.tuning = [w for _, f, w in texts if f == 1]
+        self.weights, self.course = defaultdict(lambda: 0.5), []
+        self.tune()
+        n, v = self.all[1][()], self.single(self.all)
+        self.rows = []
+        for d, f, words in texts:
+            single = [self.all[0].get((w,), 0) for w in words]
+            base = sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in single)
+            score = sum(math.log10(self.levels(self.all, h, w)[-1][0]) for h, w in self.events(words))
+            self.rows.append((d, f == 0, len(words), sum(c > 0 for c in single), n, base, score))
+
+    @staticmethod
+    def fold(d):
+        return 0 if d is None else zlib.crc32(str(d).encode()) % 10
+
+    def events(self, words):
+        stream = [self.BEGIN] * (self.order - 1) + words
+        return [(tuple(stream[i : i + self.order - 1]), w) for i, w in enumerate(words)]
+
+    def counted(self, texts):
+        grams, contexts = Counter(), Counter()
+        for words in texts:
+            for h, w in self.events(words):
+                for k in range(self.order):
+                    c = h[len(h) - k :]
+                    grams[(*c, w)] += 1
+                    contexts[c] += 1
+        return grams, contexts
+
+    def levels(self, counts, h, w):
+        """[(chance, class, share of this level's own estimate)] from the lowest order up."""
+        grams, contexts = counts
+        p, out = 1 / (self.single(counts) + 1), []
+        for k in range(self.order):
+            c = h[len(h) - k :]
+            n = contexts.get(c, 0)
+            own = self.weights[k, n.bit_length()] * grams.get((*c, w), 0) / n if n else 0
+            whole = own + (1 - self.weights[k, n.bit_length()] if n else 1) * p
+            out.append((whole, (k, n.bit_length()), own / whole))
+            p = whole
+        return out
+
+    def single(self, counts):
+        if id(counts) not in self.sizes:
+            self.sizes[id(counts)] = sum(len(g) == 1 for g in counts[0])
+        return self.sizes[id(counts)]
+
+    def tune(self):
+        for _ in range(30):
+            used, tried, gain, n = Counter(), Counter(), 0.0, 0
+            for words in self.tuning:
+                for h, w in self.events(words):
+                    levels, reach = self.levels(self.part, h, w), 1.0
+                    gain, n = gain + math.log(levels[-1][0]), n + 1
+                    for _, place, share in reversed(levels):
+                        used[place] += reach * share
+                        tried[place] += reach
+                        reach *= 1 - share
+            if not n:
+                return
+            self.course.append(gain / n)
+            self.weights = defaultdict(lambda: 0.5)
+            for k in range(self.order):
+                for c in range(1, 65):
+                    self.weights[k, c] = (used[k, c] + 0.5) / (tried[k, c] + 1) if (k, c) in tried else self.weights[k, c - 1]
+            if len(self.course) > 1 and self.course[-1] - self.course[-2] < 1e-6 * abs(self.course[-2]):
+                return
