@@ -60,16 +60,3 @@ def multiset_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
 
 def insert_absent(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return stored.unionByName(rows.join(stored.select(*keys), keys, "left_anti"))
-
-
-def leaves(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, leaf) reached from roots over parent-child edges, at most `depth` steps; nodes seen before are not walked again."""
-    seen = roots.select(F.col("id").alias("root"), F.col("id").alias("node"))
-    front, found = seen, None
-    inner = edges.select(F.col("parent").alias("node"), "child")
-    for _ in range(depth):
-        step = front.join(inner, "node").select("root", F.col("child").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
-        ends = step.join(inner.select("node").distinct(), "node", "left_anti").select("root", F.col("node").alias("leaf"))
-        found = ends if found is None else found.unionByName(ends)
-        seen, front = seen.unionByName(step), step
-    return found.distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import scalars as S
 from ledgerlark.operators import clusters as C
+from ledgerlark.operators import graph as G
 from ledgerlark.operators import relations as R
 from ledgerlark.operators import windows as W
 from ledgerlark.plans.catalog import query
@@ -199,7 +200,7 @@ SELECT root, node AS leaf FROM r WHERE node NOT IN (SELECT parent FROM e)""")
 def j12(conversations):
     edges = (conversations.select(F.concat(F.lit("c"), "conv_id").alias("parent"), F.concat(F.lit("g"), "conv_id", F.lit("-"), "role").alias("child"))
              .union(conversations.select(F.concat(F.lit("g"), "conv_id", F.lit("-"), "role"), F.concat(F.lit("t"), "conv_id", F.lit("-"), "turn"))).distinct())
-    return R.leaves(edges, conversations.select(F.concat(F.lit("c"), "conv_id").alias("id")).distinct(), 2)
+    return G.leaves(edges, conversations.select(F.concat(F.lit("c"), "conv_id").alias("root"), F.concat(F.lit("c"), "conv_id").alias("node")))
 
 
 @query("J13_unfiled_periods", "holdings", sql="""

@@ -47,6 +47,17 @@ def upserted(spark, sf_dir):
     return spark.read.parquet(f"{path}/v={newest}").select("user_id", "event_id", "event_type", F.col("value").cast("decimal(18,4)").alias("value"))
 
 
-@stream_query("ST3_streaming_quota", sql="SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY value DESC, event_id) <= 3")
+@stream_query("ST3_streaming_quota", sql="SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY value DESC, event_id) <= 3")
 def quota(spark, sf_dir):
-    return J.finished(J.daily_quota(J.events(spark, sf_dir), 3))
+    return J.QuotaRun(spark, J.events(spark, sf_dir), 3, "2 days").closing().select("user_id", "day", "event_id")
+
+
+@stream_query("ST4_ledger_quota", sql="""
+WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id, value FROM events WHERE user_id IS NOT NULL), l AS (SELECT DISTINCT user_id, day, event_id FROM e WHERE event_id % 9 = 0),
+n AS (SELECT user_id, day, count(*) AS taken FROM l GROUP BY 1, 2), r AS (SELECT e.*, row_number() OVER (PARTITION BY user_id, day ORDER BY value DESC, event_id) AS place FROM e ANTI JOIN l USING (user_id, day, event_id))
+SELECT user_id, day, event_id, 'reserved' AS status FROM l UNION ALL SELECT r.user_id, r.day, r.event_id, 'queued' FROM r LEFT JOIN n USING (user_id, day) WHERE place <= 4 - coalesce(taken, 0)""")
+def ledger_quota(spark, sf_dir):
+    """The state starts from what deliveries have reserved already; these events pass again and the others share what is left."""
+    stored = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null and event_id % 9 = 0")
+    ledger = stored.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id").distinct()
+    return J.QuotaRun(spark, J.events(spark, sf_dir), 4, "2 days", ledger).closing()

@@ -85,6 +85,15 @@ VIEWS["feed_events"] = f"""SELECT 'E' || l_orderkey || '-' || l_linenumber AS ev
  CASE l_partkey % 3 WHEN 0 THEN 'cross_source_accumulation' ELSE 'politician_cluster' END AS cluster_type, l_linenumber % 2 = 0 AS includes_fund,
  l_linenumber % 3 > 0 AS summary_activity, l_linenumber % 5 = 0 AS summary_unusual, CASE l_suppkey % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'exit' WHEN 2 THEN 'increase' END AS change_type,
  l_linenumber % 4 AS group_rows, CAST(0.60 + (l_partkey % 40) / 100.0 AS DECIMAL(5,2)) AS importance, CAST(l_shipdate AS DATE) AS published_date, l_suppkey % 7 AS actors FROM lineitem"""
+VIEWS |= {  # a graph of unequal depth with shared children, cycles of two, and children that have no row
+    "graph_nodes": f"""SELECT 'n' || p_partkey AS id, p_partkey, {_PART} AS ticker, CASE p_size % 2 WHEN 0 THEN 'buy' ELSE 'sell' END AS direction, CASE p_partkey % 4 WHEN 0 THEN 'insider' ELSE 'congress' END AS source,
+ DATE '2001-01-01' + p_size % 3 AS transaction_date, CAST(p_size % 4 AS DECIMAL(18,2)) AS amount, CASE p_size % 5 WHEN 0 THEN 0 WHEN 1 THEN 1001 WHEN 2 THEN 15001 WHEN 3 THEN 50001 ELSE 100001 END AS amount_floor FROM part""",
+    "graph_edges": """SELECT 'n' || p_partkey AS parent, 'n' || CAST(floor(p_partkey / 2) AS BIGINT) AS child FROM part WHERE p_partkey % 3 <> 0 AND p_partkey > 1
+ UNION SELECT 'n' || p_partkey, 'n' || CAST(floor(p_partkey / 3) AS BIGINT) FROM part WHERE p_partkey % 5 IN (1, 2) AND p_partkey % 3 <> 0 AND p_partkey > 3
+ UNION SELECT 'n' || p_partkey, 'n' || (p_partkey + CASE p_partkey % 50 WHEN 1 THEN 1 ELSE -1 END) FROM part WHERE p_partkey % 50 IN (1, 2)
+ UNION SELECT 'n' || p_partkey, 'missing' || p_partkey FROM part WHERE p_partkey % 11 = 0""",
+    "graph_stories": "SELECT p_brand || '/' || p_size AS story, 'n' || p_partkey AS event, p_size * 100 AS own_floor FROM part WHERE p_partkey % 4 = 1",
+}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a folder of this machine only where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir. Only a local master may go without that setting: machines of a cluster share no temporary folder."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         place = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
         spark.sparkContext.setCheckpointDir(place)
     return f"{place.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -1,14 +1,12 @@
-"""Structured Streaming jobs: windows and watermark deduplication, keyed upserts, and a quota with state.
+"""Structured Streaming jobs: windows, watermark deduplication and keyed upserts.
 
 Jobs read the events table as a file stream. `finished` runs one to its end and gives the written result back.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,35 +61,3 @@ def upserting(stream: DataFrame, path: str, merge: Callable[[DataFrame | None, D
         merge(stored, rows).write.mode("overwrite").parquet(f"{path}/v={number}")
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", shared_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-
-
-#: Days of a user that the quota's state holds; earlier ones are closed.
-KEPT_DAYS = 60
-
-
-def daily_quota(rows: DataFrame, limit: int) -> DataFrame:
-    """Per user and day the first `limit` events in order of value, then id, of what has come so far; state is `limit` ids a day.
-
-    A micro-batch's frames pass through a heap of `limit` entries a day, so a user with very many rows needs no more memory.
-    """
-    def quota(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        taken = dict(zip(*state.get, strict=True)) if state.exists else {}
-        best: dict[str, list] = {}
-        closed = min(taken) if len(taken) >= KEPT_DAYS else ""
-        for frame in frames:
-            for day, value, event in zip(frame["day"].tolist(), frame["value"].tolist(), frame["event_id"].tolist(), strict=True):
-                room = 0 if day < closed else limit - taken.get(day, 0)
-                if room > 0:
-                    heap = best.setdefault(day, [])
-                    heapq.heappush(heap, (value, -event))
-                    if len(heap) > room:
-                        heapq.heappop(heap)
-        out = [(key[0], day, -event) for day, heap in best.items() for _, event in heap]
-        for day, heap in best.items():
-            taken[day] = taken.get(day, 0) + len(heap)
-        days = sorted(taken)[-KEPT_DAYS:]  # days before the kept ones take no more events
-        state.update((days, [taken[d] for d in days]))
-        yield pd.DataFrame(out, columns=["user_id", "day", "event_id"])
-
-    keyed = rows.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value", "event_id").groupBy("user_id")
-    return keyed.applyInPandasWithState(quota, "user_id long, day string, event_id long", "days array<string>, taken array<long>", "append", "NoTimeout")
