@@ -58,7 +58,7 @@ class Chunk:
         self.tokens += len(words)
 
     def sealed(self) -> Chunk:
-        self.h = np.concatenate(self.words)
+        self.h, self.words = np.concatenate(self.words), []
         sizes = np.array([p[3] for p in self.pieces])
         self.scored = np.ones(len(self.h), bool)
         begin = np.cumsum(sizes + self.lead) - sizes - self.lead
@@ -66,7 +66,7 @@ class Chunk:
             self.scored[begin + k] = False
         self.held = self.scored.copy()  # positions with an entry: what is scored, and the last of the context
         self.held[begin + self.lead - 1] = True
-        self.remainder = np.repeat(np.array([p[2] for p in self.pieces]), sizes + self.lead)
+        self.remainder = np.repeat(np.array([p[2] for p in self.pieces], np.int8), sizes + self.lead)
         return self
 
     def keys(self, order: int, bits: int) -> np.ndarray:
@@ -107,14 +107,36 @@ def chunks(batches, size: int, order: int) -> Iterator[Chunk]:
         yield chunk.sealed()
 
 
-def _sorted(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct keys in rising order, and the sum of each weight for every one."""
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in rising order, and the place of each key among them."""
     order = np.argsort(keys)
     ranked = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ranked[1:] != ranked[:-1]
-    at = np.flatnonzero(new)
-    return ranked[at], *(np.add.reduceat(w[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64) for w in weights)
+    place = np.empty(len(keys), np.uint32)
+    place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return ranked[new], place
+
+
+#: How often an n-gram stands in rows that are learnt from, in rows of fold FOLD, and whether a row of that fold asks for it.
+_COMMON = ((0, 0, 0), (1, 0, 0), (0, 1, 1))
+
+
+def _coded(learnt: np.ndarray, tuned: np.ndarray, asked: np.ndarray) -> list[np.ndarray]:
+    """The three numbers of every n-gram as one code for each common case, and in full for the others."""
+    code = np.full(len(learnt), len(_COMMON), np.uint8)
+    for k, (a, b, c) in enumerate(_COMMON):
+        code[(learnt == a) & (tuned == b) & (asked == c)] = k
+    rest = code == len(_COMMON)
+    return [code, learnt[rest], tuned[rest], asked[rest]]
+
+
+def _decoded(code: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
+    code = code.astype(np.uint8)
+    out = tuple(np.array([*(x[k] for x in _COMMON), 0], np.int64)[code] for k in range(3))
+    for x, r in zip(out, rest, strict=True):
+        x[code == len(_COMMON)] = r
+    return out
 
 
 def _limits(buckets: int, bits: int) -> np.ndarray:
@@ -124,20 +146,22 @@ def _limits(buckets: int, bits: int) -> np.ndarray:
 def _requests(size: int, order: int, bits: int, buckets: int):
     def task(batches):
         for c in chunks(batches, size, order):
+            scored, fold = c.scored[c.held], c.remainder[c.held]
             lists = []
             for k in range(1, order + 1):
-                counts = c.scored[c.held]
-                fold = c.remainder[c.held]
-                keys, learnt, tuned, asked = _sorted(c.keys(k, bits), counts & (fold > 0) & (fold != FOLD), counts & (fold == FOLD), fold == FOLD)
+                keys, place = _ranked(c.keys(k, bits))
+                counts = [np.bincount(place[rows], minlength=len(keys)).astype(np.uint32) for rows in (scored & (fold > 0) & (fold != FOLD), scored & (fold == FOLD), fold == FOLD)]
                 cuts = [0, *np.searchsorted(keys, _limits(buckets, 64 if k == 1 else bits)).tolist(), len(keys)]
-                lists.append((keys, learnt, tuned, asked > 0, cuts))
-            mark = c.mark()
+                lists.append((keys, *counts[:2], counts[2] > 0, cuts))
+            mark, name = c.mark(), c.name
+            del c, scored, fold, place, counts
             for b in range(buckets):
                 arrays = []
                 for keys, learnt, tuned, asked, cuts in lists:
                     part = slice(cuts[b], cuts[b + 1])
-                    arrays += [np.diff(keys[part], prepend=np.uint64(0)), learnt[part], tuned[part], asked[part]]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([c.name]), pa.array([mark]), pa.array([pack(arrays)], pa.binary())], ["bucket", "chunk", "mark", "data"])
+                    arrays += [np.diff(keys[part], prepend=np.uint64(0)), *_coded(learnt[part], tuned[part], asked[part])]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([name]), pa.array([mark]), pa.array([pack(arrays)], pa.binary())], ["bucket", "chunk", "mark", "data"])
+            del lists, keys, learnt, tuned, asked
 
     return task
 
@@ -151,19 +175,17 @@ def _answers(order: int):
         answers: list[list[np.ndarray]] = [[] for _ in rows]
         words = [0, 0]
         for k in range(order):
-            keys = [np.cumsum(r[4 * k]) for r in rows]
-            learnt, tuned = (np.concatenate([r[4 * k + j] for r in rows]).astype(np.int64) for j in (1, 2))
+            keys = [np.cumsum(r[5 * k]) for r in rows]
+            counts = [_decoded(*r[5 * k + 1 : 5 * k + 5]) for r in rows]
             cuts = np.cumsum([0, *map(len, keys)])
-            distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-            some = np.bincount(back, learnt, len(distinct)).astype(np.int64)
-            every = some + np.bincount(back, tuned, len(distinct)).astype(np.int64)
+            distinct, back = _ranked(np.concatenate(keys))
+            some = np.bincount(back, np.concatenate([x[0] for x in counts]), len(distinct)).astype(np.int64)
+            every = some + np.bincount(back, np.concatenate([x[1] for x in counts]), len(distinct)).astype(np.int64)
             if k == 0:
                 words = [int((every > 0).sum()), int((some > 0).sum())]
             for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                answers[i] += [every[back[a:b]], some[back[a:b]]]
-        data = []
-        for r, x in zip(rows, answers, strict=True):
-            data.append(pack([y for k in range(order) for y in (x[2 * k], x[2 * k + 1][r[4 * k + 3] > 0])]))
+                answers[i] += [every[back[a:b]], some[back[a:b][counts[i][2] > 0]]]
+        data = [pack(x) for x in answers]
         n, b = len(rows), key[0].as_py()
         chunk, mark, none = table["chunk"].to_pylist(), table["mark"].to_pylist(), b""
         return pa.table([pa.array([*chunk, -1 - b]), pa.array([b] * (n + 1), pa.int32()), pa.array([*mark, 0]), pa.array([0] * n + words[:1]), pa.array([0] * n + words[1:]), pa.array([*data, none], pa.binary())], schema=_ANSWER)
@@ -174,10 +196,10 @@ def _answers(order: int):
 def _sequences(size: int, order: int):
     def task(batches):
         for c in chunks(batches, size, order):
-            distinct, back, n = np.unique(c.h, return_inverse=True, return_counts=True)
-            common = np.argsort(-n, kind="stable")
-            rank = np.empty(len(n), np.uint64)
-            rank[common] = np.arange(len(n))
+            distinct, back = _ranked(c.h)
+            common = np.argsort(-np.bincount(back), kind="stable").astype(np.uint32)
+            rank = np.empty(len(common), np.uint32)
+            rank[common] = np.arange(len(common), dtype=np.uint32)
             row, doc, remainder, tokens, begins = (list(x) for x in zip(*c.pieces, strict=True))
             null = np.array([d is None for d in doc])
             ids = np.array([d or 0 for d in doc], np.int64).view(np.uint64)
@@ -190,7 +212,8 @@ def _sequences(size: int, order: int):
 def _restored(name: int, data: bytes, lead: int) -> Chunk:
     gaps, common, ranks, row, ids, null, remainder, tokens, begins = unpack(data)
     c = Chunk(name, lead)
-    c.words = [np.cumsum(gaps)[common.astype(np.int64)][ranks.astype(np.int64)]]
+    c.words = [np.cumsum(gaps)[common.astype(np.uint32)][ranks.astype(np.uint32)]]
+    del ranks
     doc = [None if x else d for d, x in zip(ids.view(np.int64).tolist(), null.tolist(), strict=True)]
     c.pieces = list(zip(row.tolist(), doc, remainder.tolist(), tokens.tolist(), begins.astype(bool).tolist(), strict=True))
     return c.sealed()
@@ -216,7 +239,7 @@ def _counted(order: int, bits: int):
         tuned = fold == FOLD
         every, some = [], []
         for k in range(order):
-            distinct, back = np.unique(c.keys(k + 1, bits), return_inverse=True)
+            distinct, back = _ranked(c.keys(k + 1, bits))
             wants = np.zeros(len(distinct), bool)
             wants[back[tuned]] = True
             counts = np.concatenate([a[2 * k] for a in answers])
@@ -224,8 +247,9 @@ def _counted(order: int, bits: int):
             part[wants] = np.concatenate([a[2 * k + 1] for a in answers])
             if len(counts) != len(distinct):
                 raise RuntimeError("documents gave other rows when they were read again: pass a table or a checkpoint")
-            every.append(counts[back])
-            some.append(part[back][tuned])
+            width = np.uint32 if not len(counts) or counts.max() < 2**32 else np.uint64
+            every.append(counts.astype(width)[back])
+            some.append(part.astype(width)[back[tuned]])
         row, doc, remainder, tokens, begins = (list(x) for x in zip(*c.pieces, strict=True))
         null = np.array([d is None for d in doc])
         ids = np.array([d or 0 for d in doc], np.int64).view(np.uint64)
