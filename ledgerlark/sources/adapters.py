@@ -94,6 +94,18 @@ VIEWS |= {  # a graph of unequal depth with shared children, cycles of two, and
  UNION SELECT 'n' || p_partkey, 'missing' || p_partkey FROM part WHERE p_partkey % 11 = 0""",
     "graph_stories": "SELECT p_brand || '/' || p_size AS story, 'n' || p_partkey AS event, p_size * 100 AS own_floor FROM part WHERE p_partkey % 4 = 1",
 }
+_THIRD = ("CASE p_partkey % 8 WHEN 0 THEN 'industries' WHEN 1 THEN 'logistics' WHEN 2 THEN 'materials' WHEN 3 THEN 'energy' WHEN 4 THEN 'bancorp' WHEN 5 THEN 'robotics' WHEN 6 THEN 'foods' ELSE 'airlines' END")
+_SYMBOL = "'T' || translate(CAST(p_partkey AS VARCHAR(12)), '0123456789', 'ABCDEFGHIJ')"
+VIEWS |= {  # lists of companies with clean and unclean names, and asset texts that name them well, nearly or not at all
+    "listed_reference": f"""SELECT {_SYMBOL} AS ticker, p_name || ' ' || {_THIRD} || CASE p_size % 4 WHEN 0 THEN ' Inc' WHEN 1 THEN ' Corp' WHEN 2 THEN ', Inc.' ELSE '' END || CASE WHEN p_partkey % 51 = 0 THEN ' Trust' ELSE '' END AS name,
+ CASE p_size % 3 WHEN 0 THEN 'NYSE' WHEN 1 THEN 'Nasdaq' ELSE 'OTC' END AS exchange FROM part WHERE p_partkey % 3 = 0""",
+    "listed_rows": f"""SELECT {_SYMBOL} AS ticker, CASE WHEN p_partkey % 17 = 0 THEN lower({_SYMBOL}) || ' placeholder' WHEN p_partkey % 60 = 1 THEN p_name WHEN p_partkey % 19 = 0 THEN p_name || ' 1/2/2024 sale'
+ ELSE p_name || ' ' || {_THIRD} || ' group' END AS name FROM part WHERE p_partkey % 3 = 1 OR p_partkey % 6 = 0""",
+    "asset_texts": f"""SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN p_name || ' ' || {_THIRD} || ' Inc' WHEN 1 THEN p_name || ' ' || {_THIRD} || ' Common Stock (ZQX)' WHEN 2 THEN 'United States Treasury Bill 4.5%'
+ WHEN 3 THEN p_name || ' ' || {_THIRD} || 's Corp' WHEN 4 THEN 'Intel Corporation - Common' WHEN 5 THEN p_name || ' municipal bond' WHEN 6 THEN p_name WHEN 7 THEN p_name || ' unheard of ' || {_SYMBOL}
+ WHEN 8 THEN p_name || ' ' || {_THIRD} || ' [ST] 5/1/2024 $1,000 class A' ELSE 'Fund 7 ' || p_name || CASE p_partkey % 4 WHEN 1 THEN ' LLC' WHEN 3 THEN ' (held) Partners stock' ELSE '' END END AS asset,
+ CASE WHEN p_partkey % 13 = 0 THEN 'Starbucks Coffee' WHEN p_partkey % 14 = 0 THEN p_name || ' ' || {_THIRD} END AS other FROM part""",
+}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
