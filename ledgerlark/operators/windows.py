@@ -38,6 +38,25 @@ def greedy_windows(events: DataFrame, keys: list[str], date: str, days: int) ->
     return events.join(opened, [*keys, date])
 
 
+def story_windows(stories: DataFrame, keys: list[str], day: str, days: str, tie: str) -> DataFrame:
+    """Adds window_start: a window opens at the first story past the last window and is as long as the `days` of that story (one at least).
+
+    Of stories of one day the first by `tie` counts. The fold runs over a key's distinct days and carries the end of the open window.
+    """
+    first = stories.where(F.col(day).isNotNull()).groupBy(*keys, day).agg(F.min_by(F.greatest(F.lit(1), F.coalesce(days, F.lit(10))).cast("int"), tie).alias("n"))
+    sorted_days = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), F.col("n").alias("n")))).alias("days"))
+    start = "cast(named_struct('open', null, 'end', null, 'out', array()) as struct<open: date, end: date, out: array<struct<d: date, s: date>>>)"
+
+    def step(acc, x):
+        opens = acc["end"].isNull() | (x["d"] >= acc["end"])
+        held = F.when(opens, x["d"]).otherwise(acc["open"])
+        until = F.when(opens, F.date_add(x["d"], x["n"])).otherwise(acc["end"])
+        return F.struct(held.alias("open"), until.alias("end"), F.concat(acc["out"], F.array(F.struct(x["d"].alias("d"), held.alias("s")))).alias("out"))
+
+    opened = sorted_days.select(*keys, F.explode(F.aggregate("days", F.expr(start), step)["out"]).alias("w")).select(*keys, F.col("w.d").alias(day), F.col("w.s").alias("window_start"))
+    return stories.join(opened, [*keys, day])
+
+
 def latest_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 

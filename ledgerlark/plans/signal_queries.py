@@ -129,6 +129,25 @@ def w5(trades):
     return W.latest_per(rows, ["ticker", "direction", "window_start"], [F.desc("actors"), F.desc("floor_sum"), F.desc("anchor")])
 
 
+STORY_RULES = "('politician_cluster', 'cross_source_accumulation', 'insider_cluster')"
+
+
+@query("Q13_story_windows", "feed_events", sql=f"""
+WITH RECURSIVE st AS (SELECT *, CASE actors % 3 WHEN 0 THEN 7 WHEN 1 THEN 10 ELSE 30 END AS days, row_number() OVER (PARTITION BY signal_type, ticker, direction ORDER BY published_date, event_id) i FROM feed_events WHERE signal_type IN {STORY_RULES} AND ticker IS NOT NULL),
+r AS (SELECT signal_type, ticker, direction, i, published_date AS ws, days AS n FROM st WHERE i = 1 UNION ALL
+ SELECT st.signal_type, st.ticker, st.direction, st.i, CASE WHEN st.published_date - r.ws >= r.n THEN st.published_date ELSE r.ws END, CASE WHEN st.published_date - r.ws >= r.n THEN st.days ELSE r.n END FROM r JOIN st ON st.signal_type = r.signal_type AND st.ticker = r.ticker AND st.direction = r.direction AND st.i = r.i + 1)
+SELECT r.signal_type, r.ticker, r.direction, r.ws AS window_start, st.event_id, st.published_date, st.actors, st.value FROM r JOIN st USING (signal_type, ticker, direction, i)
+QUALIFY row_number() OVER (PARTITION BY r.signal_type, r.ticker, r.direction, r.ws ORDER BY CASE WHEN r.signal_type = 'cross_source_accumulation' THEN st.group_rows END DESC, st.actors DESC, st.importance DESC, st.value DESC, st.published_date DESC, st.event_id) = 1""")
+def q13(feed_events):
+    """The strongest story of windows as long as their first story says: 7, 10 or 30 days; with several sources more insiders (here group_rows) come first."""
+    keys = ["signal_type", "ticker", "direction"]
+    stories = feed_events.where(f"signal_type in {STORY_RULES} and ticker is not null").withColumn("days", F.when(c("actors") % 3 == 0, 7).when(c("actors") % 3 == 1, 10).otherwise(30))
+    rows = W.story_windows(stories, keys, "published_date", "days", "event_id")
+    first = F.when(c("signal_type") == "cross_source_accumulation", c("group_rows"))
+    best = W.latest_per(rows, [*keys, "window_start"], [F.desc(first), F.desc("actors"), F.desc("importance"), F.desc("value"), F.desc("published_date"), F.asc("event_id")])
+    return best.select(*keys, "window_start", "event_id", "published_date", "actors", "value")
+
+
 @query("W15_F15_curated_clusters", "trades", sql=f"""
 WITH {CLUSTERS}, s AS (SELECT *, CAST(least(0.99, 0.84 + least(0.12, 0.04 * (actors - 2))) AS DECIMAL(5,2)) AS score FROM cl), q AS (SELECT *, CAST(score * 10000 AS BIGINT) + 500 + least(actors, 25) * 45 + CASE WHEN floor_sum >= 1000000 THEN 240 WHEN floor_sum >= 100000 THEN 200 ELSE 160 END AS rnk FROM s WHERE score >= 0.84 AND actors >= 4)
 SELECT ticker, direction, anchor, actors, floor_sum, score, rnk FROM q QUALIFY row_number() OVER (PARTITION BY ticker, direction ORDER BY rnk DESC, anchor DESC) = 1""")

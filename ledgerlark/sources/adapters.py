@@ -106,6 +106,11 @@ VIEWS |= {  # lists of companies with clean and unclean names, and asset texts t
  WHEN 8 THEN p_name || ' ' || {_THIRD} || ' [ST] 5/1/2024 $1,000 class A' ELSE 'Fund 7 ' || p_name || CASE p_partkey % 4 WHEN 1 THEN ' LLC' WHEN 3 THEN ' (held) Partners stock' ELSE '' END END AS asset,
  CASE WHEN p_partkey % 13 = 0 THEN 'Starbucks Coffee' WHEN p_partkey % 14 = 0 THEN p_name || ' ' || {_THIRD} END AS other FROM part""",
 }
+VIEWS |= {  # companies and other names that they go by, for suggestions
+    "directory": f"""SELECT {_SYMBOL} AS ticker, p_name || CASE p_partkey % 7 WHEN 0 THEN ' - Class A Common Stock' WHEN 1 THEN ' Common Stock [ST]' WHEN 2 THEN ' Ordinary Shares each' WHEN 3 THEN ' trust account' WHEN 4 THEN ' works' ELSE '' END AS name
+ FROM part WHERE p_partkey % 4 > 0""",
+    "nicknames": f"SELECT {_SYMBOL} AS ticker, p_name AS company, p_brand AS other FROM part WHERE p_partkey % 40 IN (0, 1)",
+}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
