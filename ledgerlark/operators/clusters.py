@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import scalars as S
 from ledgerlark.operators.relations import as_of_prices, first_per
-from ledgerlark.operators.windows import greedy_windows, trailing_actors
+from ledgerlark.operators.windows import greedy_windows, trailing_actors, trailing_sums
 
 
 def congress_events(trades: DataFrame) -> DataFrame:
@@ -63,8 +63,9 @@ def cross_source(trades: DataFrame, insiders: DataFrame, funds: DataFrame, side:
     windows = (greedy_windows(c.unionByName(i), ["ticker"], "d", days).groupBy("ticker", "window_start")
                .agg(F.count_distinct(F.when(F.col("family") == "congress", F.col("actor"))).alias("congress"), F.count_distinct(F.when(F.col("family") == "insider", F.col("actor"))).alias("insider"), F.max("d").alias("window_end")))
     f = funds.where(F.col("change_type").isin(*kinds)).select("ticker", "fund_name", F.col("published_date").alias("fd"))
-    near = (windows.join(f, "ticker").where((F.col("fd") <= F.date_add("window_start", days - 1)) & (F.col("fd") > F.date_sub(F.date_add("window_start", days - 1), fund_days)))
-            .groupBy("ticker", "window_start").agg(F.count_distinct("fund_name").alias("funds")))
+    # funds are counted at the last day of each window, by a sweep and not by pairs
+    ends = windows.select("ticker", F.date_add("window_start", days - 1).alias("anchor"))
+    near = trailing_sums(f, ["ticker"], "fd", "fund_name", fund_days, points=ends).select("ticker", F.date_sub("anchor", days - 1).alias("window_start"), F.col("actors").alias("funds"))
     out = windows.join(near, ["ticker", "window_start"], "left").withColumn("funds", F.coalesce("funds", F.lit(0).cast("long")))
     families = sum((F.col(x) > 0).cast("int") for x in ("congress", "insider", "funds"))
     pairing = (F.col("congress") > 0) & (F.col("insider") > 0) | (F.col("funds") >= 2)

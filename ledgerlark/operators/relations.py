@@ -21,17 +21,40 @@ def last_wins(batches: list[DataFrame], keys: list[str], order: str) -> DataFram
 
 
 def as_of_prices(events: DataFrame, prices: DataFrame, keys: list[str], date: str, price_date: str, price: str) -> DataFrame:
-    """Adds the last price on or before each event's date.
+    """Adds the last price on or before each event's date, null where there is none.
 
-    Events and prices are united and the last price carried forward in one window over the key: one shuffle, no row pairs.
-    Prices sort before events of the same date.
+    Prices are carried on two levels: inside a key's month, events and prices are united in one window; what a month begins with comes
+    from a window over the last prices of the key's months. No window holds all rows of a key, and no rows are paired.
     """
-    w = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    month = F.trunc("_at", "month").alias("_m")
     e = events.select(*keys, F.col(date).alias("_at"), F.lit(1).alias("_kind"), F.struct(*events.columns).alias("_row"))
-    p = prices.select(*keys, F.col(price_date).alias("_at"), F.lit(0).alias("_kind"), F.struct(price_date, price).alias("_p"))
-    both = e.withColumn("_p", F.lit(None).cast(p.schema["_p"].dataType)).unionByName(p.withColumn("_row", F.lit(None).cast(e.schema["_row"].dataType)))
-    filled = both.withColumn("_p", F.last("_p", ignorenulls=True).over(w)).where("_row is not null")
-    return filled.select("_row.*", F.col(f"_p.{price_date}").alias(price_date), F.col(f"_p.{price}").alias(price))
+    p = prices.where(F.col(price_date).isNotNull()).select(*keys, F.col(price_date).alias("_at"), F.lit(0).alias("_kind"), F.struct(price_date, price).alias("_p"))
+    both = e.withColumn("_p", F.lit(None).cast(p.schema["_p"].dataType)).unionByName(p.withColumn("_row", F.lit(None).cast(e.schema["_row"].dataType))).select("*", month)
+    inside = Window.partitionBy(*keys, "_m").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_p", F.last("_p", ignorenulls=True).over(inside)).where("_row is not null")
+    # a month's last price, of the months that have events or prices
+    months = both.groupBy(*keys, "_m").agg(F.max_by("_p", F.when(F.col("_p").isNotNull(), F.col("_at"))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    carried = months.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_m").alias("_month"), F.last("_last", ignorenulls=True).over(before).alias("_c"))
+    same = [filled[k].eqNullSafe(carried[f"_{k}"]) for k in keys]
+    out = filled.join(carried, [*same, filled["_m"].eqNullSafe(carried["_month"])], "left").withColumn("_p", F.coalesce("_p", "_c"))
+    return out.select("_row.*", F.col(f"_p.{price_date}").alias(price_date), F.col(f"_p.{price}").alias(price))
+
+
+def nearest(events: DataFrame, points: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Adds near (value, name): the point of the same keys with the nearest value, of equally near ones the smallest name; null where a key has none.
+
+    Events look down and up in one order of values; equal values of a key are one point before that.
+    """
+    p = points.groupBy(*keys, F.col(value).alias("_v")).agg(F.min(name).alias("_name"))
+    e = events.select(*keys, F.col(value).alias("_v"), F.struct(*events.columns).alias("_row"))
+    point = F.when(F.col("_row").isNull(), F.struct(F.col("_v").alias(value), F.col("_name").alias(name)))
+    both = e.withColumn("_name", F.lit(None).cast("string")).unionByName(p.withColumn("_row", F.lit(None).cast(e.schema["_row"].dataType))).withColumn("_point", point)
+    w = Window.partitionBy(*keys).orderBy("_v")
+    down, up = F.last("_point", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first("_point", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    found = both.withColumn("_down", down).withColumn("_up", up).where("_row is not null")
+    far = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.{value}") - F.col("_v")).alias("far"), F.col(f"{side}.{name}").alias("name"), F.col(side).alias("p")))
+    return found.withColumn("_best", F.least(far("_down"), far("_up"))).select("_row.*", F.col("_best.p").alias("near"))
 
 
 def period_changes(holdings: DataFrame, group: str, key: str, period: str, shares: str) -> DataFrame:

@@ -6,23 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def trailing_actors(events: DataFrame, keys: list[str], actor: str, date: str, days: int, least: int) -> DataFrame:
-    """For each key and date, the distinct actors of the `days` days ending there, where there are `least` or more.
+def trailing_sums(events: DataFrame, keys: list[str], date: str, actor: str, days: int, amount: str | None = None, points: DataFrame | None = None) -> DataFrame:
+    """keys, anchor, actors (and amounts): distinct actors, and sums, of the `days` days that end at each anchor.
 
-    One row a key, date and actor goes into the window, so a busy day costs no more than its actors.
+    Anchors are the events' own dates, or those of `points` (keys, anchor). An actor's day counts from itself on until its days are over
+    or the actor's next day takes its place: plus and minus ones, added up by day. Only a key's distinct days meet in one window.
     """
-    daily = events.select(*keys, F.col(date).alias("anchor"), F.col(actor).alias("actor")).distinct().withColumn("_day", F.datediff("anchor", F.lit("1970-01-01").cast("date")))
-    w = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-(days - 1), 0)
-    return (daily.withColumn("actors", F.size(F.collect_set("actor").over(w)).cast("long")).select(*keys, "anchor", "actors").distinct().where(F.col("actors") >= least))
+    who = Window.partitionBy(*keys, actor).orderBy("anchor")
+    daily = events.select(*keys, F.col(date).alias("anchor"), actor).where("anchor is not null").distinct().withColumn("_next", F.lead("anchor").over(who))
+    end = F.date_add("anchor", days)
+    zero = F.lit(0).cast("long")
+    change = lambda day, n, floor, point: F.struct(day.alias("anchor"), n.cast("long").alias("n"), floor.cast("long").alias("floor"), point.alias("point"))
+    own = F.lit(points is None)
+    rows = daily.select(*keys, F.explode(F.array(change(F.col("anchor"), F.lit(1), zero, own), change(F.least(end, F.coalesce("_next", end)), F.lit(-1), zero, F.lit(False)))).alias("c")).select(*keys, "c.*")
+    if amount:
+        sums = events.where(F.col(date).isNotNull()).groupBy(*keys, F.col(date).alias("anchor")).agg(F.sum(amount).alias("_f"))
+        rows = rows.unionByName(sums.select(*keys, F.explode(F.array(change(F.col("anchor"), zero, F.col("_f"), own), change(end, zero, -F.col("_f"), F.lit(False)))).alias("c")).select(*keys, "c.*"))
+    if points is not None:
+        rows = rows.unionByName(points.select(*keys, "anchor").distinct().select(*keys, "anchor", zero.alias("n"), zero.alias("floor"), F.lit(True).alias("point")))
+    day = rows.groupBy(*keys, "anchor").agg(F.sum("n").alias("n"), F.sum("floor").alias("floor"), F.bool_or("point").alias("point"))
+    past = Window.partitionBy(*keys).orderBy("anchor").rowsBetween(Window.unboundedPreceding, 0)
+    out = day.withColumn("actors", F.sum("n").over(past)).withColumn("amounts", F.sum("floor").over(past)).where("point")
+    return out.select(*keys, "anchor", "actors", *(["amounts"] if amount else []))
+
+
+def trailing_actors(events: DataFrame, keys: list[str], actor: str, date: str, days: int, least: int) -> DataFrame:
+    """For each key and date, the distinct actors of the `days` days ending there, where there are `least` or more."""
+    return trailing_sums(events, keys, date, actor, days).where(F.col("actors") >= least)
 
 
 def strongest_window(events: DataFrame, keys: list[str], actor: str, date: str, floor: str, days: int, least: int) -> DataFrame:
     """The trailing window of each key with most actors, then largest sum of amount floors, then the latest."""
-    e = events.withColumn("_day", F.datediff(date, F.lit("1970-01-01").cast("date")))
-    w = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-(days - 1), 0)
-    rows = e.select(*keys, F.col(date).alias("anchor"), F.size(F.collect_set(actor).over(w)).cast("long").alias("actors"), F.sum(floor).over(w).alias("floor_sum")).distinct()
-    best = Window.partitionBy(*keys).orderBy(F.desc("actors"), F.desc("floor_sum"), F.desc("anchor"))
-    return rows.where(F.col("actors") >= least).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    rows = trailing_sums(events, keys, date, actor, days, floor).withColumnRenamed("amounts", "floor_sum").where(F.col("actors") >= least)
+    best = rows.groupBy(*keys).agg(F.max(F.struct("actors", "floor_sum", "anchor")).alias("b"))
+    return best.select(*keys, "b.anchor", "b.actors", "b.floor_sum")
 
 
 def greedy_windows(events: DataFrame, keys: list[str], date: str, days: int) -> DataFrame:

@@ -328,11 +328,13 @@ def st5(trades):
 SELECT f.watchlist_id, f.target, t.doc_id, t.published_date, count(*) OVER (PARTITION BY f.watchlist_id, f.target) AS matches FROM (SELECT DISTINCT watchlist_id, match_type, target FROM follows) f JOIN trades t ON f.match_type = 'ticker' AND f.target = t.ticker AND t.published_date >= {AT} - 30
 QUALIFY row_number() OVER (PARTITION BY f.watchlist_id, f.target ORDER BY t.published_date DESC, t.doc_id, t.amount, t.member_id) <= 3""")
 def c22(trades, follows):
+    """The newest three of each ticker and their number first, followers then: a popular ticker brings three rows to each follower."""
+    recent = trades.where(c("published_date") >= F.date_sub(today(), 30)).where("ticker is not null")
+    order = Window.partitionBy("ticker").orderBy(F.desc("published_date"), "doc_id", "amount", "member_id")
+    top = recent.withColumn("n", F.row_number().over(order)).where("n <= 3").select("ticker", "doc_id", "published_date")
+    counts = recent.groupBy("ticker").agg(F.count("*").alias("matches"))
     f = follows.where("match_type = 'ticker'").select("watchlist_id", c("target").alias("ticker")).distinct()
-    m = f.join(trades.where(c("published_date") >= F.date_sub(today(), 30)), "ticker")
-    w = Window.partitionBy("watchlist_id", "ticker")
-    m = m.withColumn("matches", F.count("*").over(w)).withColumn("n", F.row_number().over(w.orderBy(F.desc("published_date"), "doc_id", "amount", "member_id")))
-    return m.where("n <= 3").select("watchlist_id", c("ticker").alias("target"), "doc_id", "published_date", "matches")
+    return f.join(top.join(counts, "ticker"), "ticker").select("watchlist_id", c("ticker").alias("target"), "doc_id", "published_date", "matches")
 
 
 @query("C23_activity_union", "trades", "insiders", "holdings", sql=f"""
@@ -380,12 +382,15 @@ def j18(issuers, companies):
 SELECT t.doc_id, t.ticker, t.amount, t.member_id, i.source_url, CASE WHEN i.transaction_date = t.transaction_date THEN 1 WHEN abs(i.amount - t.amount) <= 1 THEN 2 ELSE 3 END AS tier FROM trades t JOIN insiders i ON t.ticker = i.ticker AND year(t.transaction_date) = year(i.transaction_date) AND month(t.transaction_date) = month(i.transaction_date) WHERE t.amount_floor >= 100001
 QUALIFY row_number() OVER (PARTITION BY t.doc_id, t.ticker, t.amount, t.member_id ORDER BY tier, abs(i.amount - t.amount), i.source_url) = 1""")
 def j20(trades, insiders):
+    """The nearest amount of the same day, else the nearest of the month: neighbours in the order of amounts, no pairs."""
     month = lambda d: F.trunc(d, "month").alias("m")
     t = trades.where("amount_floor >= 100001 and ticker is not null").select("doc_id", "ticker", "amount", "member_id", "transaction_date", month("transaction_date"))
-    i = insiders.select("ticker", month("transaction_date"), c("transaction_date").alias("d"), c("amount").alias("a"), "source_url")
-    far = F.abs(c("a") - c("amount"))
-    rows = t.join(i, ["ticker", "m"]).withColumn("tier", F.when(c("d") == c("transaction_date"), 1).when(far <= 1, 2).otherwise(3))
-    return R.first_per(rows, ["doc_id", "ticker", "amount", "member_id"], [F.asc("tier"), F.asc(far), F.asc("source_url")]).select("doc_id", "ticker", "amount", "member_id", "source_url", "tier")
+    i = insiders.where("ticker is not null").select("ticker", "transaction_date", month("transaction_date"), "amount", "source_url")
+    day = R.nearest(t, i, ["ticker", "transaction_date"], "amount", "source_url").withColumnRenamed("near", "day")
+    both = R.nearest(day, i, ["ticker", "m"], "amount", "source_url").where("near is not null")
+    tier = F.when(c("day").isNotNull(), 1).when(F.abs(c("near.amount") - c("amount")) <= 1, 2).otherwise(3)
+    rows = both.select("doc_id", "ticker", "amount", "member_id", F.coalesce("day.source_url", "near.source_url").alias("source_url"), tier.alias("tier"), F.abs(F.coalesce("day.amount", "near.amount") - c("amount")).alias("far"))
+    return R.first_per(rows, ["doc_id", "ticker", "amount", "member_id"], [F.asc("tier"), F.asc("far"), F.asc("source_url")]).drop("far")
 
 
 @query("J9_nested_enrichment", "trades", sql="""
