@@ -12,8 +12,8 @@ maximisation on the rows of remainder `FOLD` under counts of the other training
 4. Each round of expectation-maximisation is one job over the written counts of fold `FOLD`; it returns two sums for each order and bucket.
 5. A last job over the table gives the scores. A text that spans chunks is added up by its row.
 
-Words are hashed to 64 bits; longer n-grams to 18 bits more than the number of bytes of all texts has, so the count of one of them is
-shared with another one with a chance of less than 1 in 260,000. Chunks are made twice, for steps 1 and 3, so docs must read the same
+Words are hashed to 64 bits; longer n-grams to 16 bits more than the number of bytes of all texts has, so the count of one of them is
+shared with another one with a chance of less than 1 in 65,000. Chunks are made twice, for steps 1 and 3, so docs must read the same
 each time (a table or a checkpoint); chunks carry a mark, and a difference raises an error.
 
 Edge cases: a null, empty or blank text is its end token alone; a row with a null doc_id is scored and not learnt from; repeated rows
@@ -38,7 +38,7 @@ from ledgerlark.llm.packed import pack, unpack
 ORDER, FOLD, ROUNDS, ENOUGH = 3, 1, 30, 1e-6
 #: Tokens of a chunk, at least and at most, and bytes of text that a bucket stands for.
 CHUNK, LARGE_CHUNK, BUCKET = 1 << 21, 1 << 24, 1 << 26
-SPARE_BITS, CLASSES = 18, 65
+SPARE_BITS, CLASSES = 16, 65
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
