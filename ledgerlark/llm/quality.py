@@ -1,8 +1,9 @@
 """Quality rules: cross-document line frequency per host, and the base counts of one text.
 
-Lines are normalised (ASCII lower case, digits as 0, white space as one space) and hashed; a line that more than `SHARE` of a
-host's documents hold, and more than `FLOOR` of them, is boilerplate and its words are removed; a document that loses more
-than `LOSS` of its words is depleted and rejected. A share judges a line alike on a small and on a large host.
+Lines are normalised (ASCII lower case, digits as 0, white space as one space) and hashed; a line is boilerplate, and its words are
+removed, if more than `SHARE` of a host's documents hold it, beyond what chance makes of that share among so many documents (a score
+test at `Z`), and more than `FLOOR` of them do; a document that loses more than `LOSS` of its words is depleted and rejected.
+The limit is 9 of 50 documents, 116 of 1,000, 1,050 of 10,000, and nears the share itself on larger hosts.
 
 Counting goes by (host, line), so a line that every document has is summed from partial counts. Few lines of a host can be
 above a share of its documents, so what joins the documents' lines is small; it has one row a line, so a hot line is split
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import LOWER, SPACE, mixed, padded, saved, small_batches, span_hash, spans, text_blocks
 
-FLOOR, SHARE, LOSS = 20, 0.1, 0.5
+FLOOR, SHARE, Z, LOSS = 2, 0.1, 1.645, 0.5
 _NORMAL = LOWER.copy()
 _NORMAL[48:58] = 48
 _SYMBOL = np.zeros(256, bool)
@@ -92,7 +93,7 @@ def rules(docs: DataFrame, host: str = "source") -> DataFrame:
     rows = saved(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("th"), "text")
                  .mapInArrow(counted, SCHEMA))
     documents = rows.dropDuplicates(["doc_id", "host", "th"])
-    limits = rows.groupBy("host").agg(F.count_distinct(F.struct("doc_id", "th")).alias("_n")).select(F.col("host").alias("_h"), F.greatest(F.lit(FLOOR), F.floor(F.col("_n") * SHARE)).alias("most"))
+    limits = rows.groupBy("host").agg(F.count_distinct(F.struct("doc_id", "th")).alias("_n")).select(F.col("host").alias("_h"), F.greatest(F.lit(FLOOR), F.floor(F.col("_n") * SHARE + F.sqrt(F.col("_n") * (SHARE * (1 - SHARE))) * Z)).alias("most"))
     lines = documents.select("host", F.explode(F.array_distinct("line")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FLOOR)
     common_lines = lines.join(limits, lines["host"].eqNullSafe(limits["_h"])).where("n > most").drop("_h")
     each = documents.select("doc_id", "host", "th", F.explode(F.arrays_zip("line", "words")).alias("l"))

@@ -235,3 +235,22 @@ class Interpolated:
                     self.weights[k, c] = (used[k, c] + 0.5) / (tried[k, c] + 1) if (k, c) in tried else self.weights[k, c - 1]
             if len(self.course) > 1 and self.course[-1] - self.course[-2] < 1e-6 * abs(self.course[-2]):
                 return
+
+
+def line_rules(rows):
+    """[(doc_id, kept, words removed)] for rows (doc_id, text, host): lines that too many documents of a host hold are removed."""
+    keys, documents, holders = [], defaultdict(set), defaultdict(set)
+    for d, text, host in rows:
+        lines = [(" ".join(PLAIN_WORD.findall(x)).translate(ASCII).translate(str.maketrans("0123456789", "0" * 10)), len(PLAIN_WORD.findall(x))) for x in (text or "").split("\n") if PLAIN_WORD.search(x)]
+        keys.append((d, text, host, lines))
+        documents[host].add((d, text))
+        for line, _ in lines:
+            holders[host, line].add((d, text))
+    out = []
+    for d, text, host, lines in keys:
+        n = len(documents[host])
+        most = max(2, math.floor(n * 0.1 + 1.645 * math.sqrt(n * 0.1 * 0.9)))
+        removed = sum(w for line, w in lines if len(holders[host, line]) > most)
+        words = sum(w for _, w in lines)
+        out.append((d, not quality(text)[5] and removed <= 0.5 * words, removed))
+    return out
