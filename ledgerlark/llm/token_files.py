@@ -1,14 +1,15 @@
 """Token-ID / binary output: flat unsigned integer files with 64-bit document offsets, read back by memory map.
 
-A folder holds, for each range partition of the ascending doc_id order, `part-N.ids` (little-endian token ids, 16 bits wide
-where the vocabulary allows it, else 32), `part-N.off` (unsigned 64-bit offsets in ids, one more than documents) and
-`part-N.doc` (64-bit doc_ids), and `index.json` with the width and each partition's base: the prefix sums of the partitions'
+A folder holds, for each range partition of the ascending doc_id order, `part-N-A.ids` (little-endian token ids, 16 bits wide
+where the vocabulary allows it, else 32), `part-N-A.off` (unsigned 64-bit offsets in ids, one more than documents) and
+`part-N-A.doc` (64-bit doc_ids), A being the attempt that wrote it, and `index.json` with the width and each partition's base: the prefix sums of the partitions'
 id and document counts, the only thing that passes through the driver (one row a partition).
 
-Executor loss: a task writes under a name of its own attempt and renames at its end, so a second attempt replaces equal files.
+Executor loss: a task writes under a name of its own attempt and tells it when its files are whole; the index, written last and at
+once, names the attempts that count, and nothing reads what other attempts left. Rows with equal doc_id are ordered by a hash of their
+text, so every attempt writes the same.
 
-Edge cases: a null or empty text has the end id alone; rows with equal doc_id stay as separate documents, in any order among
-themselves; null doc_ids sort first and are kept (the index says how many a partition begins with); a very long text is one
+Edge cases: a null or empty text has the end id alone; rows with equal doc_id stay as separate documents; null doc_ids sort first and are kept (the index says how many a partition begins with); a very long text is one
 document; an empty table gives no documents; columns beyond doc_id and text are ignored.
 """
 
@@ -30,6 +31,10 @@ from ledgerlark.llm.common import small_batches
 from ledgerlark.llm.tokenise import encoded
 
 
+#: Bytes of text in a partition's files, where there are not more partitions anyway.
+PART_BYTES = 1 << 28
+
+
 def _place(uri: str) -> tuple[fs.FileSystem, str, bool]:
     parts = urlparse(uri)
     if parts.scheme in ("", "file"):
@@ -51,17 +56,18 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions:
     """Writes every document of `docs` (doc_id, text) to `folder`."""
     spark = docs.sparkSession
     width = 2 if _vocabulary(tokenizer) <= 1 << 16 else 4
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = small_batches(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def task(batches):
         context = TaskContext.get()
-        name = f"part-{context.partitionId():05d}"
+        name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}"
         files, base, _ = _place(folder)
         files.create_dir(base, recursive=True)
         kinds = ("ids", "off", "doc")
-        own = {k: f"{base}/.{name}.{k}.{context.taskAttemptId()}" for k in kinds}
-        out = {k: files.open_output_stream(own[k]) for k in kinds}
+        out = {k: files.open_output_stream(f"{base}/{name}.{k}") for k in kinds}
         out["off"].write(np.zeros(1, "<u8").tobytes())
         total = count = nulls = 0
         for batch in batches:
@@ -80,13 +86,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions:
                 total, count = total + len(all_ids), count + rows
         for k in kinds:
             out[k].close()
-            files.move(own[k], f"{base}/{name}.{k}")
-        yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "n_docs": [count], "n_ids": [total], "n_nulls": [nulls]})
+        yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "name": [name], "n_docs": [count], "n_ids": [total], "n_nulls": [nulls]})
 
-    parts = sorted(ordered.mapInArrow(task, "part long, n_docs long, n_ids long, n_nulls long").collect())
+    parts = sorted(ordered.mapInArrow(task, "part long, name string, n_docs long, n_ids long, n_nulls long").collect())
     index, ids, rows = [], 0, 0
     for p in parts:
-        index.append({"name": f"part-{p.part:05d}", "first_id": ids, "first_doc": rows, "ids": p.n_ids, "docs": p.n_docs, "nulls": p.n_nulls})
+        index.append({"name": p.name, "first_id": ids, "first_doc": rows, "ids": p.n_ids, "docs": p.n_docs, "nulls": p.n_nulls})
         ids, rows = ids + p.n_ids, rows + p.n_docs
     files, base, _ = _place(folder)
     files.create_dir(base, recursive=True)
