@@ -96,7 +96,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = 1024) ->
     cut = saved(pieces(docs, tokenizer, end_id, most))
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # `most` rows at most
     slots = docs.sparkSession.createDataFrame(plan(histogram, most), "_l long, _from long, _to long, _seq long, offset long")
-    ranked = salted_rank(cut, "length", ["doc_id", "piece"], sum(histogram.values()))
+    ranked = salted_rank(cut, "length", ["doc_id", "piece", "ids_crc32"], sum(histogram.values()))
     fits = (ranked.length == slots._l) & (ranked["rank"] >= slots._from) & (ranked["rank"] < slots._to)
     return (ranked.join(F.broadcast(slots), fits)
             .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_seq") + F.col("rank") - F.col("_from")).alias("sequence_id"), "offset"))
