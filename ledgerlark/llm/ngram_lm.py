@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import LOWER, mixed, new_folder, padded, small_batches, span_hash, spans, text_blocks
-from ledgerlark.llm.packed import pack, unpack
+from ledgerlark.llm.packed import joined, pack, packed, unpack
 
 ORDER, FOLD, ROUNDS, ENOUGH = 3, 1, 30, 1e-6
-#: Tokens of a chunk, at least and at most, and bytes of text that a bucket stands for.
-CHUNK, LARGE_CHUNK, BUCKET = 1 << 21, 1 << 24, 1 << 26
+#: Tokens of a chunk, at least and at most, bytes of text that a bucket stands for, and tokens that are scored at a time.
+CHUNK, LARGE_CHUNK, BUCKET, PART = 1 << 21, 1 << 24, 1 << 26, 1 << 18
 SPARE_BITS, CLASSES = 16, 65
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -248,8 +248,9 @@ def _counted(order: int, bits: int):
             if len(counts) != len(distinct):
                 raise RuntimeError("documents gave other rows when they were read again: pass a table or a checkpoint")
             width = np.uint32 if not len(counts) or counts.max() < 2**32 else np.uint64
-            every.append(counts.astype(width)[back])
-            some.append(part.astype(width)[back[tuned]])
+            every.append(packed(counts.astype(width)[back]))
+            some.append(packed(part.astype(width)[back[tuned]]))
+            del distinct, back, wants, counts, part
         row, doc, remainder, tokens, begins = (list(x) for x in zip(*c.pieces, strict=True))
         null = np.array([d is None for d in doc])
         ids = np.array([d or 0 for d in doc], np.int64).view(np.uint64)
@@ -259,8 +260,8 @@ def _counted(order: int, bits: int):
         sums = [0, 0, int(learnt.sum()), int((learnt & ~tuned).sum())]
         first = np.array(begins) & (np.array(remainder) > 0)
         sums += [int(first.sum()), int((first & ~at).sum())]
-        return pa.table([*(pa.array([x]) for x in sums), pa.array([pack(pieces)], pa.binary()), pa.array([pack(every)], pa.binary()),
-                         pa.array([pack([pieces[4][at], pieces[5][at], *some])], pa.binary())], schema=_COUNTED)
+        return pa.table([*(pa.array([x]) for x in sums), pa.array([pack(pieces)], pa.binary()), pa.array([joined(every)], pa.binary()),
+                         pa.array([joined([packed(pieces[4][at]), packed(pieces[5][at]), *some])], pa.binary())], schema=_COUNTED)
 
     return meet
 
@@ -270,6 +271,17 @@ def _begins(tokens: np.ndarray) -> np.ndarray:
     return np.cumsum(tokens + 1) - tokens - 1
 
 
+def _parts(counts: list[np.ndarray], tokens: np.ndarray, begins: np.ndarray) -> Iterator[tuple[slice, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Runs of pieces of some `PART` tokens (a longer piece is one alone): which pieces, and what belongs to them."""
+    ends = np.cumsum(tokens + 1)
+    a = 0
+    while a < len(tokens):
+        low = ends[a] - tokens[a] - 1
+        b = max(a + 1, int(np.searchsorted(ends, low + PART, "right")))
+        yield slice(a, b), [c[low : ends[b - 1]] for c in counts], tokens[a:b], begins[a:b]
+        a = b
+
+
 class Mixture:
     """The weights, and the chances they give to entries of counts."""
 
@@ -325,9 +337,9 @@ def _learnt(table: DataFrame, order: int, tokens: int, texts: int, words: int) -
             for batch in batches:
                 for data in batch.column(0).to_pylist():
                     tokens, begins, *counts = unpack(data)
-                    if len(tokens):
-                        u, t, g = model.expected(counts, tokens.astype(np.int64), begins.astype(bool))
-                        used, tried, gain, n = used + u, tried + t, gain + g, n + int(tokens.sum())
+                    for _, part, sizes, first in _parts(counts, tokens.astype(np.int64), begins.astype(bool)):
+                        u, t, g = model.expected(part, sizes, first)
+                        used, tried, gain, n = used + u, tried + t, gain + g, n + int(sizes.sum())
             at = np.flatnonzero(tried.ravel())
             yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([gain, *used.ravel()[at].tolist()]), pa.array([float(n), *tried.ravel()[at].tolist()])], ["place", "used", "tried"])
 
@@ -370,16 +382,17 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for batch in batches:
             for pieces, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 row, ids, null, remainder, tokens, begins = unpack(pieces)
-                counts, tokens = unpack(data), tokens.astype(np.int64)
-                own = np.ones(len(counts[0]), bool)
-                own[_begins(tokens)] = False
-                single = counts[0][own].astype(np.float64)
-                at = np.cumsum(tokens) - tokens
-                base = np.log10((single + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
-                score = np.log10(model.chances(counts, tokens, begins.astype(bool)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row.astype(np.int64)), pa.array(ids.view(np.int64), mask=null.astype(bool)), pa.array(remainder == 0), pa.array(tokens), pa.array(np.add.reduceat((single > 0).astype(np.int64), at)),
-                    pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(score, at))], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                for at, counts, sizes, first in _parts(unpack(data), tokens.astype(np.int64), begins.astype(bool)):
+                    own = np.ones(len(counts[0]), bool)
+                    own[_begins(sizes)] = False
+                    single = counts[0][own].astype(np.float64)
+                    start = np.cumsum(sizes) - sizes
+                    base = np.log10((single + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
+                    score = np.log10(model.chances(counts, sizes, first))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(row[at].astype(np.int64)), pa.array(ids[at].view(np.int64), mask=null[at].astype(bool)), pa.array(remainder[at] == 0), pa.array(sizes),
+                        pa.array(np.add.reduceat((single > 0).astype(np.int64), start)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(score, start))],
+                        ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     parts = table.where("length(pieces) > 0").select("pieces", "counts").mapInArrow(task, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     sums = [F.first(c).alias(c) for c in ("doc_id", "held_out")] + [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]

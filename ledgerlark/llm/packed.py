@@ -8,22 +8,27 @@ import zstandard
 _LEVEL = 1
 
 
-def pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays of unsigned numbers, each with its length and no more bytes a number than its greatest one takes."""
+def packed(x: np.ndarray) -> bytes:
+    """One array of unsigned numbers with its length, in no more bytes a number than its greatest one takes."""
     press = zstandard.ZstdCompressor(level=_LEVEL, write_content_size=True).compress
-    out = [np.array([len(arrays)], "<u4").tobytes()]
-    for x in arrays:
-        x = np.ascontiguousarray(x, "<u8")
-        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-        planes = x.view(np.uint8).reshape(len(x), 8)[:, :width].T
-        out.append(np.array([len(x), width], "<u4").tobytes())
-        for plane in planes:
-            raw = plane.tobytes()
-            small = press(raw)
-            out += [np.array([min(len(small), len(raw))], "<u4").tobytes(), small if len(small) < len(raw) else raw]
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    raw = np.ascontiguousarray(x, "<u8" if width > 4 else "<u4").view(np.uint8).reshape(len(x), 8 if width > 4 else 4)
+    out = [np.array([len(x), width], "<u4").tobytes()]
+    for k in range(width):
+        plane = raw[:, k].tobytes()
+        small = press(plane)
+        out += [np.array([min(len(small), len(plane))], "<u4").tobytes(), small if len(small) < len(plane) else plane]
     return b"".join(out)
 
 
+def joined(parts: list[bytes]) -> bytes:
+    return b"".join([np.array([len(parts)], "<u4").tobytes(), *parts])
+
+
+def pack(arrays: list[np.ndarray]) -> bytes:
+    return joined([packed(x) for x in arrays])
+
+
 def unpack(data: bytes) -> list[np.ndarray]:
     plain = zstandard.ZstdDecompressor().decompress
     number = lambda at: int.from_bytes(data[at : at + 4], "little")
