@@ -101,7 +101,7 @@ def ticker_rules(trades):
 
 
 #: The words of a text, as the oracle says it.
-O_WORDS = "list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda x: regexp_replace(x, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')), lambda x: x <> '')"
+O_WORDS = "list_filter(list_transform(string_split_regex(lower(text), '[\\s:;$]+'), lambda x: regexp_replace(x, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')), lambda x: x <> '')"
 
 #: Asset types that count as equity, and words of asset names that do not (fixed values).
 EQUITY_TYPES = ("st", "stock", "stocks", "stock/etf", "etf", "cs", "common stock", "common stocks")
@@ -152,7 +152,10 @@ TRADE_WORDS = ("purchase", "sale", "bought", "sold")
 def dirty_name(name):
     """A text that holds one of the parts, a date, a sum of money, a span of two large sums, or words of a trade or an option."""
     tidy, words = S.search_text(name), O.words(name)
-    dated = F.exists(words, lambda w: (F.size(F.split(w, "[/-]")) == 3) & (F.length(F.translate(w, "0123456789/-", "")) == 0))
+    # one or two digits, one or two, two to four, between strokes or dashes
+    parts = F.transform(F.split(F.lower(name), "[^a-z0-9/-]+"), lambda w: F.split(w, "[/-]"))
+    long = lambda p, i, least, most: F.get(p, F.lit(i)).rlike(f"^[0-9]{{{least},{most}}}$")
+    dated = F.exists(parts, lambda p: (F.size(p) == 3) & long(p, 0, 1, 2) & long(p, 1, 1, 2) & long(p, 2, 2, 4))
     money = F.size(F.filter(F.split(name, r"\$"), lambda part: F.substring(part, 1, 1).between("0", "9"))) > F.when(F.substring(name, 1, 1).between("0", "9"), 1).otherwise(0)
     large = F.filter(words, lambda w: w.contains(",") & (F.length(F.translate(w, "0123456789,", "")) == 0))
     return (tidy != "") & (reduce(or_, [tidy.contains(x) for x in DIRTY_PARTS]) | dated | money | (name.contains("-") & (F.size(large) >= 2))
@@ -161,7 +164,7 @@ def dirty_name(name):
 
 @query("F22_dirty_names", "options", sql=f"""
 WITH t AS (SELECT *, {O_WORDS} w FROM options)
-SELECT p_partkey, text FROM t WHERE len(list_filter(string_split(text, '$')[2:], lambda x: x[1] BETWEEN '0' AND '9')) > 0 OR len(list_filter(w, lambda x: len(string_split_regex(x, '[/-]')) = 3 AND translate(x, '0123456789/-', '') = '')) > 0
+SELECT p_partkey, text FROM t WHERE len(list_filter(string_split(text, '$')[2:], lambda x: x[1] BETWEEN '0' AND '9')) > 0 OR regexp_matches(text, '\\b[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}\\b')
  OR list_has_any(w, ['purchase', 'sale', 'bought', 'sold']) OR list_has_any(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), ['call option', 'call options', 'put option', 'put options'])""")
 def dirty(options):
     return options.where(dirty_name(c("text"))).select("p_partkey", "text")

@@ -37,17 +37,57 @@ def sc14(holdings):
 
 
 @query("SC15_SC16_form4_xml", "insiders", sql="""
-WITH d AS (SELECT filer_name, ticker, transaction_date, list({c: transaction_code, s: shares, a: amount} ORDER BY transaction_code, shares, amount) AS l FROM insiders WHERE ticker IS NOT NULL GROUP BY 1, 2, 3), x AS (SELECT *, unnest(range(len(l))) AS i FROM d)
-SELECT 'u/' || filer_name || '/' || ticker || '/' || transaction_date || '#' || i AS source_url, ticker, filer_name, l[i + 1].c AS code, transaction_date, l[i + 1].s AS shares, l[i + 1].a AS value, CAST(l[i + 1].s * 2 AS DECIMAL(18,2)) AS following FROM x""")
+WITH r AS (SELECT *, CASE WHEN CAST(shares AS INT) % 5 = 0 THEN 'M' ELSE transaction_code END AS code, CASE WHEN CAST(shares AS INT) % 10 = 0 THEN '' WHEN transaction_code = 'P' THEN 'A' ELSE 'D' END AS acquired FROM insiders WHERE ticker IS NOT NULL),
+d AS (SELECT filer_name, ticker, transaction_date, list({c: code, q: acquired, s: shares, a: amount} ORDER BY code, acquired, shares, amount) AS l FROM r GROUP BY 1, 2, 3), x AS (SELECT *, unnest(range(len(l))) AS i FROM d)
+SELECT 'u/' || filer_name || '/' || ticker || '/' || transaction_date || '#' || i AS source_url, ticker, filer_name, CASE WHEN l[i + 1].c = 'P' OR l[i + 1].c = 'M' AND l[i + 1].q = 'A' THEN 'buy' ELSE 'sell' END AS direction, transaction_date, l[i + 1].s AS shares, l[i + 1].a AS value, CAST(l[i + 1].s * 2 AS DECIMAL(18,2)) AS following
+FROM x WHERE NOT (l[i + 1].c = 'M' AND l[i + 1].q = '')""")
 def sc15(insiders):
+    """Codes other than purchase and sale go by whether shares were acquired or disposed of."""
     text = lambda x: x.cast("string")
-    rows = insiders.where("ticker is not null").groupBy("filer_name", "ticker", "transaction_date").agg(F.array_sort(F.collect_list(F.struct("transaction_code", "shares", "amount"))).alias("l"))
-    lines = F.transform("l", lambda t: F.concat(F.lit("<transaction>"), tag("code", t["transaction_code"]), tag("day", text(c("transaction_date"))), tag("shares", text(t["shares"])), tag("value", text(t["amount"])),
+    n = c("shares").cast("int")
+    coded = insiders.where("ticker is not null").select("*", F.when(n % 5 == 0, "M").otherwise(c("transaction_code")).alias("code"), F.when(n % 10 == 0, "").when(c("transaction_code") == "P", "A").otherwise("D").alias("acquired"))
+    rows = coded.groupBy("filer_name", "ticker", "transaction_date").agg(F.array_sort(F.collect_list(F.struct("code", "acquired", "shares", "amount"))).alias("l"))
+    lines = F.transform("l", lambda t: F.concat(F.lit("<transaction>"), tag("code", t["code"]), tag("acquired", t["acquired"]), tag("day", text(c("transaction_date"))), tag("shares", text(t["shares"])), tag("value", text(t["amount"])),
                                                 tag("following", text((t["shares"] * 2).cast("decimal(18,2)"))), F.lit("</transaction>")))
     doc = F.concat(F.lit("SEC HEADER <a>\n<ownershipDocument>"), tag("issuerTicker", F.lower("ticker")), tag("owner", c("filer_name")), tag("transactions", F.array_join(lines, "")), F.lit("</ownershipDocument> end"))
     return D.form4_transactions(rows.select(F.concat_ws("/", F.lit("u"), "filer_name", "ticker", text(c("transaction_date"))).alias("url"), doc.alias("text")), "text", "url")
 
 
+@query("X19_token_lines", "scan_tokens", sql="""
+WITH RECURSIVE t AS (SELECT DISTINCT doc, page, top FROM scan_tokens), n AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY top) AS i FROM t),
+r AS (SELECT doc, page, i, top, top AS line FROM n WHERE i = 1 UNION ALL SELECT n.doc, n.page, n.i, n.top, CASE WHEN n.top - r.line > 18 THEN n.top ELSE r.line END FROM r JOIN n ON n.doc = r.doc AND n.page = r.page AND n.i = r.i + 1)
+SELECT doc, page, line, count(*) AS n, string_agg(text, ' ' ORDER BY edge, text) AS text FROM scan_tokens JOIN r USING (doc, page, top) GROUP BY 1, 2, 3""")
+def x19(scan_tokens):
+    lines = D.token_lines(scan_tokens, ["doc", "page"], "top", "edge")
+    inside = F.array_sort(F.collect_list(F.struct("edge", "text")))
+    return lines.groupBy("doc", "page", "line").agg(F.count("*").alias("n"), F.array_join(F.transform(inside, lambda x: x["text"]), " ").alias("text"))
+
+
+@query("X26_coverage_gaps", "gap_reports", sql="""
+SELECT o_orderkey, i.value ->> 'doc' AS doc FROM gap_reports, json_tree(gap_reports.doc) j, json_each(j.value) i WHERE j.key = 'missing_or_partial_filings' AND j.type = 'ARRAY' AND i.type = 'OBJECT' AND NOT contains(j.path, 'missing_or_partial_filings[')""")
+def x26(gap_reports):
+    items = D.nested_items(gap_reports, "doc", "missing_or_partial_filings", "o_orderkey")
+    return items.select("o_orderkey", F.get_json_object("item", "$.doc").alias("doc"))
+
+
+@query("SC20_trade_tables", "trades", sql="""
+SELECT member_id, published_date, transaction_date, coalesce(ticker, 'N/A') AS ticker, asset_name, CASE WHEN direction = 'buy' THEN 'buy' WHEN amount_floor > 15001 THEN 'sell' ELSE 'exchange' END AS direction, amount_range, count(*) AS n FROM trades GROUP BY ALL""")
+def sc20_tables(trades):
+    """One report a member and day as a web page, its columns in one of two orders, read back by their headings."""
+    cell = lambda x: F.concat(F.lit("<td class='c'> "), F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n</td>"))
+    kind = F.when(c("direction") == "buy", "Purchase").when(c("amount_floor") > 15_001, "Sale (Full)").otherwise("Exchange")
+    swapped = F.crc32(F.concat("member_id", c("published_date").cast("string"))) % 2 == 0
+    parts = {"Transaction Date": F.date_format("transaction_date", "MM/dd/yyyy"), "Owner": F.lit("Self"), "Ticker": F.coalesce("ticker", F.lit("--")), "Asset Name": c("asset_name"), "Type": kind, "Amount": c("amount_range")}
+    orders = [list(parts), ["Amount", "Type", "Ticker", "Owner", "Asset Name", "Transaction Date"]]
+    row = lambda names: F.concat(F.lit("<tr>"), *(cell(parts[n]) for n in names), F.lit("</tr>"))
+    head = lambda names: "<table class='x table'><thead><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr></thead><tbody><tr><td>a note</td></tr>"
+    lines = trades.select("member_id", "published_date", swapped.alias("s"), F.when(swapped, row(orders[1])).otherwise(row(orders[0])).alias("tr"))
+    docs = lines.groupBy("member_id", "published_date", "s").agg(F.array_join(F.collect_list("tr"), "\n").alias("body"))
+    docs = docs.select("member_id", "published_date", F.concat(F.lit("<html><table class='other'><tr><td>x</td></tr></table>"), F.when(c("s"), head(orders[1])).otherwise(head(orders[0])), "body", F.lit("</tbody></table></html>")).alias("html"))
+    rows = D.trade_table(docs, "html", "member_id", "published_date")
+    return rows.groupBy("member_id", "published_date", "transaction_date", "ticker", "asset_name", "direction", "amount_range").agg(F.count("*").alias("n"))
+
+
 @query("SC17_X13_feed", "orders", sql="""
 SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-01-000001' AS accession, CAST(max(o_orderdate) AS DATE) AS filed, min('4 - ' || o_orderpriority) AS title FROM orders WHERE o_orderdate >= DATE '2001-01-01' GROUP BY 1""")
 def sc17(orders):

@@ -79,8 +79,8 @@ def issuers(issuers):
 
 @query("S19_options", "options", sql=r"""
 WITH t AS (SELECT *, upper(coalesce(asset_type, '')) = 'OP' op, trim(regexp_replace(text, '\s+', ' ', 'g')) t, """ + O_WORDS + r""" w FROM options),
-f AS (SELECT *, list_transform(list_filter(w, lambda x: x NOT IN ('price', 'of', 'date')), lambda x: CASE WHEN x IN ('exp', 'expire', 'expires', 'expiration') THEN 'exp' ELSE x END) f FROM t),
-d AS (SELECT *, list_filter(range(1, len(w)), lambda i: w[i] IN ('call', 'put') AND w[i + 1] IN ('option', 'options'))[1] s, replace(f[nullif(list_position(f, 'strike'), 0) + 1], ',', '') a, f[nullif(list_position(f, 'exp'), 0) + 1] e,
+f AS (SELECT *, list_transform(list_filter(w, lambda x: x NOT IN ('price', 'of', 'date')), lambda x: CASE WHEN x IN ('expire', 'expires', 'expiration') THEN '#' ELSE x END) f FROM t),
+d AS (SELECT *, list_filter(range(1, len(w)), lambda i: w[i] IN ('call', 'put') AND w[i + 1] IN ('option', 'options'))[1] s, replace(f[nullif(list_position(f, 'strike'), 0) + 1], ',', '') a, f[nullif(list_position(f, '#'), 0) + 1] e,
  contains(lower(text), '[op]') OR list_has_any(w, ['option', 'strike', 'expire', 'expiration']) mark FROM f),
 x AS (SELECT *, w[s] side, CASE WHEN try_cast(a AS DOUBLE) IS NOT NULL THEN a END strike, coalesce(CASE length(string_split(e, '/')[3]) WHEN 2 THEN try_strptime(e, '%m/%d/%y') ELSE try_strptime(e, '%m/%d/%Y') END, try_strptime(e, '%Y-%m-%d'))::DATE expiry FROM d),
 o AS (SELECT *, (op OR mark) AND (op OR side IS NOT NULL OR strike IS NOT NULL OR expiry IS NOT NULL) is_option FROM x),

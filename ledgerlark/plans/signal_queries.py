@@ -11,6 +11,7 @@ from ledgerlark.functions import options as O
 from ledgerlark.functions import scalars as S
 from ledgerlark.functions import themes as T
 from ledgerlark.operators import clusters as C
+from ledgerlark.operators import portfolio as P
 from ledgerlark.operators import relations as R
 from ledgerlark.operators import windows as W
 from ledgerlark.plans.aggregates import position_changes
@@ -204,6 +205,31 @@ def c13(insiders, prices):
     return v.withColumn("share_bp", F.floor(c("value").cast("decimal(30,2)") * 10000 / F.sum("value").over(Window.partitionBy("filer_name"))).cast("long"))
 
 
+@query("C13_disclosed_portfolio", "trades", "disclosed", "prices", sql="""
+WITH RECURSIVE d AS (SELECT *, CAST(replace(regexp_extract(value_range, '([0-9,]+)', 1), ',', '') AS BIGINT) low, CAST(replace(regexp_extract(value_range, '- .([0-9,]+)', 1), ',', '') AS BIGINT) high FROM disclosed WHERE regexp_matches(ticker, '^[A-Z]{1,5}$')),
+z AS (SELECT member_id, max(filed) AS snapshot FROM disclosed WHERE ticker IS NOT NULL GROUP BY 1), o AS (SELECT member_id, ticker, filed AS date, 'buy' AS side, low, high, 0 AS counted, 0 AS row FROM d QUALIFY row_number() OVER (PARTITION BY member_id, ticker ORDER BY filed DESC, high DESC, low DESC) = 1),
+t AS (SELECT member_id, ticker, transaction_date AS date, direction AS side, CAST(replace(regexp_extract(amount_range, '([0-9,]+)', 1), ',', '') AS BIGINT) low, CAST(replace(regexp_extract(amount_range, '- .([0-9,]+)', 1), ',', '') AS BIGINT) high, 1 AS counted,
+ row_number() OVER (PARTITION BY member_id, ticker, transaction_date ORDER BY direction, amount_range) AS row FROM trades WHERE regexp_matches(ticker, '^[A-Z]{1,5}$')),
+m AS (SELECT * FROM o UNION ALL SELECT t.* FROM t LEFT JOIN z USING (member_id) WHERE snapshot IS NULL OR date > snapshot), i AS (SELECT *, row_number() OVER (PARTITION BY member_id, ticker ORDER BY date, row) AS i FROM m),
+f AS (SELECT member_id, ticker, 1 AS i, CASE side WHEN 'buy' THEN low ELSE 0 END AS lo, CASE side WHEN 'buy' THEN high ELSE 0 END AS hi FROM i WHERE i = 1 UNION ALL
+ SELECT i.member_id, i.ticker, i.i, CASE i.side WHEN 'buy' THEN lo + low ELSE greatest(0, lo - high) END, CASE i.side WHEN 'buy' THEN hi + high ELSE greatest(0, hi - low) END FROM f JOIN i ON i.member_id = f.member_id AND i.ticker = f.ticker AND i.i = f.i + 1),
+v AS (SELECT member_id, ticker, arg_max(lo, i) AS lo, arg_max(hi, i) AS hi, max(i) AS last FROM f GROUP BY 1, 2), n AS (SELECT member_id, ticker, CAST(sum(counted) AS BIGINT) AS trade_count FROM m GROUP BY 1, 2),
+p AS (SELECT i.*, CAST(p.price AS DOUBLE) AS price, CAST(floor(CAST(low + high AS DOUBLE) * 500000 / CAST(p.price AS DOUBLE)) AS BIGINT) AS q FROM i ASOF JOIN prices p ON i.ticker = p.ticker AND i.date >= p.price_date),
+k AS (SELECT *, row_number() OVER (PARTITION BY member_id, ticker ORDER BY i) AS j FROM p),
+h AS (SELECT member_id, ticker, j, CASE side WHEN 'buy' THEN q ELSE 0 END AS held FROM k WHERE j = 1 UNION ALL SELECT k.member_id, k.ticker, k.j, CASE k.side WHEN 'buy' THEN held + q ELSE greatest(0, held - q) END FROM h JOIN k ON k.member_id = h.member_id AND k.ticker = h.ticker AND k.j = h.j + 1),
+e AS (SELECT member_id, ticker, arg_max(held, j) AS held FROM h GROUP BY 1, 2), g AS (SELECT k.*, e.held, coalesce(sum(q) OVER (PARTITION BY k.member_id, k.ticker ORDER BY j ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS newer FROM k JOIN e USING (member_id, ticker) WHERE side = 'buy'),
+l AS (SELECT member_id, ticker, price, CAST(least(q, greatest(0, held - newer)) AS BIGINT) AS q FROM g), s AS (SELECT member_id, ticker, CAST(sum(q) AS BIGINT) AS parts, CAST(sum(floor(q * price / 10000)) AS BIGINT) AS cost FROM l WHERE q > 0 GROUP BY 1, 2),
+c AS (SELECT ticker, CAST(max_by(price, price_date) AS DOUBLE) AS price FROM prices GROUP BY 1)
+SELECT v.member_id, v.ticker, CAST(lo AS BIGINT) AS min_value, CAST(hi AS BIGINT) AS max_value, trade_count, parts, cost, CAST(floor(parts * c.price / 10000) AS BIGINT) AS worth FROM v JOIN n USING (member_id, ticker) LEFT JOIN s USING (member_id, ticker) LEFT JOIN c ON c.ticker = v.ticker""")
+def disclosed_portfolio(trades, disclosed, prices):
+    """Members with a snapshot alone, with trades alone, and with both; sums in cents and shares in millionths."""
+    order = Window.partitionBy("member_id", "ticker", "transaction_date").orderBy("direction", "amount_range")
+    rows = trades.where("ticker is not null").withColumn("row", F.row_number().over(order)).withColumn("date", c("transaction_date"))
+    out = P.live(rows, disclosed, prices)
+    whole = lambda n, k: (c(n) * k).cast("long")
+    return out.select("member_id", "ticker", whole("min_value", 1).alias("min_value"), whole("max_value", 1).alias("max_value"), "trade_count", whole("shares_held", 1_000_000).alias("parts"), whole("cost_basis", 100).alias("cost"), whole("current_value", 100).alias("worth"))
+
+
 @query("C15_W6_current_holdings", "insiders", "prices", sql="""
 WITH l AS (SELECT ticker, max_by(price, price_date) AS price FROM prices GROUP BY 1), t AS (SELECT lower(filer_name) || '::' || lower(relation) AS key, ticker, transaction_date, shares, transaction_code FROM insiders WHERE ticker IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key, ticker ORDER BY transaction_date DESC, shares DESC, transaction_code, amount) = 1)
 SELECT key, t.ticker, transaction_date, shares, shares * price AS estimated_value FROM t LEFT JOIN l USING (ticker)""")

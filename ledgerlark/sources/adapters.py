@@ -53,7 +53,7 @@ VIEWS |= {
  CASE WHEN p_size % 9 = 0 THEN 'Put' END AS put_call, CASE p_size % 4 WHEN 0 THEN 'PRN' WHEN 1 THEN NULL ELSE ' sh' END AS share_type,
  CASE p_size % 3 WHEN 0 THEN 'NYSE' WHEN 1 THEN 'Nasdaq' ELSE 'OTC' END AS exchange FROM part""",
     "options": """SELECT p_partkey, p_name || CASE p_size % 6 WHEN 0 THEN ' Call options; Strike price $' || (p_size * 500) || '; Expires 06/18/2026' WHEN 1 THEN ' put option  exp 1/5/27'
- WHEN 2 THEN ' [OP]' WHEN 3 THEN ' (STRIKE of 1,250.50)' WHEN 4 THEN ' call option expiration date: 2027-02-30' ELSE '' END AS text,
+ WHEN 2 THEN ' [OP]' WHEN 3 THEN CASE p_partkey % 3 WHEN 0 THEN ' strike:$150; expires:06/19/2026' WHEN 1 THEN ',1/2/2024' ELSE ' (STRIKE of 1,250.50) 2024-01-05' END WHEN 4 THEN ' call option expiration date: 2027-02-30' ELSE '' END AS text,
  CASE p_size % 4 WHEN 0 THEN 'op' WHEN 1 THEN 'ST' WHEN 2 THEN '' END AS asset_type FROM part""",
     "people": """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'José ' || c_name || ' Jr.' WHEN 1 THEN 'Zoë O''Neil ' || c_name WHEN 2 THEN c_name || ' Capital Partners, L.P.' ELSE c_name || ', III' END AS name,
  CASE WHEN c_custkey % 3 > 0 THEN ' M' || c_custkey || ' ' END AS member_id FROM customer""",
@@ -94,6 +94,13 @@ VIEWS |= {  # a graph of unequal depth with shared children, cycles of two, and
  UNION SELECT 'n' || p_partkey, 'missing' || p_partkey FROM part WHERE p_partkey % 11 = 0""",
     "graph_stories": "SELECT p_brand || '/' || p_size AS story, 'n' || p_partkey AS event, p_size * 100 AS own_floor FROM part WHERE p_partkey % 4 = 1",
 }
+VIEWS["disclosed"] = f"""SELECT DISTINCT 'M' || o_custkey AS member_id, {_TICKER} AS ticker, {_RANGE} AS value_range, CASE o_custkey % 3 WHEN 0 THEN DATE '2002-01-01' ELSE DATE '1998-01-01' END + CAST(l_linenumber % 2 AS INT) * 30 AS filed
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 < 2 AND l_suppkey % 3 = 0"""
+VIEWS["scan_tokens"] = "SELECT l_orderkey AS doc, l_linenumber % 2 AS page, l_partkey % 150 AS top, l_suppkey % 1000 AS edge, l_returnflag || l_partkey AS text FROM lineitem"
+VIEWS["gap_reports"] = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '{"house":{"missing_or_partial_filings":[{"doc":"a' || o_orderkey || '"},{"doc":"b"},5]},"ok":true}'
+ WHEN 1 THEN '{"missing_or_partial_filings":[{"doc":"c","deep":{"missing_or_partial_filings":[{"doc":"not"}]}}]}'
+ WHEN 2 THEN '[{"a":[{"b":{"missing_or_partial_filings":[{"doc":"d"},"s",null,{"doc":"e' || o_custkey || '"}]}}]},{"missing_or_partial_filings":"text"}]'
+ ELSE '{"missing_or_partial_filings":{"x":{"missing_or_partial_filings":[]},"y":[[{"missing_or_partial_filings":[{"doc":"f"}]}]]},"n":1}' END AS doc FROM orders"""
 _THIRD = ("CASE p_partkey % 8 WHEN 0 THEN 'industries' WHEN 1 THEN 'logistics' WHEN 2 THEN 'materials' WHEN 3 THEN 'energy' WHEN 4 THEN 'bancorp' WHEN 5 THEN 'robotics' WHEN 6 THEN 'foods' ELSE 'airlines' END")
 _SYMBOL = "'T' || translate(CAST(p_partkey AS VARCHAR(12)), '0123456789', 'ABCDEFGHIJ')"
 VIEWS |= {  # lists of companies with clean and unclean names, and asset texts that name them well, nearly or not at all
@@ -118,7 +125,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain view, or a driver table of that name."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
+    sql = VIEWS[name].replace("{", "{{").replace("}", "}}")  # braces of texts are no places for tables
     used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)]
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)

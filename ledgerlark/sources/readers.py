@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FORM4 = "issuerTicker STRING, owner STRING, transactions STRUCT<transaction: ARRAY<STRUCT<code: STRING, day: STRING, shares: DECIMAL(18,2), value: DECIMAL(18,2), following: DECIMAL(18,2)>>>"
+from ledgerlark.functions.resolution import read_date
+from ledgerlark.functions.scalars import insider_direction
+from ledgerlark.sources.workspace import staged
+
+FORM4 = "issuerTicker STRING, owner STRING, transactions STRUCT<transaction: ARRAY<STRUCT<code: STRING, acquired: STRING, day: STRING, shares: DECIMAL(18,2), value: DECIMAL(18,2), following: DECIMAL(18,2)>>>"
 INFO_TABLE = "infoTable ARRAY<STRUCT<nameOfIssuer: STRING, titleOfClass: STRING, value: DECIMAL(38,2), shares: BIGINT, type: STRING, putCall: STRING>>"
 
 
@@ -19,11 +23,12 @@ def without_namespaces(xml: Column) -> Column:
 
 
 def form4_transactions(docs: DataFrame, text: str, url: str) -> DataFrame:
-    """One row a purchase or sale of an ownership document, with its index in the document as part of its address."""
+    """One row a purchase or sale of an ownership document, by its code or else by whether shares were acquired, with its index in the document as part of its address."""
     parsed = docs.withColumn("_d", F.from_xml(between_tags(F.col(text), "ownershipDocument"), FORM4))
     rows = parsed.select(F.col(url), "_d.issuerTicker", "_d.owner", F.posexplode("_d.transactions.transaction").alias("tx_index", "t"))
-    return rows.where(F.col("t.code").isin("P", "S")).select(
-        F.concat(url, F.lit("#"), "tx_index").alias("source_url"), F.upper(F.trim("issuerTicker")).alias("ticker"), F.col("owner").alias("filer_name"), F.col("t.code").alias("code"),
+    direction = insider_direction(F.coalesce(F.col("t.code"), F.lit("")), F.coalesce(F.col("t.acquired"), F.lit("")))
+    return rows.withColumn("direction", direction).where("direction in ('buy', 'sell') and t.day is not null").select(
+        F.concat(url, F.lit("#"), "tx_index").alias("source_url"), F.upper(F.trim("issuerTicker")).alias("ticker"), F.col("owner").alias("filer_name"), "direction",
         F.to_date("t.day").alias("transaction_date"), F.col("t.shares").alias("shares"), F.col("t.value").alias("value"), F.col("t.following").alias("following"))
 
 
@@ -92,6 +97,69 @@ def sections(lines: DataFrame, keys: list[str], at: str, line: str, opens: str,
     return rows.where(F.col("_open") & ~start).drop("_open")
 
 
+def token_lines(tokens: DataFrame, keys: list[str], top: str, left: str, reach: int = 18) -> DataFrame:
+    """Adds line: tokens (of a page: keys) that stand at most `reach` below the first token of their line. The fold runs over a page's distinct heights."""
+    start = "cast(named_struct('at', null, 'out', array()) as struct<at: bigint, out: array<struct<t: bigint, line: bigint>>>)"
+
+    def step(acc, x):
+        at = F.when(acc["at"].isNull() | (x - acc["at"] > reach), x).otherwise(acc["at"])
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(F.struct(x.alias("t"), at.alias("line")))).alias("out"))
+
+    heights = tokens.where(F.col(top).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(top).cast("long"))).alias("_tops"))
+    lines = heights.select(*keys, F.explode(F.aggregate("_tops", F.expr(start), step)["out"]).alias("l")).select(*keys, F.col("l.t").alias("_t"), F.col("l.line").alias("line"))
+    return tokens.withColumn("_t", F.col(top).cast("long")).join(lines, [*keys, "_t"]).drop("_t")
+
+
+def nested_items(docs: DataFrame, json: str, name: str, *keys: str) -> DataFrame:
+    """The objects in every list called `name`, however deep, as JSON; nothing inside such a list is looked into further.
+
+    Payloads of any shape are walked level by level as VARIANT; a level is written before the next one is read.
+    """
+    spark = docs.sparkSession
+    level = docs.where(F.col(json).isNotNull()).select(*keys, F.parse_json(json).alias("v"))
+    names, found = ", ".join(keys), None
+    while True:
+        inner = spark.sql(f"SELECT {names}, e.key, e.value AS v, schema_of_variant(e.value) AS kind FROM {{level}}, LATERAL variant_explode(v) AS e", level=level)
+        rows = staged(inner.where("kind like 'OBJECT%' or kind like 'ARRAY%'").select(*keys, "key", "kind", F.to_json("v").alias("text")))
+        hit = (F.col("key") == name) & F.col("kind").startswith("ARRAY")
+        lists = rows.where(hit).select(*keys, F.parse_json("text").alias("v"))
+        items = spark.sql(f"SELECT {names}, to_json(e.value) AS item FROM {{lists}}, LATERAL variant_explode(v) AS e WHERE schema_of_variant(e.value) LIKE 'OBJECT%'", lists=lists)
+        found = items if found is None else found.unionByName(items)
+        rest = rows.where(~F.coalesce(hit, F.lit(False)))
+        if rest.isEmpty():
+            return found
+        level = rest.select(*keys, F.parse_json("text").alias("v"))
+
+
+def _plain(html: Column) -> Column:
+    bare = F.regexp_replace(html, "(?s)<[^>]*>", " ")
+    for mark, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(mark), F.lit(sign))
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def table_rows(pages: DataFrame, html: str, wanted: dict[str, str], *keys: str) -> DataFrame:
+    """Rows of the body of a page's first table of class `table`: the cells under the headings wanted (name -> heading), wherever these columns stand."""
+    block = F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?s)<table\b[^>]*class=["'][^"']*\btable\b[^>]*>(.*?)</table>""", 1)
+    cells = lambda text, mark: F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)<{mark}\b[^>]*>(.*?)</{mark}>"), 1), _plain)
+    tables = pages.select(*keys, block.alias("_b")).select(*keys, F.transform(cells(F.regexp_extract("_b", r"(?s)<thead\b[^>]*>(.*?)</thead>", 1), "th"), F.lower).alias("_heads"), F.regexp_extract("_b", r"(?s)<tbody\b[^>]*>(.*?)</tbody>", 1).alias("_body"))
+    rows = tables.select(*keys, "_heads", F.posexplode(F.regexp_extract_all("_body", F.lit(r"(?s)<tr\b[^>]*>(.*?)</tr>"), 1)).alias("place", "_tr")).withColumn("_cells", cells(F.col("_tr"), "td"))
+    rows = rows.where(F.size("_cells") >= F.size("_heads"))
+    at = lambda heading: F.array_position("_heads", F.lit(heading.lower())).cast("int")
+    return rows.select(*keys, "place", *(F.when(at(h) > 0, F.get("_cells", at(h) - 1)).alias(n) for n, h in wanted.items()))
+
+
+def trade_table(pages: DataFrame, html: str, *keys: str) -> DataFrame:
+    """Trades of an electronic report's table: date, ticker (N/A for none), asset, direction (exchange unless sale or purchase) and amount range; rows without a date are left out."""
+    wanted = {"day": "transaction date", "symbol": "ticker", "issuer": "asset name", "kind": "type", "amount": "amount"}
+    rows = table_rows(pages, html, wanted, *keys)
+    kind = F.lower(F.coalesce("kind", F.lit("")))
+    ticker = F.when(F.coalesce("symbol", F.lit("")).isin("", "--"), "N/A").otherwise(F.col("symbol"))
+    direction = F.when(kind.contains("sale"), "sell").when(kind.contains("purchase"), "buy").otherwise("exchange")
+    return rows.withColumn("transaction_date", read_date(F.col("day"))).where("transaction_date is not null").select(
+        *keys, "place", "transaction_date", ticker.alias("ticker"), F.coalesce(F.nullif("issuer", F.lit("")), F.nullif("symbol", F.lit("")), ticker).alias("asset_name"), direction.alias("direction"), F.coalesce(F.nullif("amount", F.lit("")), F.lit("Unknown")).alias("amount_range"))
+
+
 def best_parse(candidates: DataFrame, keys: list[str], rows: str, resolved: str, richness: str, payload: str) -> DataFrame:
     """The parse with most rows, then most resolved tickers, then the richest names."""
     return candidates.groupBy(*keys).agg(F.max_by(payload, F.struct(rows, resolved, richness, payload)).alias(payload))
