@@ -172,28 +172,6 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_quota_over_micro_batches(spark, tmp_path, monkeypatch):
-    """A day keeps its quota from batch to batch; a day older than the kept ones is closed and does not start anew."""
-    from ledgerlark.streaming import jobs
-
-    monkeypatch.setattr(jobs, "KEPT_DAYS", 3)
-    batches = [[(1, "2001-01-01", 5.0, 1), (1, "2001-01-01", 6.0, 2)], [(1, f"2001-01-0{d}", 1.0, 10 + d) for d in range(2, 6)], [(1, "2001-01-01", 9.0, 3), (1, "2001-01-05", 7.0, 20), (1, "2001-01-05", 8.0, 21)]]
-    schema = "user_id long, ts timestamp, value double, event_id long"
-    for k, rows in enumerate(batches):
-        frame = spark.createDataFrame(rows, "user_id long, day string, value double, event_id long").selectExpr("user_id", "cast(day as timestamp) ts", "value", "event_id")
-        frame.coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
-    (tmp_path / "in").mkdir()
-    for k in range(len(batches)):
-        part = next((tmp_path / f"b{k}").glob("part-*.parquet"))
-        target = tmp_path / "in" / f"{k}.parquet"
-        target.write_bytes(part.read_bytes())
-        import os
-        os.utime(target, (1_000_000 + 1000 * k, 1_000_000 + 1000 * k))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {(r.day, r.event_id) for r in jobs.finished(jobs.daily_quota(stream, 2)).collect()}
-    assert got == {("2001-01-01", 1), ("2001-01-01", 2), *((f"2001-01-0{d}", 10 + d) for d in range(2, 6)), ("2001-01-05", 21)}
-
-
 def test_notable_clean_and_zero_limits(spark):
     from ledgerlark.operators import rules as B
     base = {"event_id": "1", "signal_type": "politician_trade", "base_type": None, "source": "congress", "direction": "buy", "ticker": "ABC", "actor_name": "Ann Notable", "member_id": None,
