@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerlark.plans.catalog import query
 from ledgerlark.sources import readers as D
+from ledgerlark.sources import zipped as Z
+from ledgerlark.sources.workspace import shared_folder
 
 c = F.col
 
@@ -24,9 +26,20 @@ def sc12(orders):
 SELECT l_orderkey, CAST(o_orderdate AS DATE) AS filed, s.name AS owner, CAST(l_quantity AS DECIMAL(18,2)) AS shares, CAST(l_extendedprice AS DECIMAL(18,2)) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN (SELECT s_suppkey % 50 AS k, min(s_name) AS name FROM supplier GROUP BY 1) s ON s.k = l_suppkey % 50
 WHERE l_extendedprice >= 1000 AND l_quantity > 0 AND l_returnflag = 'R'""")
 def sc13(lineitem, orders, supplier):
-    tx = lineitem.where("l_extendedprice >= 1000 and l_quantity > 0 and l_returnflag = 'R'").select("l_orderkey", (c("l_suppkey") % 50).alias("k"), c("l_quantity").cast("decimal(18,2)").alias("shares"), c("l_extendedprice").cast("decimal(18,2)").alias("value"))
-    owners = supplier.groupBy((c("s_suppkey") % 50).alias("k")).agg(F.min("s_name").alias("owner"))
-    return tx.join(orders.select(c("o_orderkey").alias("l_orderkey"), c("o_orderdate").cast("date").alias("filed")), "l_orderkey").join(owners, "k").select("l_orderkey", "filed", "owner", "shares", "value")
+    """Three tables of a quarter, written as zipped text and read back with the wanted columns alone, then filtered before they are joined."""
+    spark, folder = lineitem.sparkSession, shared_folder(lineitem.sparkSession, "quarter")
+    tables = {"NONDERIV_TRANS.tsv": lineitem.select(c("l_orderkey").alias("ACCESSION"), c("l_suppkey").alias("OWNER"), c("l_returnflag").alias("CODE"), c("l_quantity").alias("SHARES"), c("l_extendedprice").alias("VALUE"), F.lit("unread").alias("NOTE")),
+              "SUBMISSION.tsv": orders.select(c("o_orderkey").alias("ACCESSION"), F.date_format("o_orderdate", "dd-MMM-yyyy").alias("FILING_DATE"), c("o_orderstatus").alias("STATUS")),
+              "REPORTINGOWNER.tsv": supplier.select(c("s_suppkey").alias("OWNER"), c("s_name").alias("NAME"), c("s_nationkey").alias("NATION"))}
+    for member, rows in tables.items():
+        Z.write_zipped(rows, folder, member)
+    spark.dataSource.register(Z.ZippedTables)
+    read = lambda member, columns: spark.read.format("zipped_tsv").option("member", member).option("columns", columns).load(folder)
+    tx = read("NONDERIV_TRANS.tsv", "ACCESSION,OWNER,CODE,SHARES,VALUE").where("CODE = 'R' and SHARES is not null and VALUE is not null").select(
+        c("ACCESSION").cast("bigint").alias("l_orderkey"), (c("OWNER").cast("bigint") % 50).alias("k"), c("SHARES").cast("double").cast("decimal(18,2)").alias("shares"), c("VALUE").cast("double").cast("decimal(18,2)").alias("value")).where("value >= 1000 and shares > 0")
+    owners = read("REPORTINGOWNER.tsv", "OWNER,NAME").groupBy((c("OWNER").cast("bigint") % 50).alias("k")).agg(F.min("NAME").alias("owner"))
+    filed = read("SUBMISSION.tsv", "ACCESSION,FILING_DATE").select(c("ACCESSION").cast("bigint").alias("l_orderkey"), F.to_date("FILING_DATE", "dd-MMM-yyyy").alias("filed"))
+    return tx.join(filed, "l_orderkey").join(owners, "k").select("l_orderkey", "filed", "owner", "shares", "value")
 
 
 @query("SC14_holdings_xml", "holdings", sql="SELECT fund_name, report_period, ticker AS issuer, 'COM' AS title, CAST(value_held AS DECIMAL(38,2)) AS value, shares_held AS shares FROM holdings")
