@@ -103,10 +103,10 @@ def _counted(kind: str, name: str, key: str, day: str) -> str:
     return f"SELECT '{kind}' AS kind, count(DISTINCT {key}) AS n, max({day}) AS latest FROM ({SQL[name]}) AS x"
 
 
-@query("C8_compiled_counts", "trades", "insiders", "holdings", sql=" UNION ALL ".join((
+@query("C8_compiled_counts", "trades", "insiders", "holdings", sql="SELECT * FROM (" + " UNION ALL ".join((
     _counted("group", "A6_filing_groups", "(filing, ticker, direction, member_id)", "published_date"), _counted("summary", "A7_filing_summaries", "(filing, member_id)", "published_date"),
     _counted("congress_cluster", "C5_congress_clusters", "cluster_id", "anchor"), _counted("insider_cluster", "W3_insider_clusters", "(ticker, transaction_code, window_start)", "clocked_at"),
-    f"SELECT 'cross_source' AS kind, count(DISTINCT event_id) AS n, max(window_end) AS latest FROM (SELECT event_id, window_end FROM ({SQL['J7_cross_source_buys']}) AS a UNION ALL SELECT event_id, window_end FROM ({SQL['C7_cross_source_sells']}) AS b) AS x")))
+    f"SELECT 'cross_source' AS kind, count(DISTINCT event_id) AS n, max(window_end) AS latest FROM (SELECT event_id, window_end FROM ({SQL['J7_cross_source_buys']}) AS a UNION ALL SELECT event_id, window_end FROM ({SQL['C7_cross_source_sells']}) AS b) AS x")) + ") AS every WHERE n > 0")
 def c8(trades, insiders, holdings):
     """The whole compilation: groups, summaries and four cluster families under one identity, one row an identity."""
     groups = C.filing_groups(trades)
