@@ -106,7 +106,7 @@ SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '-01-000001' AS accession, C
 def sc17(orders):
     acc = F.concat(F.lpad(c("o_custkey").cast("string"), 10, "0"), F.lit("-01-000001"))
     entry = F.concat(F.lit("<entry>"), tag("title", F.concat(F.lit("4 - "), "o_orderpriority")), tag("id", F.concat(F.lit("urn:tag:x,2008:accession-number="), acc)), tag("updated", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")), F.lit("</entry>"))
-    docs = orders.groupBy((c("o_orderkey") % 64).alias("k")).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("xml"))
+    docs = orders.groupBy("o_orderdate").agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("xml"))
     return D.feed_entries(docs, "xml", F.lit("2001-01-01").cast("date"))
 
 
