@@ -146,11 +146,14 @@ def history_keys(feed_events):
 
 
 @query("C25_follow_dry_run", "feed_events", "follows", sql=f"""
-WITH {_EVENTS}, f AS (SELECT DISTINCT watchlist_id, alert_mode, target FROM follows WHERE match_type = 'ticker' AND target IS NOT NULL), e AS (SELECT ticker, activity, unusual, count(*) AS n FROM x WHERE NOT suppressed GROUP BY ALL)
-SELECT watchlist_id, target, alert_mode, CAST(sum(n) AS BIGINT) AS matches FROM f JOIN e ON e.ticker = f.target WHERE CASE alert_mode WHEN 'both' THEN activity OR unusual WHEN 'activity' THEN activity ELSE unusual END GROUP BY 1, 2, 3""")
+WITH {_EVENTS}, f AS (SELECT DISTINCT watchlist_id, alert_mode, match_type, target FROM follows WHERE target IS NOT NULL), k AS (SELECT 'ticker' AS match_type, ticker AS target, activity, unusual FROM x WHERE NOT suppressed UNION ALL SELECT 'actor', 'politician:' || lower(member_id), activity, unusual FROM x WHERE NOT suppressed),
+e AS (SELECT match_type, target, activity, unusual, count(*) AS n FROM k WHERE target IS NOT NULL GROUP BY ALL)
+SELECT watchlist_id, f.match_type, f.target, alert_mode, CAST(sum(n) AS BIGINT) AS matches FROM f JOIN e USING (match_type, target) WHERE CASE alert_mode WHEN 'both' THEN activity OR unusual WHEN 'activity' THEN activity ELSE unusual END GROUP BY 1, 2, 3, 4""")
 def dry_run(feed_events, follows):
-    """How many events each follow of a ticker would get; events are counted by ticker and behaviour before the join."""
-    e = classified(feed_events).where("not suppressed").groupBy(c("ticker").alias("target"), "activity", "unusual").agg(F.count("*").alias("n"))
-    f = follows.where("match_type = 'ticker' and target is not null").select("watchlist_id", "alert_mode", "target").distinct()
+    """How many events each follow of a ticker or an actor would get; events are counted by key and behaviour before the join."""
+    keys = F.array(F.struct(F.lit("ticker").alias("match_type"), c("ticker").alias("target")), F.struct(F.lit("actor").alias("match_type"), F.concat(F.lit("politician:"), F.lower("member_id")).alias("target")))
+    each = classified(feed_events).where("not suppressed").select("activity", "unusual", F.explode(keys).alias("k")).select("activity", "unusual", "k.*").where("target is not null")
+    e = each.groupBy("match_type", "target", "activity", "unusual").agg(F.count("*").alias("n"))
+    f = follows.where("target is not null").select("watchlist_id", "alert_mode", "match_type", "target").distinct()
     wanted = F.when(c("alert_mode") == "both", c("activity") | c("unusual")).when(c("alert_mode") == "activity", c("activity")).otherwise(c("unusual"))
-    return f.join(e, "target").where(wanted).groupBy("watchlist_id", "target", "alert_mode").agg(F.sum("n").alias("matches"))
+    return f.join(e, ["match_type", "target"]).where(wanted).groupBy("watchlist_id", "match_type", "target", "alert_mode").agg(F.sum("n").alias("matches"))

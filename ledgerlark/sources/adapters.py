@@ -101,6 +101,14 @@ VIEWS["gap_reports"] = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '{"
  WHEN 1 THEN '{"missing_or_partial_filings":[{"doc":"c","deep":{"missing_or_partial_filings":[{"doc":"not"}]}}]}'
  WHEN 2 THEN '[{"a":[{"b":{"missing_or_partial_filings":[{"doc":"d"},"s",null,{"doc":"e' || o_custkey || '"}]}}]},{"missing_or_partial_filings":"text"}]'
  ELSE '{"missing_or_partial_filings":{"x":{"missing_or_partial_filings":[]},"y":[[{"missing_or_partial_filings":[{"doc":"f"}]}]]},"n":1}' END AS doc FROM orders"""
+_LASTS = ("CASE {} % 12 WHEN 0 THEN 'Abbott' WHEN 1 THEN 'Brown' WHEN 2 THEN 'Castro' WHEN 3 THEN 'Diaz' WHEN 4 THEN 'Evans' WHEN 5 THEN 'Foster' WHEN 6 THEN 'Green' WHEN 7 THEN 'Hill' WHEN 8 THEN 'Ibarra' WHEN 9 THEN 'Jones' WHEN 10 THEN 'Kim' ELSE 'Lopez' END")
+_FIRSTS = ("CASE {} % 9 WHEN 0 THEN '{}' WHEN 1 THEN '{}' WHEN 2 THEN '{}' WHEN 3 THEN '{}' WHEN 4 THEN '{}' WHEN 5 THEN '{}' WHEN 6 THEN '{}' WHEN 7 THEN '{}' ELSE '{}' END")
+VIEWS |= {  # registered members, and names on filings that come near theirs
+    "registered": f"""SELECT 'M' || c_custkey AS member_id, {_FIRSTS.format("c_custkey", "William", "Daniel", "David", "James", "Richard", "Thomas", "Mary Ann", "Roberta", "Rafael")} AS first_name,
+ {_LASTS.format("CAST(floor(c_custkey / 9) AS BIGINT)")} AS last_name, 'D' || CAST(floor(c_custkey / 60) AS BIGINT) AS district FROM customer WHERE c_custkey % 4 > 0""",
+    "unknown_filers": f"""SELECT c_custkey, 'unknown-' || c_custkey AS member_id, {_FIRSTS.format("c_custkey", "Bill", "Danny J.", "D", "Jimmy", "Rick", "Thom", "Ann", "Bob", "Ted")} AS first_name,
+ {_LASTS.format("CAST(floor(c_custkey / 9) AS BIGINT)")} || CASE WHEN c_custkey % 5 = 0 THEN ', Jr.' ELSE '' END AS last_name, 'D' || CAST(floor(c_custkey / 60) AS BIGINT) AS district FROM customer""",
+}
 _THIRD = ("CASE p_partkey % 8 WHEN 0 THEN 'industries' WHEN 1 THEN 'logistics' WHEN 2 THEN 'materials' WHEN 3 THEN 'energy' WHEN 4 THEN 'bancorp' WHEN 5 THEN 'robotics' WHEN 6 THEN 'foods' ELSE 'airlines' END")
 _SYMBOL = "'T' || translate(CAST(p_partkey AS VARCHAR(12)), '0123456789', 'ABCDEFGHIJ')"
 VIEWS |= {  # lists of companies with clean and unclean names, and asset texts that name them well, nearly or not at all
