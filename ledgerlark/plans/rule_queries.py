@@ -146,9 +146,9 @@ def history_keys(feed_events):
 
 
 @query("C25_follow_dry_run", "feed_events", "follows", sql=f"""
-WITH {_EVENTS}, f AS (SELECT DISTINCT watchlist_id, alert_mode, match_type, target FROM follows WHERE target IS NOT NULL), k AS (SELECT 'ticker' AS match_type, ticker AS target, activity, unusual FROM x WHERE NOT suppressed UNION ALL SELECT 'actor', 'politician:' || lower(member_id), activity, unusual FROM x WHERE NOT suppressed),
-e AS (SELECT match_type, target, activity, unusual, count(*) AS n FROM k WHERE target IS NOT NULL GROUP BY ALL)
-SELECT watchlist_id, f.match_type, f.target, alert_mode, CAST(sum(n) AS BIGINT) AS matches FROM f JOIN e USING (match_type, target) WHERE CASE alert_mode WHEN 'both' THEN activity OR unusual WHEN 'activity' THEN activity ELSE unusual END GROUP BY 1, 2, 3, 4""")
+WITH {_EVENTS}, fol AS (SELECT DISTINCT watchlist_id, alert_mode, match_type, target FROM follows WHERE target IS NOT NULL), both_keys AS (SELECT 'ticker' AS match_type, ticker AS target, activity, unusual FROM x WHERE NOT suppressed UNION ALL SELECT 'actor', 'politician:' || lower(member_id), activity, unusual FROM x WHERE NOT suppressed),
+ev AS (SELECT match_type, target, activity, unusual, count(*) AS n FROM both_keys WHERE target IS NOT NULL GROUP BY ALL)
+SELECT watchlist_id, fol.match_type, fol.target, alert_mode, CAST(sum(n) AS BIGINT) AS matches FROM fol JOIN ev USING (match_type, target) WHERE CASE alert_mode WHEN 'both' THEN activity OR unusual WHEN 'activity' THEN activity ELSE unusual END GROUP BY 1, 2, 3, 4""")
 def dry_run(feed_events, follows):
     """How many events each follow of a ticker or an actor would get; events are counted by key and behaviour before the join."""
     keys = F.array(F.struct(F.lit("ticker").alias("match_type"), c("ticker").alias("target")), F.struct(F.lit("actor").alias("match_type"), F.concat(F.lit("politician:"), F.lower("member_id")).alias("target")))
