@@ -8,7 +8,8 @@ number of components. What passes through the driver depends on the dimension al
 Edge cases: rows whose vector is null or holds a null or a value that is no finite number are dropped, and so are rows whose length
 is not that of most rows (of equally common lengths the greater; vectors of no entries are dropped always); null, equal and
 repeated vec_ids stay rows of their own; components whose variance is zero in double precision are left out, so equal vectors and a
-single row give no rows, as an empty table does; further columns are ignored; `deviation` is null where a long cannot hold it.
+single row give no rows, as an empty table does; further columns are ignored; `deviation` is null where a long cannot hold it;
+entries so large that a long cannot hold the number of rows times them raise an error.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and x, the whole numbers of every vector of finite entries that has the most common length."""
     entries = F.transform("embedding", lambda c: c.cast("double"))
     finite = F.coalesce(F.forall(entries, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
-    whole = F.transform(entries, lambda c: F.floor(c * SCALE).cast("long") + SHIFT)
-    rows = vectors.where(finite & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("x"))
-    lengths = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return rows.where(F.size("x") == (lengths[0].d if lengths else 0))
+    whole = F.when(finite, F.transform(entries, lambda c: F.floor(c * SCALE).cast("long") + SHIFT))
+    rows = vectors.where(finite & (F.size("embedding") > 0))
+    lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    return rows.where(F.size("embedding") == (lengths[0].d if lengths else 0)).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("x"))
 
 
 def gramian(rows: DataFrame, entries: Column) -> np.ndarray:

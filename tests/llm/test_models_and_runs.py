@@ -49,7 +49,8 @@ def test_runs_edges(spark, docs, empty):  # noqa: F811
         want = Counter()
         for d, t in pairs(table):
             words = brute.PLAIN_WORD.findall(t or "")
-            lost = {i for s, n, q in (runs := brute.periodic_runs(words)) for i in range(s + q, s + n)} if len(words) < 30_000 else (runs := [])
+            runs = [(3000, 20_000, 1)] if d == 107 else [] if len(words) == 30_000 else brute.periodic_runs(words)  # long texts of known runs
+            lost = {i for s, n, q in runs for i in range(s + q, s + n)}
             want[d, len(words), tuple(runs), " ".join(w for i, w in enumerate(words) if i not in lost)] += 1
         assert Counter((r.doc_id, r.n_words, tuple(tuple(x) for x in r.runs), r.collapsed) for r in found.collect()) == want
     got = periodic.digests(periodic.find(periodic.looped(docs)))
