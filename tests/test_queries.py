@@ -10,7 +10,7 @@ import pytest
 from ledgerlark import plans
 
 #: Families that need more rows than the smallest scale has.
-SPARSE = {"W4_strongest_windows", "W3_insider_clusters", "J13_unfiled_periods", "C19_C20_window_detail", "A14_period_returns", "W15_F15_curated_clusters", "SC8_embedded_inner", "C11_cluster_gains"}
+SPARSE = {"X34_suppressed_names", "W4_strongest_windows", "W3_insider_clusters", "J13_unfiled_periods", "C19_C20_window_detail", "A14_period_returns", "W15_F15_curated_clusters", "SC8_embedded_inner", "C11_cluster_gains"}
 
 
 @pytest.fixture(scope="session")
