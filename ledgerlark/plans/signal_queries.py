@@ -358,16 +358,18 @@ def st5(trades):
 
 
 @query("C22_X37_follow_preview", "trades", "follows", sql=f"""
-SELECT f.watchlist_id, f.target, t.doc_id, t.published_date, count(*) OVER (PARTITION BY f.watchlist_id, f.target) AS matches FROM (SELECT DISTINCT watchlist_id, match_type, target FROM follows) f JOIN trades t ON f.match_type = 'ticker' AND f.target = t.ticker AND t.published_date >= {AT} - 30
-QUALIFY row_number() OVER (PARTITION BY f.watchlist_id, f.target ORDER BY t.published_date DESC, t.doc_id, t.amount, t.member_id) <= 3""")
+WITH k AS (SELECT 'ticker' AS match_type, ticker AS target, doc_id, published_date, amount, member_id FROM trades UNION ALL SELECT 'actor', 'politician:' || lower(member_id), doc_id, published_date, amount, member_id FROM trades)
+SELECT f.watchlist_id, f.match_type, f.target, k.doc_id, k.published_date, count(*) OVER (PARTITION BY f.watchlist_id, f.match_type, f.target) AS matches FROM (SELECT DISTINCT watchlist_id, match_type, target FROM follows) f JOIN k ON f.match_type = k.match_type AND f.target = k.target AND k.published_date >= {AT} - 30
+QUALIFY row_number() OVER (PARTITION BY f.watchlist_id, f.match_type, f.target ORDER BY k.published_date DESC, k.doc_id, k.amount, k.member_id) <= 3""")
 def c22(trades, follows):
-    """The newest three of each ticker and their number first, followers then: a popular ticker brings three rows to each follower."""
-    recent = trades.where(c("published_date") >= F.date_sub(today(), 30)).where("ticker is not null")
-    order = Window.partitionBy("ticker").orderBy(F.desc("published_date"), "doc_id", "amount", "member_id")
-    top = recent.withColumn("n", F.row_number().over(order)).where("n <= 3").select("ticker", "doc_id", "published_date")
-    counts = recent.groupBy("ticker").agg(F.count("*").alias("matches"))
-    f = follows.where("match_type = 'ticker'").select("watchlist_id", c("target").alias("ticker")).distinct()
-    return f.join(top.join(counts, "ticker"), "ticker").select("watchlist_id", c("ticker").alias("target"), "doc_id", "published_date", "matches")
+    """The newest three of each ticker and actor and their number first, followers then: a popular key brings three rows to each follower."""
+    keys = F.array(F.struct(F.lit("ticker").alias("match_type"), c("ticker").alias("target")), F.struct(F.lit("actor").alias("match_type"), F.concat(F.lit("politician:"), F.lower("member_id")).alias("target")))
+    recent = trades.where(c("published_date") >= F.date_sub(today(), 30)).select("doc_id", "published_date", "amount", "member_id", F.explode(keys).alias("k")).select("*", "k.*").where("target is not null")
+    order = Window.partitionBy("match_type", "target").orderBy(F.desc("published_date"), "doc_id", "amount", "member_id")
+    top = recent.withColumn("n", F.row_number().over(order)).where("n <= 3").select("match_type", "target", "doc_id", "published_date")
+    counts = recent.groupBy("match_type", "target").agg(F.count("*").alias("matches"))
+    f = follows.select("watchlist_id", "match_type", "target").distinct()
+    return f.join(top.join(counts, ["match_type", "target"]), ["match_type", "target"]).select("watchlist_id", "match_type", "target", "doc_id", "published_date", "matches")
 
 
 @query("C23_activity_union", "trades", "insiders", "holdings", sql=f"""
