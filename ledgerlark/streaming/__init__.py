@@ -1,6 +1,6 @@
 """Structured Streaming counterparts of the stateful steps."""
 
 from ledgerlark.streaming.jobs import deduplicated, events, finished, sessions, tumbling, upserting
-from ledgerlark.streaming.quota import QuotaRun, daily_quota
+from ledgerlark.streaming.quota import QuotaRun
 
-__all__ = ["QuotaRun", "daily_quota", "deduplicated", "events", "finished", "sessions", "tumbling", "upserting"]
+__all__ = ["QuotaRun", "deduplicated", "events", "finished", "sessions", "tumbling", "upserting"]
