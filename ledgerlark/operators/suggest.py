@@ -70,12 +70,15 @@ def suppressed(candidates: DataFrame, canonical: DataFrame, piece: int = 3) -> D
     """Candidates (ticker, company) whose company holds that of a canonical row with another ticker; short tickers are never suppressed.
 
     "Holds" is made an equality: the beginning of a canonical name, of up to `piece` letters, is one of the pieces of the other name;
-    what meets in that is then compared in full.
+    what meets in that is then compared in full. Only distinct names meet: of a name's tickers the first and the last tell whether one
+    of them is another one, so that rows of equal names make no pairs.
     """
     long = candidates.where(F.length("ticker") > 4).select("ticker", Q.text("company").alias("own")).where("own <> ''")
-    pieces = long.withColumn("piece", F.explode(_grams(F.col("own"), piece)))
-    begins = canonical.select(F.col("ticker").alias("by"), Q.text("company").alias("name")).where("name <> ''").withColumn("piece", F.substring("name", 1, piece))
-    return pieces.join(begins, "piece").where(F.col("own").contains(F.col("name")) & (F.col("ticker") != F.col("by"))).select("ticker").distinct()
+    pieces = long.select("own").distinct().withColumn("piece", F.explode(_grams(F.col("own"), piece)))
+    names = canonical.select("ticker", Q.text("company").alias("name")).where("name <> ''").groupBy("name").agg(F.min("ticker").alias("first"), F.max("ticker").alias("last"))
+    held = pieces.join(names.withColumn("piece", F.substring("name", 1, piece)), "piece").where(F.col("own").contains(F.col("name")))
+    other = held.groupBy("own").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return long.join(other, "own").where((F.col("first") != F.col("ticker")) | (F.col("last") != F.col("ticker"))).select("ticker").distinct()
 
 
 def ticker_suggestions(companies: DataFrame, aliases: DataFrame, query: str, shown: int = SHOWN) -> DataFrame:
