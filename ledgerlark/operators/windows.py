@@ -105,6 +105,9 @@ def surviving_lots(rows: DataFrame, keys: list[str], order: list[str], side: str
 
 
 def quota_top(rows: DataFrame, group: str, order: list[Column], each: int, limit: int) -> DataFrame:
-    """Up to `each` rows of every group come first, the rest fill up by the global order."""
-    ranked = rows.withColumn("_g", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    """Up to `each` rows of every group come first, the rest fill up by the global order.
+
+    No group can bring more than its first `each + limit` rows, so that groups are cut to those before they are moved.
+    """
+    ranked = rows.withColumn("_g", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_g") <= each + limit)
     return ranked.withColumn("reserved", F.col("_g") <= each).orderBy(F.desc("reserved"), *order).limit(limit).drop("_g")
