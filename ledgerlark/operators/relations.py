@@ -50,8 +50,9 @@ def nearest(events: DataFrame, points: DataFrame, keys: list[str], value: str, n
     e = events.select(*keys, F.col(value).alias("_v"), F.struct(*events.columns).alias("_row"))
     point = F.when(F.col("_row").isNull(), F.struct(F.col("_v").alias(value), F.col("_name").alias(name)))
     both = e.withColumn("_name", F.lit(None).cast("string")).unionByName(p.withColumn("_row", F.lit(None).cast(e.schema["_row"].dataType))).withColumn("_point", point)
-    w = Window.partitionBy(*keys).orderBy("_v")
-    down, up = F.last("_point", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first("_point", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # up looks back in falling order: a frame that ends at the last row would be gone through again for every row
+    back = lambda order: F.last("_point", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    down, up = back(F.asc("_v")), back(F.desc("_v"))
     found = both.withColumn("_down", down).withColumn("_up", up).where("_row is not null")
     far = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.{value}") - F.col("_v")).alias("far"), F.col(f"{side}.{name}").alias("name"), F.col(side).alias("p")))
     return found.withColumn("_best", F.least(far("_down"), far("_up"))).select("_row.*", F.col("_best.p").alias("near"))
