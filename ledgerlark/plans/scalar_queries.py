@@ -47,9 +47,11 @@ SELECT regexp_replace(doc_id, '-[0-9]+$', '') AS filing, sha1(coalesce(doc_id, '
  sha256(doc_id || '|' || amount_range) AS content, count(*) AS n FROM trades GROUP BY ALL
 UNION ALL SELECT regexp_extract(source_url, '([0-9]{10}-[0-9]{2}-[0-9]{6})', 1), sha1(source_url), sha256(source_url), count(*) FROM insiders GROUP BY ALL""")
 def ids(trades, insiders):
-    a = trades.select(S.filing_key(c("doc_id")).alias("filing"), S.stable_id(c("doc_id"), c("ticker"), c("direction")).alias("stable"), F.sha2(F.concat_ws("|", "doc_id", "amount_range"), 256).alias("content"))
-    b = insiders.select(S.accession(c("source_url")).alias("filing"), S.stable_id(c("source_url")).alias("stable"), F.sha2("source_url", 256).alias("content"))
-    return a.unionAll(b).groupBy("filing", "stable", "content").agg(F.count(F.lit(1)).alias("n"))
+    """Rows are grouped by the texts and hashed after that: texts share beginnings and pack well, hashes do not pack at all."""
+    a = trades.groupBy(S.filing_key(c("doc_id")).alias("filing"), S.id_text(c("doc_id"), c("ticker"), c("direction")).alias("s"), F.concat_ws("|", "doc_id", "amount_range").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    b = insiders.groupBy("source_url").agg(F.count(F.lit(1)).alias("n"))
+    return a.select("filing", F.sha1("s").alias("stable"), F.sha2("t", 256).alias("content"), "n").unionAll(
+        b.select(S.accession(c("source_url")).alias("filing"), S.stable_id(c("source_url")).alias("stable"), F.sha2("source_url", 256).alias("content"), "n"))
 
 
 _UUID = "sha1('\\x6b\\xa7\\xb8\\x11\\x9d\\xad\\x11\\xd1\\x80\\xb4\\x00\\xc0\\x4f\\xd4\\x30\\xc8'::BLOB || encode(c_custkey || '|' || c_name))"
