@@ -8,6 +8,9 @@ as zero, missing flags as false. Everything is one projection: no shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,20 +75,20 @@ def behaviour(events: DataFrame, priority_themes: tuple[str, ...], notable_keys:
 
     A cluster of insiders has no rule of its own here and is judged as its base type, a single insider trade.
     """
-    kind, base = F.lower("signal_type"), F.lower(F.coalesce("base_type", "signal_type"))
-    buy, sell = F.col("direction") == "buy", F.col("direction") == "sell"
+    # each step is a projection of its own: what many conditions share is evaluated once a row and not once a condition
+    step = {"_kind": F.lower("signal_type"), "_base": F.lower(F.coalesce("base_type", "signal_type")), "_market": market_asset(), "_known": notable(notable_keys), "_floor": S.amount_lower_bound(F.col("amount_range")),
+            "_themed": F.coalesce(F.col("theme").isin(*priority_themes), F.lit(False)), "_committee": F.coalesce(F.col("theme") == F.col("member_theme"), F.lit(False)), "_change": F.abs(_number("change_pct")), "_moved": F.coalesce("change_type", F.lit(""))}
+    kind, base, known, floor, themed, committee, change, moved = (F.col(f"_{k}") for k in ("kind", "base", "known", "floor", "themed", "committee", "change", "moved"))
+    value, buy, sell = _number("value"), F.col("direction") == "buy", F.col("direction") == "sell"
     summary, reminder = kind.isin(*SUMMARIES), kind.isin(*FUND_FILINGS)
     cluster, cross, gain, cluster_gain = (kind == k for k in ("politician_cluster", "cross_source_accumulation", "politician_gain_milestone", "cluster_gain_milestone"))
-    apart = summary | reminder | cluster | cross | gain | cluster_gain
-    judged = ~apart & market_asset()
-    member, insider, fund = judged & (base == "politician_trade"), judged & (base == "insider_trade"), judged & (kind == "fund_position_change")
-    themed = F.coalesce(F.col("theme").isin(*priority_themes), F.lit(False))
-    committee = F.coalesce(F.col("theme") == F.col("member_theme"), F.lit(False))
-    known, floor, value, change = notable(notable_keys), S.amount_lower_bound(F.col("amount_range")), _number("value"), F.abs(_number("change_pct"))
+    aside = summary | reminder | cluster | cross | gain | cluster_gain
+    kinds = {"_apart": aside, "_member": ~aside & F.col("_market") & (base == "politician_trade"), "_insider": ~aside & F.col("_market") & (base == "insider_trade"),
+             "_fund": ~aside & F.col("_market") & (kind == "fund_position_change"), "_off": ~aside & ~F.col("_market")}
+    apart, member, insider, fund, suppressed = (F.col(k) for k in kinds)
     quantum = member & buy & (F.coalesce("theme", F.lit("")) == "quantum") & (floor > 0)
-    moved = F.coalesce("change_type", F.lit(""))
     found = (  # reason, where it holds, whether it makes the event unusual
-        ("non_clean_asset", ~apart & ~market_asset(), False),
+        ("non_clean_asset", suppressed, False),
         ("congress_cluster", cluster, True),
         ("cross_source_accumulation", cross, True),
         ("cross_source_full_stack", cross & _yes("includes_fund"), False),
@@ -113,11 +116,11 @@ def behaviour(events: DataFrame, priority_themes: tuple[str, ...], notable_keys:
     )
     has_theme = F.col("theme").isNotNull() & ((apart & ~reminder) | member | insider | fund)
     reasons = F.array_compact(F.array(*(F.when(where, F.lit(reason)) for reason, where, _ in found), F.when(has_theme, F.concat(F.lit("theme_"), "theme"))))
-    strong = F.array_compact(F.array(*(F.when(where, F.lit(reason)) for reason, where, counts in found if counts)))
-    suppressed = ~apart & ~market_asset()
-    return (events.withColumn("reasons", reasons).withColumn("suppressed", suppressed)
-            .withColumn("activity", F.when(summary, _yes("summary_activity")).otherwise(~suppressed & ~cluster))
-            .withColumn("unusual", F.when(summary, _yes("summary_unusual")).otherwise(F.size(strong) > 0)))
+    strong = reduce(or_, (F.coalesce(where, F.lit(False)) for _, where, counts in found if counts))
+    out = events.withColumns(step).withColumns(kinds).withColumns({
+        "reasons": reasons, "suppressed": suppressed, "activity": F.when(summary, _yes("summary_activity")).otherwise(~suppressed & ~cluster),
+        "unusual": F.when(summary, _yes("summary_unusual")).otherwise(strong)})
+    return out.drop(*step, *kinds)
 
 
 def reason_labels(reasons: Column) -> Column:
