@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a partition of `dealt`: what a task sorts or groups of them takes some hundred MB.
+PART_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows, dealt by keys over as many partitions as their counted number asks for: a task's share does not grow with the table."""
+    spark = rows.sparkSession
+    parts = -(-rows.count() // PART_ROWS)
+    return rows.repartition(parts, *keys) if parts > spark.sparkContext.defaultParallelism else rows.repartition(*keys)
+
+
 def first_per(rows: DataFrame, keys: list, order: list[Column]) -> DataFrame:
     """One row a key: the first by `order`, which must be total for a stable result."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

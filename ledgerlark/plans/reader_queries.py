@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.relations import dealt
 from ledgerlark.plans.catalog import query
 from ledgerlark.sources import readers as D
 from ledgerlark.sources import zipped as Z
@@ -145,7 +146,8 @@ def sc24(trades):
     kind = F.when(c("asset_type").isin("ST", "ETF", "Stock"), F.concat(F.lit(" ["), "asset_type", F.lit("]"))).otherwise("")
     low, high = F.split_part("amount_range", F.lit(" - "), F.lit(1)), F.split_part("amount_range", F.lit(" - "), F.lit(2))
     line = F.concat("asset_name", kind, F.lit("  "), F.when(c("direction") == "buy", "P").otherwise("S"), F.lit(" "), day("transaction_date"), F.lit(" "), day("published_date"), F.lit(" "), low, F.lit(" -\nFILING STATUS: New\n"), high)
-    docs = trades.where("amount >= 1001").groupBy(F.regexp_replace("doc_id", r"-\d+$", "").alias("filing")).agg(F.concat(F.lit("Header\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
+    rows = dealt(trades.where("amount >= 1001").select(F.regexp_replace("doc_id", r"-\d+$", "").alias("filing"), line.alias("line")), "filing")
+    docs = rows.groupBy("filing").agg(F.concat(F.lit("Header\n"), F.array_join(F.collect_list("line"), "\n")).alias("text"))
     return D.trade_lines(docs, "text", "filing").groupBy("filing", "asset", "asset_type", "code", "transaction_date", "filed", "amount_range").agg(F.count("*").alias("n"))
 
 

@@ -80,10 +80,12 @@ LINE = r"^(.*?)\s+(?:\[(\w+)\]\s+)?([PS])\s+(\d{2}/\d{2}/\d{4})\s+(\d{2}/\d{2}/\
 
 def trade_lines(docs: DataFrame, text: str, *keys: str) -> DataFrame:
     """Trades of a filing's text lines: an asset line with dates, whose range may end on one of the next five lines."""
-    lines = docs.select(*keys, F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("line", F.trim("line"))
-    w = Window.partitionBy(*keys).orderBy("at")
-    ahead = F.coalesce(*(F.nullif(F.regexp_extract(F.lead("line", k).over(w), r"^(\$[\d,]+)$", 1), F.lit("")) for k in range(1, 6)))
-    rows = lines.withColumn("_next", ahead).where(F.col("line").rlike(LINE))
+    # a document's lines look ahead inside their own array: its lines are not sorted together again
+    lines = docs.select(*keys, F.transform(F.split(text, "\n"), lambda x: F.trim(x)).alias("_lines"))
+    found = F.transform("_lines", lambda x, at: F.when(x.rlike(LINE), F.struct(at.cast("int").alias("at"), x.alias("line"), F.slice("_lines", at + 2, 5).alias("_ahead"))))
+    rows = lines.select(*keys, F.inline(F.filter(found, lambda x: x.isNotNull())))
+    ends = r"^(\$[\d,]+)$"
+    rows = rows.select(*keys, "at", "line", F.regexp_extract(F.get(F.filter("_ahead", lambda x: x.rlike(ends)), F.lit(0)), ends, 1).alias("_next"))
     part = lambda k: F.regexp_extract("line", LINE, k)
     return rows.select(*keys, "at", part(1).alias("asset"), F.nullif(part(2), F.lit("")).alias("asset_type"), part(3).alias("code"), F.to_date(part(4), "MM/dd/yyyy").alias("transaction_date"), F.to_date(part(5), "MM/dd/yyyy").alias("filed"),
                        F.concat(F.regexp_replace(part(6), r"\s+", " "), F.lit(" "), F.coalesce(F.nullif(part(7), F.lit("")), F.col("_next"))).alias("amount_range"))
