@@ -328,9 +328,10 @@ def d10(trades):
 WITH f AS (SELECT DISTINCT regexp_extract(source_url, '([0-9]{10}-[0-9]{2}-[0-9]{6})', 1) a FROM insiders WHERE transaction_code = 'P'), s AS (SELECT DISTINCT regexp_extract(source_url, '([0-9]{10}-[0-9]{2}-[0-9]{6})', 1) a FROM insiders WHERE transaction_code = 'S')
 SELECT a AS accession, 'feed' AS origin FROM f UNION ALL SELECT * FROM (SELECT a, 'stored' FROM s WHERE a NOT IN (SELECT a FROM f) ORDER BY a DESC LIMIT 200)""")
 def d11(insiders):
-    a = insiders.select(S.accession(c("source_url")).alias("accession"), "transaction_code")
-    feed, stored = (a.where(c("transaction_code") == x).select("accession").distinct() for x in "PS")
-    return feed.withColumn("origin", F.lit("feed")).unionByName(stored.join(feed, "accession", "left_anti").orderBy(F.desc("accession")).limit(200).withColumn("origin", F.lit("stored")))
+    a = insiders.where(c("transaction_code").isin("P", "S")).select(S.accession(c("source_url")).alias("accession"), (c("transaction_code") == "P").alias("bought"))
+    kinds = R.dealt(a, "accession").groupBy("accession").agg(F.bool_or("bought").alias("fed"))
+    feed, stored = (kinds.where(c("fed") == x).select("accession", F.lit(o).alias("origin")) for x, o in ((True, "feed"), (False, "stored")))
+    return feed.unionByName(stored.orderBy(F.desc("accession")).limit(200))
 
 
 @query("D12_D7_first_of_sorted", "signals", sql="SELECT user_id, signal_type, event_id, amount FROM signals QUALIFY row_number() OVER (PARTITION BY user_id, signal_type ORDER BY amount DESC, ts DESC, event_id) = 1")
