@@ -190,7 +190,8 @@ def a18(insiders):
 def position_changes(insiders, opening=1000):
     """Sales and buys of one filer, ticker and day: shares, value, shares held before and after, from `opening` shares on (A18, C12)."""
     w = Window.partitionBy("filer_name", "ticker").orderBy("transaction_date", "source_url", "amount", "shares", "transaction_code").rowsBetween(Window.unboundedPreceding, 0)
-    t = insiders.where("ticker is not null").withColumn("following", F.sum(F.when(c("transaction_code") == "P", c("shares")).otherwise(-c("shares"))).over(w) + opening)
+    rows = R.dealt(insiders.where("ticker is not null").select("filer_name", "ticker", "transaction_date", "source_url", "amount", "shares", "transaction_code"), "filer_name", "ticker")
+    t = rows.withColumn("following", F.sum(F.when(c("transaction_code") == "P", c("shares")).otherwise(-c("shares"))).over(w) + opening)
     sale = c("transaction_code") == "S"
     g = t.groupBy("filer_name", "ticker", "transaction_date", "transaction_code").agg(F.sum("shares").alias("shares"), F.sum("amount").alias("value"), F.min("following").alias("lo"), F.max("following").alias("hi"), F.count("*").alias("n"))
     g = g.withColumn("after", F.when(sale, c("lo")).otherwise(c("hi"))).drop("lo", "hi")
