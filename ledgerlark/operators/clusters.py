@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import scalars as S
-from ledgerlark.operators.relations import as_of_prices, first_per
+from ledgerlark.operators.relations import as_of_prices, dealt, first_per
 from ledgerlark.operators.windows import greedy_windows, trailing_sums
+from ledgerlark.sources.workspace import staged
 
 
 def congress_events(trades: DataFrame) -> DataFrame:
@@ -52,13 +53,16 @@ def congress_clusters(trades: DataFrame, days: int = 10, least: int = 2) -> Data
 def insider_economic_rows(insiders: DataFrame) -> DataFrame:
     """One row an economic trade: related owners reporting the same trade count once (the first filer by name)."""
     rows = insiders.withColumn("ticker", S.publishable_ticker(F.col("ticker"))).where("ticker is not null")
-    return first_per(rows, ["ticker", "transaction_code", "transaction_date", "shares", "amount"], [F.asc("filer_name"), F.asc("source_url")])
+    keys = ["ticker", "transaction_code", "transaction_date", "shares", "amount"]
+    return first_per(dealt(rows, *keys), keys, [F.asc("filer_name"), F.asc("source_url")])
 
 
 def insider_clusters(insiders: DataFrame, days: int = 10, least: int = 5) -> DataFrame:
     """Greedy windows with at least max(5, least) distinct filers."""
-    rows = greedy_windows(insider_economic_rows(insiders), ["ticker", "transaction_code"], "published_date", days)
-    return (rows.groupBy("ticker", "transaction_code", "window_start").agg(F.count_distinct("filer_name").alias("actors"), F.count(F.lit(1)).alias("trades"), F.sum("amount").alias("total_value"), F.max("published_date").alias("clocked_at"))
+    # economic rows are found once, for the windows' starts and for their members
+    economic = staged(insider_economic_rows(insiders).select("ticker", "transaction_code", "published_date", "filer_name", "amount"))
+    rows = greedy_windows(dealt(economic, "ticker", "transaction_code", "published_date"), ["ticker", "transaction_code"], "published_date", days)
+    return (dealt(rows, "ticker", "transaction_code", "window_start", "filer_name", like=economic).groupBy("ticker", "transaction_code", "window_start").agg(F.count_distinct("filer_name").alias("actors"), F.count(F.lit(1)).alias("trades"), F.sum("amount").alias("total_value"), F.max("published_date").alias("clocked_at"))
             .where(F.col("actors") >= max(5, least)))
 
 

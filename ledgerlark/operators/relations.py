@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 PART_ROWS = 250_000
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows, dealt by keys over as many partitions as their counted number asks for: a task's share does not grow with the table."""
+def dealt(rows: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
+    """rows, dealt by keys over as many partitions as their counted number (that of `like`, where it is the same) asks for: a task's share does not grow with the table."""
     spark = rows.sparkSession
-    parts = -(-rows.count() // PART_ROWS)
+    parts = -(-(rows if like is None else like).count() // PART_ROWS)
     return rows.repartition(parts, *keys) if parts > spark.sparkContext.defaultParallelism else rows.repartition(*keys)
 
 
