@@ -13,6 +13,7 @@ from ledgerlark.plans.catalog import query
 from ledgerlark.plans.core import AT, CHANGES, KIND, OK, _changes
 from ledgerlark.plans.filters import equity_purchase
 from ledgerlark.sources.adapters import AS_OF
+from ledgerlark.sources.workspace import staged
 
 c = F.col
 
@@ -94,8 +95,17 @@ WITH {PURCHASES}, t AS (SELECT ticker, member_id, amount_floor, transaction_date
 SELECT day, week, month, ticker, count(DISTINCT member_id) AS actors, count(DISTINCT ticker) AS companies, count(*) AS n, CAST(sum(amount_floor) AS BIGINT) AS amount_floor FROM t GROUP BY GROUPING SETS ((day), (day, ticker), (week), (month))""")
 def a10(trades):
     t = _purchases(trades).where("transaction_date <= published_date").select("ticker", "member_id", "amount_floor", c("transaction_date").alias("day"), S.week_start(c("transaction_date")).alias("week"), F.trunc("transaction_date", "month").alias("month"), c("ticker").alias("company"))
-    sets = [[c("day")], [c("day"), c("ticker")], [c("week")], [c("month")]]
-    return t.groupingSets(sets, "day", "week", "month", "ticker").agg(F.count_distinct("member_id").alias("actors"), F.count_distinct("company").alias("companies"), F.count("*").alias("n"), F.sum("amount_floor").alias("amount_floor"))
+    rows = staged(t)  # trades are joined once, and each level moves only what it counts
+    n, floor = F.count("*").alias("n"), F.sum("amount_floor").alias("amount_floor")
+
+    def level(*kept):
+        """Members are counted where they are dealt to, so that a level leaves one row a key and partition to add up."""
+        each = R.dealt(rows.select(*kept, "member_id", "amount_floor"), "member_id").groupBy(*kept, "member_id").agg(n, floor)
+        people = each.groupBy(*kept).agg(F.count("member_id").alias("actors"), F.sum("n").alias("n"), F.sum("amount_floor").alias("amount_floor"))
+        companies = rows.groupBy(*kept).agg(F.count_distinct("company").alias("companies"))
+        return people.join(companies, list(kept)).select(*((c(k) if k in kept else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in ("day", "week", "month", "ticker")), "actors", "companies", "n", "amount_floor")
+
+    return level("day").unionByName(level("day", "ticker")).unionByName(level("week")).unionByName(level("month"))
 
 
 @query("A11_profile_summary", "trades", sql="""
