@@ -44,10 +44,15 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 def read_date(c: Column) -> Column:
     """Month, day and year of a scan, letters that look like digits read as digits; null where that is no date."""
-    n = F.regexp_extract_all(F.translate(F.coalesce(c, F.lit("")), "oOlI", "0011"), F.lit("([0-9]+)"), 1)
-    month, day, year = (F.get(n, F.lit(i)) for i in range(3))
-    whole = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).when(F.length(year) == 4, year)
-    return F.when((F.length(month) <= 2) & (F.length(day) <= 2), _date(whole, month, day))
+    numbers = F.regexp_extract_all(F.translate(F.coalesce(c, F.lit("")), "oOlI", "0011"), F.lit("([0-9]+)"), 1)
+
+    def read(n):
+        month, day, year = (F.get(n, F.lit(i)) for i in range(3))
+        whole = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).when(F.length(year) == 4, year)
+        return F.when((F.length(month) <= 2) & (F.length(day) <= 2), _date(whole, month, day))
+
+    # the numbers are found once a text, and not for each mention of month, day and year
+    return F.get(F.transform(F.array(numbers), lambda n: read(n)), F.lit(0))
 
 
 def scanned_date(c: Column, filed: Column) -> Column:

@@ -135,9 +135,10 @@ def nested_items(docs: DataFrame, json: str, name: str, *keys: str) -> DataFrame
 
 def _plain(html: Column) -> Column:
     bare = F.regexp_replace(html, "(?s)<[^>]*>", " ")
+    signs = bare
     for mark, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(mark), F.lit(sign))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+        signs = F.replace(signs, F.lit(mark), F.lit(sign))
+    return F.trim(F.regexp_replace(F.when(html.contains("&"), signs).otherwise(bare), r"\s+", " "))
 
 
 def table_rows(pages: DataFrame, html: str, wanted: dict[str, str], *keys: str) -> DataFrame:
@@ -145,7 +146,9 @@ def table_rows(pages: DataFrame, html: str, wanted: dict[str, str], *keys: str)
     block = F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?s)<table\b[^>]*class=["'][^"']*\btable\b[^>]*>(.*?)</table>""", 1)
     cells = lambda text, mark: F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)<{mark}\b[^>]*>(.*?)</{mark}>"), 1), _plain)
     tables = pages.select(*keys, block.alias("_b")).select(*keys, F.transform(cells(F.regexp_extract("_b", r"(?s)<thead\b[^>]*>(.*?)</thead>", 1), "th"), F.lower).alias("_heads"), F.regexp_extract("_b", r"(?s)<tbody\b[^>]*>(.*?)</tbody>", 1).alias("_body"))
-    rows = tables.select(*keys, "_heads", F.posexplode(F.regexp_extract_all("_body", F.lit(r"(?s)<tr\b[^>]*>(.*?)</tr>"), 1)).alias("place", "_tr")).withColumn("_cells", cells(F.col("_tr"), "td"))
+    # cells are read inside the generator: a filter on them would be pushed below a projection and read them again
+    found = F.transform(F.regexp_extract_all("_body", F.lit(r"(?s)<tr\b[^>]*>(.*?)</tr>"), 1), lambda tr: cells(tr, "td"))
+    rows = tables.select(*keys, "_heads", F.posexplode(found).alias("place", "_cells"))
     rows = rows.where(F.size("_cells") >= F.size("_heads"))
     at = lambda heading: F.array_position("_heads", F.lit(heading.lower())).cast("int")
     return rows.select(*keys, "place", *(F.when(at(h) > 0, F.get("_cells", at(h) - 1)).alias(n) for n, h in wanted.items()))
