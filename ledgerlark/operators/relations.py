@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.sources.workspace import staged
 
 #: Rows of a partition of `dealt`: what a task sorts or groups of them takes some hundred MB.
 PART_ROWS = 250_000
 
+#: Rows of a table of `lookup` up to which every task holds all of it.
+LOOKUP_ROWS = 1_000_000
+
 
 def dealt(rows: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
     """rows, dealt by keys over as many partitions as their counted number (that of `like`, where it is the same) asks for: a task's share does not grow with the table."""
@@ -17,6 +21,12 @@ def dealt(rows: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFra
     return rows.repartition(parts, *keys) if parts > spark.sparkContext.defaultParallelism else rows.repartition(*keys)
 
 
+def lookup(table: DataFrame) -> DataFrame:
+    """table as the looked-up side of a join, written and counted first: every task holds all of it, or its hashed share where it has more than LOOKUP_ROWS rows."""
+    table = staged(table)
+    return F.broadcast(table) if table.count() <= LOOKUP_ROWS else table.hint("shuffle_hash")
+
+
 def first_per(rows: DataFrame, keys: list, order: list[Column]) -> DataFrame:
     """One row a key: the first by `order`, which must be total for a stable result."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
