@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import scalars as S
-from ledgerlark.operators.relations import as_of_prices, dealt, first_per
-from ledgerlark.operators.windows import greedy_windows, trailing_sums
+from ledgerlark.operators.relations import as_of_prices, dealt, first_per, lookup
+from ledgerlark.operators.windows import greedy_windows, trailing_sums, window_days
 from ledgerlark.sources.workspace import staged
 
 
@@ -71,11 +71,15 @@ def cross_source(trades: DataFrame, insiders: DataFrame, funds: DataFrame, side:
     code, kinds = ("P", ("new", "increase")) if side == "buy" else ("S", ("exit", "decrease"))
     c = congress_events(trades).where(F.col("direction") == side).select("ticker", F.col("published_date").alias("d"), F.lit("congress").alias("family"), F.col("member_id").alias("actor"))
     i = insiders.withColumn("ticker", S.publishable_ticker(F.col("ticker"))).where((F.col("transaction_code") == code) & F.col("ticker").isNotNull()).select("ticker", F.col("published_date").alias("d"), F.lit("insider").alias("family"), F.col("filer_name").alias("actor"))
-    windows = (greedy_windows(c.unionByName(i), ["ticker"], "d", days).groupBy("ticker", "window_start")
-               .agg(F.count_distinct(F.when(F.col("family") == "congress", F.col("actor"))).alias("congress"), F.count_distinct(F.when(F.col("family") == "insider", F.col("actor"))).alias("insider"), F.max("d").alias("window_end")))
+    # events are written once, for the days that open windows and for the members of windows
+    events = staged(c.unionByName(i))
+    opened = staged(window_days(events.select("ticker", "d").distinct(), ["ticker"], "d", days))
+    actors = events.join(lookup(opened), ["ticker", "d"]).groupBy("ticker", "window_start", "family", "actor").agg(F.max("d").alias("d"))
+    of = lambda family: F.count(F.when(F.col("family") == family, F.col("actor")))
+    windows = actors.groupBy("ticker", "window_start").agg(of("congress").alias("congress"), of("insider").alias("insider"), F.max("d").alias("window_end"))
     f = funds.where(F.col("change_type").isin(*kinds)).select("ticker", "fund_name", F.col("published_date").alias("fd"))
     # funds are counted at the last day of each window, by a sweep and not by pairs
-    ends = windows.select("ticker", F.date_add("window_start", days - 1).alias("anchor"))
+    ends = opened.select("ticker", F.date_add("window_start", days - 1).alias("anchor"))
     near = trailing_sums(f, ["ticker"], "fd", "fund_name", fund_days, points=ends).select("ticker", F.date_sub("anchor", days - 1).alias("window_start"), F.col("actors").alias("funds"))
     out = windows.join(near, ["ticker", "window_start"], "left").withColumn("funds", F.coalesce("funds", F.lit(0).cast("long")))
     families = sum((F.col(x) > 0).cast("int") for x in ("congress", "insider", "funds"))

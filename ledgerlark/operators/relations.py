@@ -82,17 +82,24 @@ def nearest(events: DataFrame, points: DataFrame, keys: list[str], value: str, n
 def period_changes(holdings: DataFrame, group: str, key: str, period: str, shares: str) -> DataFrame:
     """Each group's holdings against its previous reported period: matched, new and exited keys.
 
-    Periods are numbered per group over those it reported, so a skipped quarter compares with the last one there is. Exits
-    come from the earlier side, which the full join keeps.
+    A group's periods are those it reported, so a skipped quarter compares with the last one there is. Holdings are one row a group, key
+    and period and are written once; every row knows its group's period before and after its own, and one order of a key's
+    rows tells what it had before and whether it exits after: no holding is joined with another.
     """
-    periods = holdings.select(group, period).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(period)))
-    numbered = holdings.select(group, key, period, shares).join(periods, [group, period])
-    earlier = numbered.select(F.col(group), F.col(key), (F.col("_k") + 1).alias("_k"), F.col(shares).alias("_before"))
-    joined = numbered.drop(period).join(earlier, [group, key, "_k"], "full").join(periods, [group, "_k"])
-    had_before = F.col("_k") > 1
-    now, before = F.coalesce(shares, F.lit(0)), F.coalesce("_before", F.lit(0))
-    return (joined.where(had_before).select(group, key, period, now.alias("shares_held"), (now - before).alias("change_shares"),
-                                            F.when(before > 0, F.round((now - before) * 100 / before.cast("decimal(20,4)"), 4).cast("decimal(18,4)")).alias("change_percent")))
+    held = staged(holdings.select(group, key, period, shares))
+    by_period = Window.partitionBy(group).orderBy(period)
+    periods = held.select(group, period).distinct().select(group, period, F.lag(period).over(by_period).alias("_prior"), F.lead(period).over(by_period).alias("_after"))
+    mine = Window.partitionBy(group, key).orderBy(period)
+    near = lambda at, which: F.col(key).isNotNull() & F.coalesce(at == F.col(which), F.lit(False))
+    rows = held.join(lookup(periods), [group, period]).select(
+        "*", F.when(near(F.lag(period).over(mine), "_prior"), F.lag(shares).over(mine)).alias("_before"), near(F.lead(period).over(mine), "_after").alias("_stays"))
+    none = F.lit(None).cast(held.schema[shares].dataType)
+    change = lambda at, now, before: F.struct(at.alias(period), now.alias("_now"), before.alias("_before"))
+    own, exit = change(F.col(period), F.col(shares), F.col("_before")), change(F.col("_after"), none, F.col(shares))
+    moved = rows.select(group, key, F.inline(F.array(F.when(F.col("_prior").isNotNull(), own), F.when(F.col("_after").isNotNull() & ~F.col("_stays"), exit)))).where(F.col(period).isNotNull())
+    now, before = F.coalesce("_now", F.lit(0)), F.coalesce("_before", F.lit(0))
+    return moved.select(group, key, period, now.alias("shares_held"), (now - before).alias("change_shares"),
+                        F.when(before > 0, F.round((now - before) * 100 / before.cast("decimal(20,4)"), 4).cast("decimal(18,4)")).alias("change_percent"))
 
 
 def multiset_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -47,12 +47,16 @@ def greedy_windows(events: DataFrame, keys: list[str], date: str, days: int) ->
 
     The fold runs over a key's distinct dates (at most one a calendar day), not over its rows; rows then join their date's window.
     """
+    return events.join(window_days(events, keys, date, days), [*keys, date])
+
+
+def window_days(events: DataFrame, keys: list[str], date: str, days: int) -> DataFrame:
+    """keys, date and window_start: a key's distinct dates, each with the greedy window it lies in."""
     starts = (events.where(F.col(date).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(date)).alias("dates"))
               .withColumn("starts", F.aggregate("dates", F.expr("cast(array() as array<date>)"), lambda acc, d: F.when(
                   (F.size(acc) == 0) | (F.datediff(d, F.element_at(acc, -1)) >= days), F.concat(acc, F.array(d))).otherwise(acc))))
     of = F.explode(F.transform("dates", lambda d: F.struct(d.alias("d"), F.element_at(F.filter("starts", lambda s: s <= d), -1).alias("s")))).alias("w")
-    opened = starts.select(*keys, of).select(*keys, F.col("w.d").alias(date), F.col("w.s").alias("window_start"))
-    return events.join(opened, [*keys, date])
+    return starts.select(*keys, of).select(*keys, F.col("w.d").alias(date), F.col("w.s").alias("window_start"))
 
 
 def story_windows(stories: DataFrame, keys: list[str], day: str, days: str, tie: str) -> DataFrame:
