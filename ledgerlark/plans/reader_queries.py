@@ -59,8 +59,10 @@ def sc15(insiders):
     """Codes other than purchase and sale go by whether shares were acquired or disposed of."""
     text = lambda x: x.cast("string")
     n = c("shares").cast("int")
-    coded = insiders.where("ticker is not null").select("*", F.when(n % 5 == 0, "M").otherwise(c("transaction_code")).alias("code"), F.when(n % 10 == 0, "").when(c("transaction_code") == "P", "A").otherwise("D").alias("acquired"))
-    rows = coded.groupBy("filer_name", "ticker", "transaction_date").agg(F.array_sort(F.collect_list(F.struct("code", "acquired", "shares", "amount"))).alias("l"))
+    keys = ["transaction_date", "ticker", "filer_name"]  # in an order that tells rows apart soon: groups are sorted by them
+    coded = insiders.where("ticker is not null").select(*keys, "shares", "amount", F.when(n % 5 == 0, "M").otherwise(c("transaction_code")).alias("code"), F.when(n % 10 == 0, "").when(c("transaction_code") == "P", "A").otherwise("D").alias("acquired"))
+    # dealt by the number of all trades, which needs fewer columns to be counted than the number of those with a ticker
+    rows = dealt(coded, *keys, like=insiders).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("code", "acquired", "shares", "amount"))).alias("l"))
     lines = F.transform("l", lambda t: F.concat(F.lit("<transaction>"), tag("code", t["code"]), tag("acquired", t["acquired"]), tag("day", text(c("transaction_date"))), tag("shares", text(t["shares"])), tag("value", text(t["amount"])),
                                                 tag("following", text((t["shares"] * 2).cast("decimal(18,2)"))), F.lit("</transaction>")))
     doc = F.concat(F.lit("SEC HEADER <a>\n<ownershipDocument>"), tag("issuerTicker", F.lower("ticker")), tag("owner", c("filer_name")), tag("transactions", F.array_join(lines, "")), F.lit("</ownershipDocument> end"))

@@ -18,13 +18,18 @@ def between_tags(text: Column, tag: str) -> Column:
     return F.regexp_extract(text, rf"(?s)(<{tag}\b.*?</{tag}>)", 1)
 
 
+def from_tag(text: Column, tag: str) -> Column:
+    """Text from the first start of a tag on, empty where there is none. What follows the block stays, as a reader of one element ends with that element."""
+    return F.regexp_replace(text, rf"(?s)^(?:.*?(?=<{tag}\b)|.*)", "")
+
+
 def without_namespaces(xml: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(xml, r'\sxmlns(:\w+)?="[^"]*"', ""), r"(</?)\w+:", "$1")
 
 
 def form4_transactions(docs: DataFrame, text: str, url: str) -> DataFrame:
     """One row a purchase or sale of an ownership document, by its code or else by whether shares were acquired, with its index in the document as part of its address."""
-    parsed = docs.withColumn("_d", F.from_xml(between_tags(F.col(text), "ownershipDocument"), FORM4))
+    parsed = docs.withColumn("_d", F.from_xml(from_tag(F.col(text), "ownershipDocument"), FORM4))
     rows = parsed.select(F.col(url), "_d.issuerTicker", "_d.owner", F.posexplode("_d.transactions.transaction").alias("tx_index", "t"))
     direction = insider_direction(F.coalesce(F.col("t.code"), F.lit("")), F.coalesce(F.col("t.acquired"), F.lit("")))
     return rows.withColumn("direction", direction).where("direction in ('buy', 'sell') and t.day is not null").select(
