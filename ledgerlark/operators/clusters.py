@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import scalars as S
 from ledgerlark.operators.deliveries import FOLLOWS, deliveries
 from ledgerlark.operators.relations import as_of_prices, dealt, first_per, lookup
-from ledgerlark.operators.windows import greedy_windows, trailing_sums, window_days
+from ledgerlark.operators.windows import trailing_sums, window_days
 from ledgerlark.sources.workspace import staged
 
+#: Changes of a fund's position that go with a side.
+FUND_CHANGES = {"buy": ("new", "increase"), "sell": ("exit", "decrease")}
+
 
 def congress_events(trades: DataFrame) -> DataFrame:
     """Canonical events of trades that a cluster may use."""
@@ -32,6 +35,17 @@ def filing_summaries(groups: DataFrame) -> DataFrame:
             .where("trade_count > 1"))
 
 
+def filing_counts(trades: DataFrame) -> DataFrame:
+    """n and latest published_date of the groups of `filing_groups` and of the `filing_summaries`, by kind: rows are dealt once, by what both have in common."""
+    rows = trades.where("ticker is not null").select(S.filing_key(F.col("doc_id")).alias("filing"), "member_id", "ticker", "direction", "published_date").repartition("filing", "member_id")
+    groups = rows.groupBy("filing", "member_id", "ticker", "direction").agg(F.count(F.lit(1)).alias("trades"), F.max("published_date").alias("latest"))
+    filings = groups.groupBy("filing", "member_id").agg(F.sum("trades").alias("trades"), F.count(F.lit(1)).alias("groups"), F.max("latest").alias("latest"))
+    count = lambda kind, n, latest: F.struct(F.lit(kind).alias("kind"), n.alias("n"), latest.alias("latest"))
+    several = F.col("trades") > 1
+    both = filings.agg(F.array(count("group", F.coalesce(F.sum("groups"), F.lit(0)), F.max("latest")), count("summary", F.count(F.when(several, 1)), F.max(F.when(several, F.col("latest"))))).alias("kinds"))
+    return both.select(F.inline("kinds"))
+
+
 def congress_clusters(trades: DataFrame, days: int = 10, least: int = 2) -> DataFrame:
     """Trailing clusters with their identity (ticker, direction, anchor, hash of the actors) and score.
 
@@ -62,23 +76,34 @@ def insider_clusters(insiders: DataFrame, days: int = 10, least: int = 5) -> Dat
     """Greedy windows with at least max(5, least) distinct filers."""
     # economic rows are found once, for the windows' starts and for their members
     economic = staged(insider_economic_rows(insiders).select("ticker", "transaction_code", "published_date", "filer_name", "amount"))
-    rows = greedy_windows(dealt(economic, "ticker", "transaction_code", "published_date"), ["ticker", "transaction_code"], "published_date", days)
+    keys = ["ticker", "transaction_code"]
+    rows = economic.join(lookup(window_days(economic.select(*keys, "published_date").distinct(), keys, "published_date", days)), [*keys, "published_date"])
     return (dealt(rows, "ticker", "transaction_code", "window_start", "filer_name", like=economic).groupBy("ticker", "transaction_code", "window_start").agg(F.count_distinct("filer_name").alias("actors"), F.count(F.lit(1)).alias("trades"), F.sum("amount").alias("total_value"), F.max("published_date").alias("clocked_at"))
             .where(F.col("actors") >= max(5, least)))
 
 
+def source_events(trades: DataFrame, insiders: DataFrame) -> DataFrame:
+    """side, ticker, d, family and actor of congress and insider events that a window may hold."""
+    c = congress_events(trades).select(F.col("direction").alias("side"), "ticker", F.col("published_date").alias("d"), F.lit("congress").alias("family"), F.col("member_id").alias("actor"))
+    code = F.col("transaction_code")
+    i = insiders.withColumn("ticker", S.publishable_ticker(F.col("ticker"))).where(code.isin("P", "S") & F.col("ticker").isNotNull())
+    return c.unionByName(i.select(F.when(code == "P", "buy").otherwise("sell").alias("side"), "ticker", F.col("published_date").alias("d"), F.lit("insider").alias("family"), F.col("filer_name").alias("actor")))
+
+
 def cross_source(trades: DataFrame, insiders: DataFrame, funds: DataFrame, side: str, days: int = 30, fund_days: int = 120) -> DataFrame:
     """Greedy windows of congress and insider events with fund changes of the trailing days; two families are needed at least."""
-    code, kinds = ("P", ("new", "increase")) if side == "buy" else ("S", ("exit", "decrease"))
-    c = congress_events(trades).where(F.col("direction") == side).select("ticker", F.col("published_date").alias("d"), F.lit("congress").alias("family"), F.col("member_id").alias("actor"))
-    i = insiders.withColumn("ticker", S.publishable_ticker(F.col("ticker"))).where((F.col("transaction_code") == code) & F.col("ticker").isNotNull()).select("ticker", F.col("published_date").alias("d"), F.lit("insider").alias("family"), F.col("filer_name").alias("actor"))
     # events are written once, for the days that open windows and for the members of windows
-    events = staged(c.unionByName(i))
+    return crossed(staged(source_events(trades, insiders).where(F.col("side") == side)), funds, side, days, fund_days)
+
+
+def crossed(events: DataFrame, funds: DataFrame, side: str, days: int = 30, fund_days: int = 120) -> DataFrame:
+    """The windows of `cross_source` over written events of all sides."""
+    events = events.where(F.col("side") == side).drop("side")
     opened = staged(window_days(events.select("ticker", "d").distinct(), ["ticker"], "d", days))
     actors = events.join(lookup(opened), ["ticker", "d"]).groupBy("ticker", "window_start", "family", "actor").agg(F.max("d").alias("d"))
     of = lambda family: F.count(F.when(F.col("family") == family, F.col("actor")))
     windows = actors.groupBy("ticker", "window_start").agg(of("congress").alias("congress"), of("insider").alias("insider"), F.max("d").alias("window_end"))
-    f = funds.where(F.col("change_type").isin(*kinds)).select("ticker", "fund_name", F.col("published_date").alias("fd"))
+    f = funds.where(F.col("change_type").isin(*FUND_CHANGES[side])).select("ticker", "fund_name", F.col("published_date").alias("fd"))
     # funds are counted at the last day of each window, by a sweep and not by pairs
     ends = opened.select("ticker", F.date_add("window_start", days - 1).alias("anchor"))
     near = trailing_sums(f, ["ticker"], "fd", "fund_name", fund_days, points=ends).select("ticker", F.date_sub("anchor", days - 1).alias("window_start"), F.col("actors").alias("funds"))
