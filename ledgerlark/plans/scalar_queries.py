@@ -9,6 +9,7 @@ from ledgerlark.functions import labels as L
 from ledgerlark.functions import options as O
 from ledgerlark.functions import scalars as S
 from ledgerlark.functions import themes as T
+from ledgerlark.operators import relations as R
 from ledgerlark.plans.catalog import query
 from ledgerlark.plans.filters import O_WORDS
 from ledgerlark.sources.adapters import AS_OF
@@ -47,8 +48,14 @@ SELECT regexp_replace(doc_id, '-[0-9]+$', '') AS filing, sha1(coalesce(doc_id, '
  sha256(doc_id || '|' || amount_range) AS content, count(*) AS n FROM trades GROUP BY ALL
 UNION ALL SELECT regexp_extract(source_url, '([0-9]{10}-[0-9]{2}-[0-9]{6})', 1), sha1(source_url), sha256(source_url), count(*) FROM insiders GROUP BY ALL""")
 def ids(trades, insiders):
-    """Rows are grouped by the texts and hashed after that: texts share beginnings and pack well, hashes do not pack at all."""
-    a = trades.groupBy(S.filing_key(c("doc_id")).alias("filing"), S.id_text(c("doc_id"), c("ticker"), c("direction")).alias("s"), F.concat_ws("|", "doc_id", "amount_range").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows are grouped by the texts and hashed after that: texts share beginnings and pack well, hashes do not pack at all.
+
+    Of a document its id, what was traded and the range tell its groups apart: the other texts are made of them. Trades are written once
+    with no more than that, so that what their joins shuffled is gone when they are grouped.
+    """
+    named = R.staged(trades.select("doc_id", S.id_text(c("ticker"), c("direction")).alias("what"), F.when(c("doc_id").isNotNull(), c("amount_range")).alias("amount_range")))
+    a = named.groupBy("doc_id", "what", "amount_range").agg(F.count(F.lit(1)).alias("n")).select(
+        S.filing_key(c("doc_id")).alias("filing"), S.id_text(c("doc_id"), c("what")).alias("s"), F.concat("doc_id", F.lit("|"), "amount_range").alias("t"), "n")
     b = insiders.groupBy("source_url").agg(F.count(F.lit(1)).alias("n"))
     return a.select("filing", F.sha1("s").alias("stable"), F.sha2("t", 256).alias("content"), "n").unionAll(
         b.select(S.accession(c("source_url")).alias("filing"), S.stable_id(c("source_url")).alias("stable"), F.sha2("source_url", 256).alias("content"), "n"))
