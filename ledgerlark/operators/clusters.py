@@ -35,9 +35,12 @@ def filing_summaries(groups: DataFrame) -> DataFrame:
             .where("trade_count > 1"))
 
 
-def filing_counts(trades: DataFrame) -> DataFrame:
-    """n and latest published_date of the groups of `filing_groups` and of the `filing_summaries`, by kind: rows are dealt once, by what both have in common."""
-    rows = trades.where("ticker is not null").select(S.filing_key(F.col("doc_id")).alias("filing"), "member_id", "ticker", "direction", "published_date").repartition("filing", "member_id")
+def filing_counts(filed: DataFrame) -> DataFrame:
+    """n and latest published_date of the groups of `filing_groups` and of the `filing_summaries`, by kind: rows are dealt once, by what both have in common.
+
+    filed: filing, member_id, ticker, direction and published_date of trades with a ticker, written, as they are counted first.
+    """
+    rows = dealt(filed, "filing", "member_id")
     groups = rows.groupBy("filing", "member_id", "ticker", "direction").agg(F.count(F.lit(1)).alias("trades"), F.max("published_date").alias("latest"))
     filings = groups.groupBy("filing", "member_id").agg(F.sum("trades").alias("trades"), F.count(F.lit(1)).alias("groups"), F.max("latest").alias("latest"))
     count = lambda kind, n, latest: F.struct(F.lit(kind).alias("kind"), n.alias("n"), latest.alias("latest"))
